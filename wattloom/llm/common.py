@@ -33,15 +33,37 @@ def scratch_base(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def written(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+#: Rows of a batch that goes to Python: texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1024
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings that let Catalyst filter the large side of a join by a bounded Bloom filter of the small one.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1TB"}
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's rows per Arrow batch to BATCH_ROWS. Called wherever texts go to Python."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
+def written(df: DataFrame, name: str, *used: DataFrame, conf: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet into the scratch folder and read it back: lineage ends here.
 
     used: scratch tables that only df needed. They are deleted, and with them the shuffle files
-    that Spark keeps until the driver collects its garbage.
+    that Spark keeps until the driver collects its garbage. conf: settings for this write alone.
     """
     spark = df.sparkSession
     path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     for one in used:
         _delete(spark, one)
     if used:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import THASH, kept_rows, written
+from .common import BLOOM, THASH, bounded_batches, kept_rows, written
 
 #: Prime fields and the base of the polynomial.
 PRIMES, BASE = (2147483647, 2147483629), 1000003
@@ -78,7 +78,7 @@ def _hashed(batches):
 def hashed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, n_bytes, text_sha256) per document row; null counts as empty."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(_hashed, "doc_id long, fp long, n_bytes long, text_sha256 string")
+    return bounded_batches(source).mapInArrow(_hashed, "doc_id long, fp long, n_bytes long, text_sha256 string")
 
 
 _GROUP = ["fp", "n_bytes", "text_sha256"]
@@ -94,7 +94,8 @@ def _differing(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> Da
     member = hashes.join(multi.select("text_sha256", "keep_id", "slices"), "text_sha256").select(
         "text_sha256", "doc_id", "keep_id", "slices", F.posexplode(chunks).alias("no", "chunk")
     )
-    member = written(member, "members")
+    # Most texts are in no group; a Bloom filter of the groups' digests drops them before the shuffle.
+    member = written(member, "members", conf=BLOOM)
     salt = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")
     own = member.where("not (doc_id <=> keep_id)").select("text_sha256", "no", "doc_id", "chunk", salt.alias("salt"))
     first = (

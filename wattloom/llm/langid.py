@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Ranks in a profile, and documents per language that a profile is fitted on (a bounded sample,
 #: the first by a hash of their id).
 TOP, FIT_DOCS = 400, 1500
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str =
                 n = np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(n)], names=["label", "k", "n"])
 
-    grams = got.select("label", "doc_id", "text").mapInArrow(run, "label string, k long, n long").groupBy("label", "k").agg(F.sum("n").alias("n"))
+    grams = bounded_batches(got.select("label", "doc_id", "text")).mapInArrow(run, "label string, k long, n long").groupBy("label", "k").agg(F.sum("n").alias("n"))
     best = grams.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "k"))).where(F.col("r") <= TOP)
     rows_of: dict[str, list] = {}
     for r in best.collect():  # languages times TOP rows
@@ -145,7 +147,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
             )
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return bounded_batches(source).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -171,4 +173,4 @@ def accepted(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
             keep = [s >= min_score and x != "und" for x, s in (ranker.predict(t.as_py()) for t in batch.column(names.index("text")))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WINDOW, END_ID, OPEN = 4096, 2, 1024
 #: Words whose ids a worker remembers.
 CACHE = 400_000
@@ -174,4 +176,4 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
             yield batch_of(rows)
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, SCHEMA)
+    return bounded_batches(source).mapInArrow(run, SCHEMA)

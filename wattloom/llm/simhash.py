@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import THASH, kept_rows, keyed, written
+from .common import bounded_batches, THASH, kept_rows, keyed, written
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", THASH, "fp"])
 
-    return keyed(docs, text=text, doc_id=doc_id).select("doc_id", THASH, "text").mapInArrow(run, f"doc_id long, {THASH} long, fp long")
+    return bounded_batches(keyed(docs, text=text, doc_id=doc_id).select("doc_id", THASH, "text")).mapInArrow(run, f"doc_id long, {THASH} long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DID, written
+from .common import bounded_batches, DID, written
 
 #: Bytes of a repeated string and of an anchor; window starts hashed at a time; regions sorted in memory.
 DEPTH, GRAM, PIECE, GROUP = 200, 48, (1 << 20) - 512, 2048
@@ -255,7 +255,7 @@ def _window_rows(batches):
 
 def covered(rows: DataFrame) -> DataFrame:
     """(did, row, from, to): byte ranges covered by repeated windows; ranges may overlap. rows: from _rows()."""
-    anchored = rows.select(DID, ROW, "text").mapInArrow(_anchored, f"did long, {ROW} int, anchor long, region long, start long, off short, windows short")
+    anchored = bounded_batches(rows.select(DID, ROW, "text")).mapInArrow(_anchored, f"did long, {ROW} int, anchor long, region long, start long, off short, windows short")
     anchored = written(anchored, "anchors")
     often = anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     again = written(anchored.join(often, "anchor"), "again", anchored)
@@ -332,4 +332,4 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 after cutting repeated bytes."""
     rows = repeated_spans(docs, text, doc_id).select("doc_id", "text", "starts", "ends")
-    return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return bounded_batches(rows).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 #: Streams aligned in one task before their expressions are merged with those of other tasks.
 BLOCK = 64
@@ -312,7 +312,7 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
         return pa.Table.from_batches([batch_of(merge_all((h, [_unpack(x) for x in json.loads(e)], n) for h, e, n in rows))])
 
     schema = "host string, expression string, n long"
-    now = written(pages.select(_host(url).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(first, schema), "wrappers")
+    now = written(bounded_batches(pages.select(_host(url).alias("host"), F.col(html).cast("string").alias("html"))).mapInArrow(first, schema), "wrappers")
     while True:
         most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
@@ -379,4 +379,4 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     known = found.mapInArrow(template, "w_host string, template array<string>")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), _host(url).alias("host"))
     both = rows.join(known, F.col("host") == F.col("w_host"), "left")
-    return both.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded_batches(both.select("page_id", "url", "html", "template")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
