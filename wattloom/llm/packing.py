@@ -12,6 +12,9 @@ the last one is cut into powers of two, which need no padding. Memory is OPEN wi
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -24,40 +27,68 @@ from .common import bounded_batches
 
 WINDOW, END_ID, OPEN = 4096, 2, 1024
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A word that is letters, then closing marks: two pre-tokens, whose ids don't depend on each other. The letters are
+#: composed ones whose lower case is one letter, so normalising changes nothing else.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?|$%&*#]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: itself if printable, else the next ones from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Ids of whole texts from ids of their white-space-delimited words.
 
     ASCII white space separates the tokenizer's pre-tokens and is dropped by it, so the ids of a
-    text are those of its words in order; a round-trip test holds this against whole texts.
+    text are those of its words in order; a round-trip test holds this against whole texts. Words are
+    remembered in two generations of at most CACHE / 2 each; the older is forgotten when the newer is full.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        """Ids of one pre-token in lower case."""
+        got = self.parts.get(text)
+        if got is None:
+            if len(self.parts) >= CACHE // 2:
+                self.parts.clear()
+            coded = [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))] if text else []
+            got = self.parts[text] = struct.pack(f"<{len(coded)}I", *coded)
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            return self._part(plain[1].lower()) + self._part(plain[2])
+        coded = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(coded)}I", *coded)
 
     def ids(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "surrogatepass").split()
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > CACHE // 2:
+            self.old, self.known = self.known, {}
+            new = set(words)
+        known, old = self.known, self.old
+        for w in new:
+            known[w] = old.get(w) or self._word(w)
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
 
