@@ -25,6 +25,8 @@ from .common import bounded_batches, written
 
 #: Streams aligned in one task before their expressions are merged with those of other tasks.
 BLOCK = 64
+#: Hosts whose expressions a task holds before it passes them on.
+HOSTS = 2000
 
 # Fixed values of HTML: void elements, raw-text elements, elements that break a line of text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -145,6 +147,18 @@ def parse(labels: list[str]) -> list:
     return fold([("#", x[1:]) if x[0] == "#" else x for x in labels])
 
 
+_REPEAT = re.compile(r"(.{1,24}?)\1+", re.S)
+
+
+def shape(labels: list[str]) -> int:
+    """A digest of the labels without texts, neighbouring repeats counted once."""
+    chars: dict[str, str] = {}
+    line = "".join(chars.setdefault("#" if x[0] == "#" else x, chr(0xE000 + len(chars))) for x in labels)
+    while (less := _REPEAT.sub(r"\1", line)) != line:
+        line = less
+    return hash((tuple(chars), line))
+
+
 def _same(a, b) -> bool:
     """Nodes that align: equal tags, any two texts, groups of the same shape."""
     if isinstance(a, str) or isinstance(b, str):
@@ -300,12 +314,28 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
         )
 
     def first(batches):
+        got: dict[str, list] = {}  # host: expression, pages, shapes aligned so far, template texts
         for batch in batches:
-            got: dict[str, list] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = parse(stream(page.as_py() or ""))
-                got[host] = [align(got[host][0], own), got[host][1] + 1] if host in got else [own, 1]
-            yield batch_of(got)
+                labels = stream(page.as_py() or "")
+                key = shape(labels)
+                if host not in got:
+                    own = parse(labels)
+                    got[host] = [own, 1, {key}, constants(own)]
+                    continue
+                have = got[host]
+                have[1] += 1
+                # A shape that is in the expression already can only make template texts variable.
+                if key in have[2] and have[3].issubset(x[1:] for x in labels if x[0] == "#"):
+                    continue
+                have[0] = align(have[0], parse(labels))
+                have[2].add(key)
+                have[3] = constants(have[0])
+            if len(got) > HOSTS:
+                yield batch_of({h: x[:2] for h, x in got.items()})
+                got = {}
+        if got:
+            yield batch_of({h: x[:2] for h, x in got.items()})
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("host").to_pylist(), table.column("expression").to_pylist(), table.column("n").to_pylist()))
@@ -376,7 +406,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    known = found.mapInArrow(template, "w_host string, template array<string>")
+    known = found.mapInArrow(template, "w_host string, template array<string>").where(F.size("template") > 0)
+    known = written(known, "templates", found)  # so that its true size decides how it is joined
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), _host(url).alias("host"))
     both = rows.join(known, F.col("host") == F.col("w_host"), "left")
     return bounded_batches(both.select("page_id", "url", "html", "template")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
