@@ -257,8 +257,9 @@ def covered(rows: DataFrame) -> DataFrame:
     """(did, row, from, to): byte ranges covered by repeated windows; ranges may overlap. rows: from _rows()."""
     anchored = bounded_batches(rows.select(DID, ROW, "text")).mapInArrow(_anchored, f"did long, {ROW} int, anchor long, region long, start long, off short, windows short")
     anchored = written(anchored, "anchors")
-    often = anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = written(anchored.join(often, "anchor"), "again", anchored)
+    # Stored, so that both sides of the join are plain exchanges and a hot anchor's rows can be split among tasks.
+    often = written(anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
+    again = written(anchored.join(often, "anchor"), "again", anchored, often)
 
     first = F.min(F.struct("did", ROW, "start", "off", "windows")).alias("m")
     regions = written(again.groupBy("anchor", "region").agg(F.count("*").alias("same"), first), "regions")
