@@ -15,13 +15,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import DID, THASH, keyed, written
 
-THRESHOLD = 0.6
+THRESHOLD = 0.8
 #: Identifiers with a notice or the opening words of the licence text.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
@@ -37,6 +38,8 @@ TEMPLATES = {
     "CC0-1.0": ["Released into the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Words of templates that are too common in prose to be gate tokens.
+COMMON = set("a an and any by in into is it of or the this to under v with".split())
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -54,14 +57,20 @@ def model(templates: dict[str, list[str]] | None = None) -> tuple[list, dict[str
         w = {t: n * idf[t] for t, n in Counter(ts).items()}
         size = math.sqrt(sum(x * x for x in w.values()))
         vectors.append((name, {t: x / size for t, x in w.items()}))
+    # Greedy cover: the token that takes most from what templates have above the threshold, until none has any.
     gate: set[str] = set()
-    for _, w in vectors:
-        left = {t: x for t, x in w.items() if t not in gate}
-        for t in sorted(left, key=lambda t: (-left[t], t)):
-            if math.sqrt(sum(x * x for x in left.values())) < THRESHOLD - 1e-9:
-                break
-            gate.add(t)
-            del left[t]
+    left = [{t: x * x for t, x in w.items()} for _, w in vectors]
+    over = lambda w: max(0.0, sum(w.values()) - (THRESHOLD - 1e-9) ** 2)
+    while any(map(over, left)):
+        gain: Counter = Counter()
+        for w in left:
+            for t, x in w.items():
+                gain[t] += min(x, over(w))
+        # A common word only where nothing else is left, the longest first.
+        best = max((t for t in gain if gain[t] > 0), key=lambda t: (t not in COMMON, len(t) if t in COMMON else gain[t], t))
+        gate.add(best)
+        for w in left:
+            w.pop(best, None)
     return vectors, idf, 1 + math.log(len(lines)), sorted(gate)
 
 
@@ -85,8 +94,9 @@ def own_licences(files: DataFrame, text: str = "text", path: str = "path", doc_i
     vectors, idf, unknown, gate = model(templates)
     rows = keyed(files.withColumn("__path", F.col(path).cast("string")), "__path", text=text, doc_id=doc_id)
     pattern = r"(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in gate) + r")(?![a-z0-9])"
-    low = rows.withColumn("low", F.lower("text")).withColumn("gated", F.col("low").rlike(pattern))
-    lines = F.when(F.col("gated"), F.filter(F.split("low", r"[\n\r]+"), lambda x: x.rlike(pattern))).otherwise(F.array().cast("array<string>"))
+    gated = reduce(lambda a, b: a | b, [F.contains("low", F.lit(t)) for t in gate])
+    low = rows.withColumn("low", F.lower("text"))
+    lines = F.when(gated, F.filter(F.split("low", r"[\n\r]+"), lambda x: x.rlike(pattern))).otherwise(F.array().cast("array<string>"))
     low = low.withColumn("lines", F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))))
     score = _scores("toks", vectors, idf, unknown)
     low = low.withColumn("hits", F.expr(f"filter(transform(lines, toks -> {score}), h -> h.score >= {THRESHOLD}D)"))
