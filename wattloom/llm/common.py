@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,15 @@ def written(df: DataFrame, name: str, *used: DataFrame, conf: dict[str, str] | N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks for its other uses.
+
+    Its lineage stays, so what a lost executor held is computed again. Unlike written() it makes no files in the
+    shared folder; release with unpersist().
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def _delete(spark: SparkSession, table: DataFrame) -> None:
     """Remove the folder of a scratch table; a path outside the scratch folder is refused."""
     base = scratch_base(spark)

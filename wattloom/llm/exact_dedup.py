@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, THASH, bounded_batches, kept_rows, written
+from .common import BLOOM, THASH, bounded_batches, held, kept_rows, written
 
 #: Prime fields and the base of the polynomial.
 PRIMES, BASE = (2147483647, 2147483629), 1000003
@@ -113,9 +113,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     Null text counts as empty. Of equal texts the largest doc_id stays (null ids are smallest). Of
     rows that repeat both id and text, exactly one is kept. An empty table gives an empty one.
     """
-    rows = written(
-        hashed(docs, text, doc_id).groupBy("doc_id", *_GROUP).agg(F.count("*").alias("copies")), "hashed"
-    )
+    rows = held(hashed(docs, text, doc_id).groupBy("doc_id", *_GROUP).agg(F.count("*").alias("copies")))
     groups = written(rows.groupBy(*_GROUP).agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     odd = written(_differing(docs, groups, text, doc_id), "odd").select(
         F.col("doc_id").alias("odd_id"), F.col("text_sha256").alias("odd_sha"), F.lit(True).alias("odd")

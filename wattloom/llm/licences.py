@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DID, THASH, keyed, written
+from .common import DID, THASH, held, keyed
 
 THRESHOLD = 0.8
 #: Identifiers with a notice or the opening words of the licence text.
@@ -121,7 +121,7 @@ def licences(files: DataFrame, text: str = "text", path: str = "path", doc_id: s
     score there, ties to the smaller name), else null. A null text counts as empty; a null path has no
     directory and neither gives nor inherits. Repeated rows each keep their row.
     """
-    own = written(own_licences(files, text, path, doc_id, templates), "licences")
+    own = held(own_licences(files, text, path, doc_id, templates))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", _UP, "")).otherwise(F.lit(""))
     given = own.where("is_file and path is not null").select(folder.alias("dir"), "licence", "score")
     given = given.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("m")).select(F.col("dir").alias("g_dir"), F.col("m.licence").alias("g_licence"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DID, THASH, keyed, written
+from .common import DID, THASH, held, keyed, written
 
 #: Kinds in output order, with patterns equal to the documented ones. Possessive
 #: quantifiers and look-behinds only cut backtracking that can't succeed.
@@ -149,7 +149,7 @@ def sanitised_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     text counts as empty and has no span. Repeated rows each keep their row and get equal spans;
     they count as one document in the co-occurrence statistics. An empty table gives an empty one.
     """
-    found = written(base_spans(docs, text, doc_id), "spans")
+    found = held(base_spans(docs, text, doc_id))
     met = written(meetings(found), "meetings")
     told = disclosures(docs, found, met, text).select("kind", "entity", "term", "action")
     marked = met.join(told, ["kind", "entity", "term"]).groupBy(DID, THASH, "start", "end").agg(F.max("action").alias("kind"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, THASH, kept_rows, keyed, written
+from .common import THASH, bounded_batches, held, kept_rows, keyed, written
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -204,7 +204,7 @@ def _block_pair(table: pa.Table) -> pa.Table:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints whose closure is that of 'within DISTANCE bits'."""
     dealt = variants(fps).repartition("key").sortWithinPartitions("key", "fp")
-    found = written(dealt.mapInArrow(_scan, "key long, a long, b long, block int"), "links")
+    found = held(dealt.mapInArrow(_scan, "key long, a long, b long, block int"))
     plain = found.where("block < 0").select("a", "b")
     large = found.where("block >= 0")
     if large.isEmpty():
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Null and word-free texts have fingerprint zero and are linked like any other. Null ids never
     become a component_id unless the component has none but null ids. Repeated rows each get a row.
     """
-    prints = written(fingerprints(docs, text, doc_id), "prints")
+    prints = held(fingerprints(docs, text, doc_id))
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
     roots = components(links(fps.select("fp")))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
