@@ -126,14 +126,13 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     ident = F.col(doc_id).cast("long")
     rows = docs.withColumn("__k", F.coalesce(ident, F.lit(-1).cast("long"))).withColumn("__h", F.xxhash64(ident, body)).withColumn("__s", F.col(source).cast("string"))
     # Repeated rows share a key; their copies are summed and one row stands for all of them.
-    amount = mix(docs, text, source, doc_id).groupBy(F.col(DID).alias("t_k"), F.col(THASH).alias("t_h"), F.col("source").alias("t_s")).agg(
-        F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n")
+    amount = mix(docs, text, source, doc_id).groupBy(F.col(DID).alias("__tk"), F.col(THASH).alias("__th"), F.col("source").alias("__ts")).agg(
+        F.sum("taken").alias("__taken"), F.max("size").alias("__size")
     )
-    one = (F.col("__k") == F.col("t_k")) & (F.col("__h") == F.col("t_h")) & F.col("__s").eqNullSafe(F.col("t_s"))
-    many = rows.join(amount.where("taken > 0"), one).drop("t_k", "t_h", "t_s")
-    many = many.dropDuplicates(["__k", "__h", "__s"])
-    words = F.greatest(F.col("size"), F.lit(1).cast("long"))
-    many = many.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / words).cast("long"))))
-    left = F.col("taken") - (F.col("__nth") - 1) * F.col("size")
-    cut = F.expr(f"regexp_substr({text}, concat(r'^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){{', cast(taken - (__nth - 1) * size as string), '}}+'))")
-    return many.withColumn(text, F.when(left >= F.col("size"), F.col(text)).otherwise(cut)).select(*names)
+    one = (F.col("__k") == F.col("__tk")) & (F.col("__h") == F.col("__th")) & F.col("__s").eqNullSafe(F.col("__ts"))
+    many = rows.join(amount.where("__taken > 0"), one).dropDuplicates(["__k", "__h", "__s"])
+    words = F.greatest(F.col("__size"), F.lit(1).cast("long"))
+    many = many.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / words).cast("long"))))
+    left = F.col("__taken") - (F.col("__nth") - 1) * F.col("__size")
+    cut = F.expr(f"regexp_substr({text}, concat(r'^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){{', cast(__taken - (__nth - 1) * __size as string), '}}+'))")
+    return many.withColumn(text, F.when(left >= F.col("__size"), F.col(text)).otherwise(cut)).select(*names)

@@ -65,7 +65,7 @@ class _Best:
         own = sorted([*self.rows[i], *zip((-scores).tolist(), ids.tolist())])[: self.k]
         self.rows[i] = own
         if len(own) == self.k:
-            self.kth[i] = max(self.kth[i], float(-own[-1][0]))
+            self.kth[i] = max(self.kth[i], np.nextafter(float(-own[-1][0]), -np.inf))  # never above the whole number
 
 
 def _search(width: int, rotation: np.ndarray, k: int):
@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, queries, vec: str = "embedding", vec_id: str = "ve
             q, ids = _matrix(batch.column(1), width), batch.column(0).to_numpy()
             scores = _dots(q, seed_x).astype(np.float64)
             scores[ids[:, None] == seed_ids[None, :]] = -np.inf
-            low = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+            low = np.nextafter(np.sort(scores, axis=1)[:, -k], -np.inf) if scores.shape[1] >= k else np.full(len(q), -np.inf)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low)], names=["vec_id", "v", "floor"])
 
     # Chunks: ranges of the length, longest first; their number only follows from the rows.

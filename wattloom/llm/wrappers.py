@@ -8,8 +8,9 @@ one after the other into one expression over tags, text slots, optional groups a
 Only distinct streams are aligned, after folding repeats, in salted blocks of bounded size whose
 expressions are merged, so a host with a third of all pages is pre-aggregated like any other.
 
-The expression tells template text, equal on all pages of a host, from slots that carry content. The main text is
-that of the slots in the article region, without slots whose path is boilerplate.
+Beside the expression the texts that all its pages share are kept: template text, as against slots that carry content.
+The main text is that of the slots in the article region, without slots whose path is boilerplate; a page without such
+a region gives all slots that are neither boilerplate nor template.
 """
 
 from __future__ import annotations
@@ -209,6 +210,17 @@ def _closed(block: list) -> bool:
     return depth == 0 and isinstance(block[0], str)
 
 
+def _meets(a: list, p: int, b: list, q: int) -> bool:
+    """Nodes that can end an optional group: equal tags, or a repeat and one copy of its block."""
+    x, y = a[p], b[q]
+    if isinstance(x, str) and isinstance(y, str):
+        return x == y
+    for node, other, at in ((x, b, q), (y, a, p)):
+        if not isinstance(node, str) and node[0] == "+" and at + len(node[1]) <= len(other) and all(map(_same, node[1], other[at : at + len(node[1])])):
+            return True
+    return not isinstance(x, str) and x[0] == "+" and _same(x, y)
+
+
 def align(a: list, b: list) -> list:
     """The union-free expression of two expressions: common nodes joined, the rest repeated or optional."""
     out: list = []
@@ -246,7 +258,7 @@ def align(a: list, b: list) -> list:
         for reach in range(1, len(a) - i + len(b) - j):
             for d in range(reach + 1):
                 p, q = i + d, j + reach - d
-                if p < len(a) and q < len(b) and _same(a[p], b[q]) and isinstance(a[p], str):
+                if p < len(a) and q < len(b) and _meets(a, p, b, q):
                     best = p, q
                     break
             if best or reach > 400:
@@ -263,20 +275,6 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def constants(expression: list, where: tuple = ()) -> set[str]:
-    """Template texts: slots whose text is the same wherever the expression matches, outside optional groups."""
-    out: set[str] = set()
-    for node in expression:
-        if isinstance(node, str):
-            continue
-        if node[0] == "#":
-            if node[1] is not None:
-                out.add(node[1])
-        elif node[0] == "+":
-            out |= constants(node[1])
-    return out
-
-
 def _pack(x) -> object:
     return x if isinstance(x, str) else [x[0], x[1] if x[0] == "#" else [_pack(y) for y in x[1]]]
 
@@ -290,58 +288,48 @@ def _host(url: str):
 
 
 def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, expression, n): one expression per host as JSON, and the pages it was aligned from.
+    """(host, expression, shared, n): one expression per host and the texts that all its n pages have, as JSON.
 
-    Streams are reduced to their folded shape first. Per task each host's pages are aligned as they
-    stream by, so what is shuffled is one expression per host and task; those are merged in blocks of
-    BLOCK until a host has one.
+    Per task each host's pages are aligned as they stream by, each shape once, so what is shuffled is
+    one expression per host and task; those are merged in blocks of BLOCK until a host has one.
     """
     import json
 
-    def merge_all(rows):
-        best: dict[str, list] = {}
-        for host, expression, n in rows:
-            if host in best:
-                best[host] = [align(best[host][0], expression), best[host][1] + n]
-            else:
-                best[host] = [expression, n]
-        return best
+    schema = "host string, expression string, shared string, n long"
 
-    def batch_of(best):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(best), pa.string()), pa.array([json.dumps([_pack(x) for x in e]) for e, _ in best.values()], pa.string()), pa.array([n for _, n in best.values()], pa.int64())],
-            names=["host", "expression", "n"],
-        )
+    def batch_of(rows):
+        cols = list(zip(*((h, json.dumps([_pack(x) for x in e]), json.dumps(sorted(s)), n) for h, (e, s, n) in rows.items())))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 3 else pa.string()) for i, c in enumerate(cols)], names=["host", "expression", "shared", "n"])
 
     def first(batches):
-        got: dict[str, list] = {}  # host: expression, pages, shapes aligned so far, template texts
+        got: dict[str, list] = {}
+        shapes: dict[str, set] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 labels = stream(page.as_py() or "")
-                key = shape(labels)
+                own, key = {x[1:] for x in labels if x[0] == "#"}, shape(labels)
                 if host not in got:
-                    own = parse(labels)
-                    got[host] = [own, 1, {key}, constants(own)]
+                    got[host], shapes[host] = [parse(labels), own, 1], {key}
                     continue
                 have = got[host]
-                have[1] += 1
-                # A shape that is in the expression already can only make template texts variable.
-                if key in have[2] and have[3].issubset(x[1:] for x in labels if x[0] == "#"):
-                    continue
-                have[0] = align(have[0], parse(labels))
-                have[2].add(key)
-                have[3] = constants(have[0])
+                have[1] &= own
+                have[2] += 1
+                if key not in shapes[host]:
+                    have[0] = align(have[0], parse(labels))
+                    shapes[host].add(key)
             if len(got) > HOSTS:
-                yield batch_of({h: x[:2] for h, x in got.items()})
-                got = {}
+                yield batch_of(got)
+                got, shapes = {}, {}
         if got:
-            yield batch_of({h: x[:2] for h, x in got.items()})
+            yield batch_of(got)
 
     def merge(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("host").to_pylist(), table.column("expression").to_pylist(), table.column("n").to_pylist()))
-        return pa.Table.from_batches([batch_of(merge_all((h, [_unpack(x) for x in json.loads(e)], n) for h, e, n in rows))])
+        got: dict[str, list] = {}
+        for host, expression, shared, n in sorted(zip(*(table.column(c).to_pylist() for c in ("host", "expression", "shared", "n")))):
+            e, s = [_unpack(x) for x in json.loads(expression)], set(json.loads(shared))
+            got[host] = [align(got[host][0], e), got[host][1] & s, got[host][2] + n] if host in got else [e, s, n]
+        return pa.Table.from_batches([batch_of(got)])
 
-    schema = "host string, expression string, n long"
     now = written(bounded_batches(pages.select(_host(url).alias("host"), F.col(html).cast("string").alias("html"))).mapInArrow(first, schema), "wrappers")
     while True:
         most = now.groupBy("host").count().agg(F.max("count")).first()[0] or 0
@@ -396,7 +384,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
 
     def template(batches):
         for batch in batches:
-            texts = [sorted(constants([_unpack(x) for x in json.loads(e)])) if n > 2 else [] for e, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            texts = [json.loads(s) if n > 2 else [] for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.string()))], names=["w_host", "template"])
 
     def run(batches):
@@ -406,7 +394,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    known = found.mapInArrow(template, "w_host string, template array<string>").where(F.size("template") > 0)
+    known = found.select("host", "shared", "n").mapInArrow(template, "w_host string, template array<string>").where(F.size("template") > 0)
     known = written(known, "templates", found)  # so that its true size decides how it is joined
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), _host(url).alias("host"))
     both = rows.join(known, F.col("host") == F.col("w_host"), "left")
