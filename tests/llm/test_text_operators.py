@@ -218,9 +218,8 @@ def _with_tiny_groups(docs, monkeypatch):
     for did, _, start, *key in windows:
         if twice[tuple(key)] > 1:
             spans[did].append((start, start + 200))
-    return sorted(((i, sum(b - a for a, b in suffixes._merged(spans[n]))) for n, (i, _) in enumerate(docs)), key=lambda r: str((r[0], len(docs[0][1]))) if False else str(r[0])) if False else [
-        (r[0], r[1]) for r in sorted(((i, sum(y - x for x, y in suffixes._merged(spans[n])), len(b), n) for n, (i, b) in enumerate(docs)), key=lambda r: str((r[0], r[2], r[1])))
-    ]
+    found = [(i, len(b), sum(y - x for x, y in suffixes._merged(spans[n]))) for n, (i, b) in enumerate(docs)]
+    return [(i, n) for i, _, n in sorted(found, key=str)]
 
 
 def test_language_profiles(spark, sf_dir):
