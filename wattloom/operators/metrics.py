@@ -59,6 +59,19 @@ def peak(runs: DataFrame, amount: Column, *keys: str, into: str = "peak") -> Dat
     return sweep(runs, amount, *keys).groupBy(*keys).agg(F.greatest(F.lit(0.0), F.max("level")).alias(into))
 
 
+def places(rows: DataFrame, at: str, *order: str) -> DataFrame:
+    """rows plus place, from 1, in the order of the instant at, then of the other columns.
+
+    Like sweep(): rows before a time cell are counted over the few cells, rows within it by a window of that cell.
+    """
+    celled = rows.withColumn("__cell", F.floor(F.col(at) / CELL_US))
+    cells = celled.groupBy("__cell").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("__cell").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__cell").orderBy(at, *order))
+    return celled.join(cells, F.col("__cell").eqNullSafe(F.col("__c"))).withColumn("place", F.col("__base") + inside).drop("__cell", "__c", "__base")
+
+
 def mean_watts() -> Column:
     """Power as drawn: accounted energy over the runtime."""
     seconds = (F.col("end_us") - F.col("start_us")) / F.lit(1e6)

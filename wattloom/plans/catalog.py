@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import physics, stats, timegrid
@@ -389,9 +389,9 @@ def _(spark, sf):
     return c.groupBy("job_id").agg(F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("start_us").alias("last_us"))
 
 
-@query("T11_candidate_costs", with_sql(JOBS, SIGNAL, CAND, select="SELECT job_id, start_us, round(cost_g, 6) AS cost_g FROM cost WHERE job_id % 10 = 3"))
+@query("T11_candidate_costs", with_sql(JOBS, SIGNAL, CAND, select="SELECT job_id, start_us, round(cost_g, 6) AS cost_g FROM cost"))
 def _(spark, sf):
-    return sig.candidate_costs(fx.jobs(spark, sf, None), fx.signal(spark), 6 * HOUR).where("job_id % 10 = 3").select("job_id", "start_us", _r("cost_g").alias("cost_g"))
+    return sig.candidate_costs(fx.jobs(spark, sf, None), fx.signal(spark), 6 * HOUR).select("job_id", "start_us", _r("cost_g").alias("cost_g"))
 
 
 @query("T12_O8_best_start", with_sql(JOBS, SIGNAL, CAND, "rk AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY cost_g, start_us) AS rn FROM cost)", select="SELECT job_id, start_us AS target_us, round(cost_g, 6) AS cost_g FROM rk WHERE rn = 1"))
@@ -413,9 +413,9 @@ def _(spark, sf):
     return fx.jobs(spark, sf, None).select("job_id", _r(physics.energy_kwh(F.col("avg_w"), F.col("run_s")), 9).alias("kwh"))
 
 
-@query("A3_A4_segments", with_sql(JOBS, SEGS, select="SELECT job_id, CAST(i AS BIGINT) AS seg, 20.0 * i AS offset_s, len_s AS length_s, avg_w AS power_w FROM segs WHERE job_id % 20 = 1"))
+@query("A3_A4_segments", with_sql(JOBS, SEGS, select="SELECT job_id, CAST(i AS BIGINT) AS seg, 20.0 * i AS offset_s, len_s AS length_s, avg_w AS power_w FROM segs"))
 def _(spark, sf):
-    rows = accounting.segments(fx.jobs(spark, sf, None), "average").where("job_id % 20 = 1")
+    rows = accounting.segments(fx.jobs(spark, sf, None), "average")
     return rows.select("job_id", F.col("seg").cast("long").alias("seg"), "offset_s", "length_s", "power_w")
 
 
@@ -626,13 +626,12 @@ def _(spark, sf):
 
 @query("O2_queue_order", with_sql(JOBS, select="SELECT job_id, row_number() OVER (ORDER BY release_us, order_key) AS place FROM jobs"))
 def _(spark, sf):
-    w = Window.orderBy("release_us", "order_key")
-    return fx.jobs(spark, sf, None).select("job_id", F.row_number().over(w).cast("long").alias("place"))
+    return metrics.places(fx.jobs(spark, sf, None), "release_us", "order_key").select("job_id", "place")
 
 
-@query("O3_record_order", with_sql(JOBS, select="SELECT job_id, trace_start_us FROM jobs ORDER BY trace_start_us, order_key LIMIT 200"))
+@query("O3_record_order", with_sql(JOBS, select="SELECT job_id, trace_start_us, row_number() OVER (ORDER BY trace_start_us, order_key) AS place FROM jobs"))
 def _(spark, sf):
-    return fx.jobs(spark, sf, None).orderBy("trace_start_us", "order_key").select("job_id", "trace_start_us").limit(200)
+    return metrics.places(fx.jobs(spark, sf, None), "trace_start_us", "order_key").select("job_id", "trace_start_us", "place")
 
 
 # ---- placement -----------------------------------------------------------------------------------------------
