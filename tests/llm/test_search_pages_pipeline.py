@@ -1,4 +1,6 @@
+import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -46,16 +48,66 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>
 <form><input name=q>Search</form><div class="ad">Buy</div><!-- <p>gone</p> --><table><tr><td>a<td>b</table></article><section class="comments"><p>Nice!</p></section><footer>&copy; x</footer></body></html>"""
 
 
+def infer(pages):
+    """The wrapper of pages aligned one by one."""
+    every = [wrappers.stream(p) for p in pages]
+    nodes = wrappers.parse(*every[0])
+    for one in every[1:]:
+        nodes = wrappers.align(nodes, wrappers.parse(*one))
+    return wrappers.Wrapper(nodes, pages=len(pages))
+
+
 def test_main_text_of_a_rich_page():
     assert wrappers.main_text(PAGE) == "Head & line\nFirst part more.\nSecond para graph.\none\ntwo\na\nb"
     assert wrappers.main_text("") == "" and wrappers.main_text("plain &lt;text") == "plain <text" and wrappers.main_text("<p>cut <b") == "cut"
-    assert wrappers.main_text("<body><div>Menu</div><p>Story</p></body>", frozenset({"Menu"})) == "Story"
+    host = infer([f"<body><div>Menu</div><p>{t}</p></body>" for t in ("Story", "Other", "Third")])
+    assert wrappers.main_text("<body><div>Menu</div><p>Story</p></body>", host) == "Story"
 
 
 def test_alignment_finds_optionals_repeats_and_slots():
-    e = lambda page: wrappers.parse(wrappers.stream(page))
+    e = lambda page: wrappers.parse(*wrappers.stream(page))
     a, b = e("<div>T<p>x</p><p>y</p></div>"), e("<div>T<h2>q</h2><p>z</p></div>")
-    assert wrappers.align(a, b) == ["<div", ("#", "T"), ("?", ["<h2", ("#", "q"), ">h2"]), ("+", ["<p", ("#", None), ">p"]), ">div"]
+    assert wrappers.align(a, b) == ["<div", ("#", "o", "T", 2), ("?", ["<h2", ("#", "o", "q", 1), ">h2"]), ("+", ["<p", ("#", "o", None, 2), ">p"]), ">div"]
+
+
+def random_page(rnd, depth=0):
+    """Nested blocks, unclosed and stray tags, inline markup and repeats."""
+    out = []
+    for _ in range(rnd.randint(0, 4)):
+        kind = rnd.random()
+        if kind < 0.3 or depth > 3:
+            out.append(rnd.choice(["Aa", "Bb &amp; c", " ", "Aa <b>x</b> y", "l<br>m", "<i>open", "</section>", "<img src=x>"]))
+        else:
+            tag, times = rnd.choice(["p", "div", "li", "article", "nav", 'div class="ad"', "td"]), rnd.randint(1, 3)
+            for _ in range(times):
+                out.append(f"<{tag}>{random_page(rnd, depth + 1)}" + (f"</{tag.split()[0]}>" if rnd.random() < 0.8 else ""))
+    return "".join(out)
+
+
+def test_wrappers_accept_the_pages_they_come_from():
+    """Bound slots are as many as the page has and of their kinds, in order; the texts are those of the page read alone."""
+    for seed in range(150):
+        rnd = random.Random(seed)
+        pages = [random_page(rnd) for _ in range(rnd.randint(1, 8))]
+        host = infer(pages)
+        for page in pages:
+            labels, pieces = wrappers.stream(page)
+            bound = host.bind(labels)
+            assert bound is not None and len(bound) == len(labels)
+            for label, p in zip(labels, bound):
+                node = host.nodes[p]
+                assert label == (node if isinstance(node, str) else "#" + node[1])
+            if any(kind == "m" for n, kind, _, _ in pieces if n >= 0):
+                assert wrappers.main_text(page, host) == wrappers.main_text(page)
+
+
+def test_pages_of_the_test_table_bind(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = {r["host"]: r for r in wrappers.wrappers(rows).collect()}
+    assert sum(r["n"] for r in found.values()) == rows.count()
+    for r in rows.select(wrappers._host("url").alias("host"), "html").collect():
+        w = found[r["host"]]
+        assert wrappers.Wrapper([wrappers._unpack(x) for x in json.loads(w["expression"])]).bind(wrappers.stream(r["html"])[0]) is not None
 
 
 def test_wrappers_drop_template_texts(spark):

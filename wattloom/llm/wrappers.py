@@ -1,16 +1,16 @@
 """Main-text extraction with wrappers inferred as union-free regular expressions.
 
-A page is a token stream: tags with their class or id, and text slots. Streams of a host are aligned
-one after the other into one expression over tags, text slots, optional groups and repeated groups:
+A page is a stream of balanced block tags, with their class or id, and of text slots. A slot's kind says where it
+stands: in the article region (m), in boilerplate (s), or elsewhere (o). Streams of a host are aligned one after
+the other into one expression over tags, slots, optional groups and repeated groups:
     a text mismatch makes a slot variable;
     a tag mismatch makes a repeat where the tokens before it complete a block that occurs again (its
     copies are folded), and otherwise an optional group up to the next common token.
-Only distinct streams are aligned, after folding repeats, in salted blocks of bounded size whose
-expressions are merged, so a host with a third of all pages is pre-aggregated like any other.
+Pages of one shape after folding only make slots variable; different shapes are aligned, in salted blocks of bounded size
+whose expressions are merged, so a host with a third of all pages is pre-aggregated like any other.
 
-Beside the expression the texts that all its pages share are kept: template text, as against slots that carry content.
-The main text is that of the slots in the article region, without slots whose path is boilerplate; a page without such
-a region gives all slots that are neither boilerplate nor template.
+A page is then read by its host's expression: the automaton of the expression binds every slot of the page to a slot of the
+wrapper, and the texts bound to content slots are the main text.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import html as entities
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ from .common import bounded_batches, written
 
 #: Streams aligned in one task before their expressions are merged with those of other tasks.
 BLOCK = 64
-#: Hosts whose expressions a task holds before it passes them on.
-HOSTS = 2000
+#: Page shapes whose expressions a task holds before it passes them on, and compiled wrappers that a task remembers.
+SHAPES, HOSTS = 4096, 256
+#: Characters up to which a constant text is kept in an expression as it is.
+SHORT = 64
 
 # Fixed values of HTML: void elements, raw-text elements, elements that break a line of text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -90,112 +93,143 @@ _IN_P = BLOCKS - {"body", "html", "head", "caption", "tbody", "td", "th", "tr",
 _INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 
 
-def slots(page: str) -> list[tuple[tuple, str, bool]]:
-    """(path, text, breaks) of each text slot: path of (element, words, hidden), decoded text; breaks: a block boundary precedes it."""
-    out, stack, breaks = [], [], True
-    for token in tokens(page):
-        if token[0] == "t":
-            out.append((tuple(stack), entities.unescape(token[1]), breaks))
-            breaks = False
-            continue
-        name = token[1]
-        if token[0] == "<":
-            if name in _IN_P:
-                _close(stack, {"p"}, BLOCKS - {"p"})
-            if name in CLOSES:
-                _close(stack, *CLOSES[name])
-            stack.append((name, token[2], token[3]))
-            if name == "br":
-                out.append((tuple(stack), " ", breaks))
-                breaks = False
-        elif name in _INLINE:
-            _close(stack, {name}, BLOCKS)
-        else:
-            _close(stack, {name}, set())
-        breaks |= name in BLOCKS
-    return out
-
-
-def _close(stack: list, names: set, stop: set) -> None:
-    """Drop the stack down to its last element of names, unless one of stop comes first."""
+def _close(stack: list, names: set, stop: set) -> list[str]:
+    """Drop the stack down to its last element of names, unless one of stop comes first; the block tags closed, innermost first."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] in names:
+            closed = [x[0] for x in stack[i:] if x[0] not in _INLINE]
             del stack[i:]
-            return
+            return closed[::-1]
         if stack[i][0] in stop:
-            return
+            break
+    return []
 
 
 def _label(step: tuple) -> str:
     return step[0] + ("." + ".".join(step[1]) if step[1] else "") + ("!" if step[2] else "")
 
 
-def stream(page: str) -> list[str]:
-    """Tag labels and text slots of a page for alignment, neighbouring repeats folded."""
-    out: list[str] = []
+def stream(page: str) -> tuple[list[str], list[tuple]]:
+    """(labels, pieces) of a page: balanced block tags and typed text slots, and the slots' texts.
+
+    A label is "<tag", ">tag", or "#" with the slot's kind: m in the article region, s boilerplate, o other. Elements that only
+    mark up text are no labels, so a slot is a run of text of one kind between block tags. A piece is (slot number or -1 for
+    blank text, kind, decoded text, whether a block boundary precedes it).
+    """
+    labels: list[str] = []
+    pieces: list[tuple] = []
+    stack: list[tuple] = []
+    run: list[str] = []
+    kind, breaks, n = "", True, 0
+
+    def flush():
+        nonlocal n, run, breaks
+        if run:
+            text = "".join(run)
+            if text.strip():
+                labels.append("#" + kind)
+                pieces.append((n, kind, text, breaks))
+                n += 1
+            else:
+                pieces.append((-1, kind, text, breaks))
+            run, breaks = [], False
+
+    def put(text):
+        nonlocal kind
+        now = "s" if skipped(stack) else "m" if _in_main(stack) else "o"
+        if now != kind:
+            flush()
+            kind = now
+        run.append(text)
+
     for token in tokens(page):
+        if token[0] == "t":
+            put(entities.unescape(token[1]))
+            continue
+        name = token[1]
+        if name == "br":
+            if token[0] == "<":
+                put(" ")
+            continue
+        if name not in _INLINE:
+            flush()
         if token[0] == "<":
-            out.append("<" + _label(token[1:]))
-        elif token[0] == ">":
-            out.append(">" + token[1])
-        elif token[1].strip():
-            out.append("#" + " ".join(entities.unescape(token[1]).split()))
-    return out
+            shut = _close(stack, {"p"}, BLOCKS - {"p"}) if name in _IN_P else []
+            shut += _close(stack, *CLOSES[name]) if name in CLOSES else []
+            labels += [">" + x for x in shut]
+            stack.append((name, token[2], token[3]))
+            if name not in _INLINE:
+                labels.append("<" + _label(token[1:]))
+        else:
+            labels += [">" + x for x in (_close(stack, {name}, BLOCKS) if name in _INLINE else _close(stack, {name}, set()))]
+        breaks |= name in BLOCKS
+    flush()
+    labels += [">" + x[0] for x in reversed(stack) if x[0] not in _INLINE]
+    return labels, pieces
 
 
-# Expressions: lists of nodes. A node is a tag label, ('#', text or None), ('?', expression) or ('+', expression).
-def parse(labels: list[str]) -> list:
-    return fold([("#", x[1:]) if x[0] == "#" else x for x in labels])
+def constant(text: str) -> str:
+    """What stands for a slot's text in an expression, where only equality matters: a long one by its digest."""
+    words = " ".join(text.split())
+    return words if len(words) <= SHORT else "\0" + xxhash.xxh3_128_hexdigest(words.encode("utf-8", "surrogatepass"))
 
 
-_REPEAT = re.compile(r"(.{1,24}?)\1+", re.S)
+# Expressions: lists of nodes. A node is a tag label, ('#', kind, constant or None, pages), ('?', expression) or ('+', expression).
+def parse(labels: list[str], pieces: list[tuple]) -> list:
+    texts = iter([constant(p[2]) for p in pieces if p[0] >= 0])
+    return fold([("#", x[1:], next(texts), 1) if x[0] == "#" else x for x in labels])
 
 
-def shape(labels: list[str]) -> int:
-    """A digest of the labels without texts, neighbouring repeats counted once."""
-    chars: dict[str, str] = {}
-    line = "".join(chars.setdefault("#" if x[0] == "#" else x, chr(0xE000 + len(chars))) for x in labels)
-    while (less := _REPEAT.sub(r"\1", line)) != line:
-        line = less
-    return hash((tuple(chars), line))
+def _key(node):
+    """What two nodes must share to align: equal tags, text slots of one kind, groups of the same shape."""
+    if isinstance(node, str):
+        return node
+    return ("#", node[1]) if node[0] == "#" else (node[0], tuple(map(_key, node[1])))
 
 
 def _same(a, b) -> bool:
-    """Nodes that align: equal tags, any two texts, groups of the same shape."""
-    if isinstance(a, str) or isinstance(b, str):
-        return a == b
-    if a[0] != b[0]:
-        return False
-    return a[0] == "#" or (len(a[1]) == len(b[1]) and all(map(_same, a[1], b[1])))
+    return a == b if isinstance(a, str) or isinstance(b, str) else a[0] == b[0] and _key(a) == _key(b)
 
 
-def _join(a, b):
+def _join(a, b, pages=max):
+    """One node for two that are the same. A text mismatch makes the slot variable; pages: how page counts combine."""
     if isinstance(a, str):
         return a
     if a[0] == "#":
-        return a if a[1] == b[1] else ("#", None)
-    return a[0], [_join(x, y) for x, y in zip(a[1], b[1])]
+        return "#", a[1], a[2] if a[2] == b[2] else None, pages(a[3], b[3])
+    return a[0], [_join(x, y, pages) for x, y in zip(a[1], b[1])]
+
+
+def _both(a, b):
+    """_join() of nodes of different pages."""
+    return _join(a, b, lambda x, y: x + y)
 
 
 def fold(nodes: list) -> list:
     """Neighbouring copies of a block become one repeated group, shortest blocks first."""
-    size = 1
+    keys, size = list(map(_key, nodes)), 1
     while size <= min(24, len(nodes)):
+        if not any(x == y for x, y in zip(keys, keys[size:])) and not any(isinstance(k, tuple) and k[0] == "+" and len(k[1]) == size for k in keys):
+            size += 1
+            continue
         out: list = []
+        kept: list = []
         at = 0
         while at < len(nodes):
-            block = nodes[at : at + size]
-            last = out[-1] if out else None
-            if last is not None and not isinstance(last, str) and last[0] == "+" and len(last[1]) == size == len(block) and all(map(_same, last[1], block)):
-                out[-1] = ("+", list(map(_join, last[1], block)))
+            block = keys[at : at + size]
+            last = kept[-1] if kept else None
+            if isinstance(last, tuple) and last[0] == "+" and last[1] == tuple(block):
+                out[-1] = ("+", list(map(_join, out[-1][1], nodes[at : at + size])))
                 at += size
-            elif _closed(block) and len(nodes) >= at + 2 * size and all(map(_same, block, nodes[at + size : at + 2 * size])):
-                out.append(("+", list(map(_join, block, nodes[at + size : at + 2 * size]))))
+            elif block == keys[at + size : at + 2 * size] and _closed(block):
+                out.append(("+", list(map(_join, nodes[at : at + size], nodes[at + size : at + 2 * size]))))
+                kept.append(("+", tuple(block)))
                 at += 2 * size
             else:
                 out.append(nodes[at])
+                kept.append(keys[at])
                 at += 1
-        nodes, size = out, size + 1
+        nodes, keys, size = out, kept, size + 1
     return nodes
 
 
@@ -228,21 +262,21 @@ def align(a: list, b: list) -> list:
     while i < len(a) and j < len(b):
         x, y = a[i], b[j]
         if _same(x, y):
-            out.append(_join(x, y))
+            out.append(_both(x, y))
             i, j = i + 1, j + 1
             continue
         # One side repeats what the other has once: a single block against its group.
         if not isinstance(x, str) and x[0] == "+" and all(map(_same, x[1], b[j : j + len(x[1])])) and j + len(x[1]) <= len(b):
-            out.append(("+", list(map(_join, x[1], b[j : j + len(x[1])]))))
+            out.append(("+", list(map(_both, x[1], b[j : j + len(x[1])]))))
             i, j = i + 1, j + len(x[1])
             continue
         if not isinstance(y, str) and y[0] == "+" and all(map(_same, y[1], a[i : i + len(y[1])])) and i + len(y[1]) <= len(a):
-            out.append(("+", list(map(_join, y[1], a[i : i + len(y[1])]))))
+            out.append(("+", list(map(_both, y[1], a[i : i + len(y[1])]))))
             i, j = i + len(y[1]), j + 1
             continue
         # An optional group aligns with its content, or is skipped.
         if not isinstance(x, str) and x[0] == "?" and j + len(x[1]) <= len(b) and all(map(_same, x[1], b[j : j + len(x[1])])):
-            out.append(("?", list(map(_join, x[1], b[j : j + len(x[1])]))))
+            out.append(("?", list(map(_both, x[1], b[j : j + len(x[1])]))))
             i, j = i + 1, j + len(x[1])
             continue
         if not isinstance(x, str) and x[0] == "?":
@@ -276,11 +310,75 @@ def align(a: list, b: list) -> list:
 
 
 def _pack(x) -> object:
-    return x if isinstance(x, str) else [x[0], x[1] if x[0] == "#" else [_pack(y) for y in x[1]]]
+    return x if isinstance(x, str) else [*x] if x[0] == "#" else [x[0], [_pack(y) for y in x[1]]]
 
 
 def _unpack(x) -> object:
-    return x if isinstance(x, str) else (x[0], x[1] if x[0] == "#" else [_unpack(y) for y in x[1]])
+    return x if isinstance(x, str) else tuple(x) if x[0] == "#" else (x[0], [_unpack(y) for y in x[1]])
+
+
+class Wrapper:
+    """A host's expression as an automaton over its tags and slots, which binds each slot of a page to one of its own."""
+
+    def __init__(self, expression: list, shared: frozenset = frozenset(), pages: int = 1):
+        self.nodes: list = [None]  # of each position; 0 is the start
+        self.follow: list[dict] = [{}]
+        first, last, empty = self._build(expression)
+        self._link([0], first)
+        self.last = set(last) | ({0} if empty else set())
+        self.shared = shared if pages > 2 else frozenset()
+
+    def _link(self, before, after) -> None:
+        for p in before:
+            for q in after:
+                label = self.nodes[q] if isinstance(self.nodes[q], str) else "#" + self.nodes[q][1]
+                to = self.follow[p].setdefault(label, [])
+                if q not in to:
+                    to.append(q)
+
+    def _build(self, nodes: list) -> tuple[list, list, bool]:
+        """(first positions, last positions, whether it may be empty) of a sequence."""
+        first, last, empty = [], [], True
+        for node in nodes:
+            if isinstance(node, str) or node[0] == "#":
+                self.nodes.append(node)
+                self.follow.append({})
+                f, t, e = [len(self.nodes) - 1], [len(self.nodes) - 1], False
+            else:
+                f, t, e = self._build(node[1])
+                if node[0] == "+":
+                    self._link(t, f)
+                e |= node[0] == "?"
+            self._link(last, f)
+            first = first + f if empty else first
+            last, empty = last + t if e else t, empty and e
+        return first, last, empty
+
+    def bind(self, labels: list[str]) -> list[int] | None:
+        """The position of each label, of several ways through the earliest; None if the expression has no such stream."""
+        now, steps = {0: -1}, []
+        for label in labels:
+            to: dict[int, int] = {}
+            for p in sorted(now):
+                for q in self.follow[p].get(label, ()):
+                    to.setdefault(q, p)
+            if not to:
+                return None
+            steps.append(to)
+            now = to
+        at = min((p for p in now if p in self.last), default=None)
+        if at is None:
+            return None
+        out = []
+        for to in reversed(steps):
+            out.append(at)
+            at = to[at]
+        return out[::-1]
+
+    def template(self, position: int, text: str) -> bool:
+        """Whether a slot holds template text: constant over three or more pages, or a text that all pages share."""
+        node = self.nodes[position]
+        return node[2] is not None and node[3] > 2 or constant(text) in self.shared
 
 
 def _host(url: str):
@@ -288,9 +386,9 @@ def _host(url: str):
 
 
 def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, expression, shared, n): one expression per host and the texts that all its n pages have, as JSON.
+    """(host, expression, shared, n): one expression per host and the texts outside articles that all its n pages have, as JSON.
 
-    Per task each host's pages are aligned as they stream by, each shape once, so what is shuffled is
+    Per task each host's pages are joined by shape as they stream by and the shapes are aligned, so what is shuffled is
     one expression per host and task; those are merged in blocks of BLOCK until a host has one.
     """
     import json
@@ -302,26 +400,38 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 3 else pa.string()) for i, c in enumerate(cols)], names=["host", "expression", "shared", "n"])
 
     def first(batches):
-        got: dict[str, list] = {}
-        shapes: dict[str, set] = {}
+        shapes: dict[str, dict] = {}
+        rest: dict[str, list] = {}
+
+        def aligned():
+            out = {}
+            for host, of in shapes.items():
+                every = list(of.values())
+                for e in every[1:]:
+                    every[0] = align(every[0], e)
+                out[host] = (every[0], *rest[host])
+            return batch_of(out)
+
+        held = 0
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                labels = stream(page.as_py() or "")
-                own, key = {x[1:] for x in labels if x[0] == "#"}, shape(labels)
-                if host not in got:
-                    got[host], shapes[host] = [parse(labels), own, 1], {key}
-                    continue
-                have = got[host]
-                have[1] &= own
-                have[2] += 1
-                if key not in shapes[host]:
-                    have[0] = align(have[0], parse(labels))
-                    shapes[host].add(key)
-            if len(got) > HOSTS:
-                yield batch_of(got)
-                got, shapes = {}, {}
-        if got:
-            yield batch_of(got)
+                labels, pieces = stream(page.as_py() or "")
+                nodes = parse(labels, pieces)
+                own, key = {constant(p[2]) for p in pieces if p[0] >= 0 and p[1] == "o"}, tuple(map(_key, nodes))
+                of = shapes.setdefault(host, {})
+                if key in of:  # a page of known shape only makes slots variable
+                    of[key] = list(map(_both, of[key], nodes))
+                else:
+                    of[key], held = nodes, held + 1
+                if host in rest:
+                    rest[host] = [rest[host][0] & own, rest[host][1] + 1]
+                else:
+                    rest[host] = [own, 1]
+            if held > SHAPES:
+                yield aligned()
+                shapes, rest, held = {}, {}, 0
+        if shapes:
+            yield aligned()
 
     def merge(table: pa.Table) -> pa.Table:
         got: dict[str, list] = {}
@@ -355,19 +465,31 @@ def _in_main(path: tuple) -> bool:
     return any(name in MAIN_TAGS or MAIN_WORDS.intersection(words) and name not in ("html", "body") for name, words, _ in path)
 
 
-def main_text(page: str, template: frozenset[str] = frozenset()) -> str:
-    """The article's blocks, one per line. template: texts that every page of the host has; outside the article region they are dropped."""
-    kept = [(path, text, breaks) for path, text, breaks in slots(page)]
-    region = any(_in_main(path) and not skipped(path) for path, _, _ in kept)
+def main_text(page: str, wrapper: Wrapper | None = None) -> str:
+    """The article's blocks, one per line: texts of the content slots that the page binds in its host's wrapper.
+
+    Content slots are those of the article region, or, where a page has none, all that are neither boilerplate nor template.
+    A page that the wrapper doesn't accept is read by the wrapper inferred from it alone.
+    """
+    labels, pieces = stream(page)
+    bound = wrapper.bind(labels) if wrapper else None
+    if bound is None:
+        wrapper = Wrapper(parse(labels, pieces))
+        bound = wrapper.bind(labels) or []
+    places = [p for p in bound if not isinstance(wrapper.nodes[p], str)]
+    region = any(wrapper.nodes[p][1] == "m" for p in places)
     blocks: list[list[str]] = [[]]
-    for path, text, breaks in kept:
+    for slot, kind, text, breaks in pieces:
         if breaks and blocks[-1]:
             blocks.append([])
-        if skipped(path) or region and not _in_main(path):
-            continue
-        if not region and " ".join(text.split()) in template:
-            continue
-        blocks[-1].append(text)
+        if slot < 0:
+            content = kind == ("m" if region else "o")
+        elif region:
+            content = wrapper.nodes[places[slot]][1] == "m"
+        else:
+            content = wrapper.nodes[places[slot]][1] == "o" and not wrapper.template(places[slot], text)
+        if content:
+            blocks[-1].append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks)
     return "\n".join(x for x in lines if x)
 
@@ -382,20 +504,26 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
 
     found = wrappers(pages, html, url)
 
-    def template(batches):
-        for batch in batches:
-            texts = [json.loads(s) if n > 2 else [] for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.string()))], names=["w_host", "template"])
+    def compiled(expression, shared, n):
+        return Wrapper([_unpack(x) for x in json.loads(expression)], frozenset(json.loads(shared)), n) if expression else None
 
     def run(batches):
+        known: dict[tuple, Wrapper] = {}
         for batch in batches:
-            texts = [main_text(p.as_py() or "", frozenset(t or ())) for p, t in zip(batch.column(2), batch.column(3).to_pylist())]
+            texts = []
+            for page, *wrapper in zip(batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4, 5))):
+                key = tuple(wrapper)
+                if key not in known:
+                    if len(known) >= HOSTS:
+                        known.clear()
+                    known[key] = compiled(*wrapper)
+                texts.append(main_text(page.as_py() or "", known[key]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    known = found.select("host", "shared", "n").mapInArrow(template, "w_host string, template array<string>").where(F.size("template") > 0)
-    known = written(known, "templates", found)  # so that its true size decides how it is joined
+    # written() cut the wrappers' lineage, so that their true size decides how they are joined
+    known = found.select(F.col("host").alias("w_host"), F.col("expression").alias("w_expression"), F.col("shared").alias("w_shared"), F.col("n").alias("w_n"))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), _host(url).alias("host"))
     both = rows.join(known, F.col("host") == F.col("w_host"), "left")
-    return bounded_batches(both.select("page_id", "url", "html", "template")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded_batches(both.select("page_id", "url", "html", "w_expression", "w_shared", "w_n")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
