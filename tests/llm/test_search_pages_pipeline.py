@@ -1,13 +1,17 @@
 import json
 import math
 import random
+import struct
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.helpers import collected, texts
+from tests.llm.helpers import collected, plain_words, texts
 from tests.llm.test_text_operators import classes, fp, target_by_rounds
 from wattloom.llm import langid, licences, packing, queries, topk, wrappers
 
@@ -144,8 +148,6 @@ def test_licence_gate_drops_nothing(spark, sf_dir):
     vectors, idf, unknown, _ = licences.model()
 
     def plain(line):
-        from collections import Counter
-
         tf = Counter(licences._tokens(line))
         size = math.sqrt(sum((n * idf.get(t, unknown)) ** 2 for t, n in tf.items()))
         return max(((sum(w * tf[t] * idf[t] for t, w in v.items()) / size, name) for name, v in vectors), default=(0, "")) if size else (0, "")
@@ -180,12 +182,54 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
             assert now.columns == docs.columns
     sizes: dict = {}
     for r in kept.values():
-        sizes[r["source"]] = sizes.get(r["source"], 0) + len(r["text"].split())
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(plain_words(r["text"]))
     words = packing.WordIds(queries.tokenizer_path())
-    mixed = corpus_pipeline.run(spark, sf_dir).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert {r["doc_id"] for r in mixed} <= set(kept)
-    for r in mixed:
-        full = len(words.ids(kept[r["doc_id"]]["text"])) + 1
-        assert r["n"] <= 2 * full
-    assert sum(target_by_rounds(sizes).values()) == pytest.approx(1.5 * sum(sizes.values()))
-    assert corpus_pipeline.run(spark, sf_dir).count() == stages["pack"]
+    want = Counter()  # of (doc_id, ids of one copy)
+    for i, copies in mixed_by_force(kept, target_by_rounds(sizes), sizes).items():
+        for text in copies:
+            want[i, (*words.ids(text).tolist(), packing.END_ID)] += 1
+    pieces = collected(corpus_pipeline.run(spark, sf_dir))
+    assert len(pieces) == stages["pack"]
+    fits: dict = {}
+    for i, ids in want:
+        fits.setdefault((i, len(ids)), []).append(ids)
+    covered = Counter()
+    windows: dict = {}
+    for r in pieces:
+        whole = fits[r["doc_id"], r["doc_tokens"]]
+        part = [ids[r["start"] : r["start"] + r["length"]] for ids in whole]
+        assert r["ids_crc32"] in {zlib.crc32(np.array(ids, "<u4")) for ids in part}
+        covered[r["doc_id"], r["doc_tokens"]] += r["length"]
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert covered == Counter({(i, n): n * sum(want[i, ids] for ids in of) for (i, n), of in fits.items()})
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at == 4096 or at & (at - 1) == 0
+
+
+def mixed_by_force(docs, target, sizes):
+    """Texts of each document in the mix, source by source: whole copies, then in rank order until the words are spent."""
+    xxh = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    out = {}
+    for source, total in sizes.items():
+        rate = target[source] / total if total else 0.0
+        copies = math.floor(rate + 1e-12)
+        p, rest = max(0.0, rate - copies), max(0, math.floor(target[source] - copies * total + 0.5))
+        ranks = []
+        for i, r in docs.items():
+            if r["source"] == source:
+                text = r["text"].encode()
+                row = xxh(text, xxh(struct.pack("<q", i)))
+                h = xxh(struct.pack("<Q", row), xxh(struct.pack("<q", i), xxh(b"mix")))
+                u = ((h >> 11) + 0.5) / 2**53
+                out[i] = [r["text"]] * copies
+                ranks.append(((u / (1 - u)) / (p / (1 - p)) if p > 0 else math.inf, i))
+        for _, i in sorted(ranks):
+            own = plain_words(docs[i]["text"])
+            if rest > 0 and own:
+                out[i] = out[i] + [" ".join(own[:rest])]
+                rest -= min(rest, len(own))
+    return {i: copies for i, copies in out.items() if plain_words(docs[i]["text"])}
