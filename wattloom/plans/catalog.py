@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import physics, stats, timegrid
 from ..operators import accounting, cleaning, metrics, placement, signal as sig
 from ..schemas import BUCKET_US
-from ..scratch import place
+from ..scratch import place, stored
 from ..sources import grid_api, jobs as job_source, signal_cache, sinks
+from ..streaming import completed_jobs
 from . import experiments, fixtures as fx
 from .fixtures import DERIVED, EV, HELD, JOBS, OVER, RAW, SEGS, SIGNAL, with_sql
 
@@ -293,12 +294,21 @@ def _(spark, sf):
 _STAGES = ["raw", "completed", "selected_partition", "timestamps_ordered", "runtime_exact_positive", "node_structure_valid", "requested_nodes_match_allocation", "node_power_valid", "node_profile_within_one_sample", "no_observed_node_time_overlap"]
 
 
-@query("P13_W6_filter_ledger", with_sql(DERIVED, "st AS (" + " UNION ALL ".join(f"SELECT {i} AS no, '{s}' AS stage, count(*) FILTER ({' AND '.join(['true', *(f'r{k}' for k in range(1, i + 1))])}) AS n FROM ruled" for i, s in enumerate(_STAGES)) + ")",
-    select="SELECT CAST(no AS INTEGER) AS no, stage, n AS rows_remaining, coalesce(lag(n) OVER (ORDER BY no) - n, 0) AS rows_removed_at_stage FROM st"))
+_LEDGER = with_sql(DERIVED, "st AS (" + " UNION ALL ".join(f"SELECT {i} AS no, '{s}' AS stage, count(*) FILTER ({' AND '.join(['true', *(f'r{k}' for k in range(1, i + 1))])}) AS n FROM ruled" for i, s in enumerate(_STAGES)) + ")",
+    select="SELECT CAST(no AS INTEGER) AS no, stage, n AS rows_remaining, coalesce(lag(n) OVER (ORDER BY no) - n, 0) AS rows_removed_at_stage FROM st")
+
+
+@query("P13_W6_filter_ledger", _LEDGER)
 def _(spark, sf):
     return cleaning.ledger(cleaning.with_derived(fx.raw_trace(spark, sf)))
 
 
+@query("K5_clean_outputs", _LEDGER)
+def _(spark, sf):
+    out = sinks.write_clean_outputs(fx.raw_trace(spark, sf), place(spark, "outputs"))
+    return spark.read.schema("no int, stage string, rows_remaining long, rows_removed_at_stage long").option("header", True).csv(out["ledger"])
+
+
 @query("P14_postconditions", "SELECT unnest(['nonempty', 'unique_job_id', 'completed_only', 'partition_1_only', 'positive_runtime', 'runtime_exact', 'node_request_matches_allocation', 'allocated_nodes_match_list', 'unique_nodes_within_job', 'usable_node_power', 'profile_within_one_sample', 'no_observed_node_sharing']) AS assertion, true AS passed")
 def _(spark, sf):
     return cleaning.postconditions(cleaning.clean(cleaning.with_derived(fx.raw_trace(spark, sf))))
@@ -668,6 +678,20 @@ def _(spark, sf):
     return placement.simulate(j, _scenario(spark, [experiments.scenario("easy", "easy", _nodes(j)), experiments.scenario("easy-w10", "easy", _nodes(j), window=10)]))
 
 
+@query("X18_J6_O4_O5_O6_run_invariants", with_sql(JOBS, select="SELECT unnest(['easy', 'easy-w10', 'fcfs']) AS scenario_id, (SELECT count(*) FROM jobs) AS placed, CAST(0 AS BIGINT) AS early, CAST(0 AS BIGINT) AS wrong_end, CAST(0 AS BIGINT) AS over_capacity"))
+def _(spark, sf):
+    j = fx.jobs(spark, sf, None)
+    n = _nodes(j)
+    runs = stored(placement.simulate(j, _scenario(spark, [experiments.scenario("fcfs", "fcfs", n), experiments.scenario("easy", "easy", n), experiments.scenario("easy-w10", "easy", n, window=10)])), "runs")
+    both = runs.select("scenario_id", "job_id", "start_us", "end_us").join(j.select("job_id", "release_us", "run_s", "nodes"), "job_id")
+    over = metrics.sweep(both, F.col("nodes"), "scenario_id").groupBy("scenario_id").agg(F.count_if(F.col("level") > n).alias("over_capacity"))
+    sound = both.groupBy("scenario_id").agg(
+        F.countDistinct("job_id").alias("placed"), F.count_if(F.col("start_us") < F.col("release_us")).alias("early"),
+        F.count_if(F.col("end_us") != F.col("start_us") + timegrid.seconds_us(F.col("run_s"))).alias("wrong_end"),
+    )
+    return sound.join(over, "scenario_id")
+
+
 @query("X5_power_capped")
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
@@ -721,3 +745,18 @@ def _(spark, sf):
 def _(spark, sf):
     j = fx.jobs(spark, sf)
     return _rounded(metrics.flat_row(experiments.single_run(j, fx.signal(spark), experiments.scenario("easy", "easy", _nodes(j)))[1]))
+
+
+# ---- streaming -----------------------------------------------------------------------------------------------
+
+@query("stream_windowed_emissions", with_sql(JOBS, SEGS, SIGNAL, select="""SELECT end_us - end_us % 3600000000 AS window_us, round(sum(kwh), 6) AS kwh, round(sum(kwh * ci), 4) AS gco2e, count(*) AS segments
+    FROM (SELECT release_us + 1000000 * run_n AS end_us, release_us + 20000000 * i AS at_us, w * len_s / 3600000.0 AS kwh FROM segs) s JOIN sig ON sig.bucket_us = at_us - at_us % 900000000 GROUP BY 1"""))
+def _(spark, sf):
+    """All jobs as a stream that ends; every batch replaces the table of window sums."""
+    stored_jobs = fx.jobs(spark, sf)
+    table = place(spark, "windows")
+    source = spark.readStream.schema(stored_jobs.schema).parquet(stored_jobs.inputFiles()[0].rsplit("/", 1)[0])
+    sums = completed_jobs.windowed_emissions(completed_jobs.completion_stream(source.withColumn("start_us", F.col("release_us"))), fx.signal(spark))
+    run = sums.writeStream.outputMode("complete").option("checkpointLocation", place(spark, "stream")).trigger(availableNow=True)
+    run.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table)).start().awaitTermination()
+    return spark.read.parquet(table).select(F.unix_micros("window_start").alias("window_us"), _r("kwh").alias("kwh"), _r("gco2e", 4).alias("gco2e"), "segments")
