@@ -159,6 +159,15 @@ def test_licence_gate_drops_nothing(spark, sf_dir):
         assert r["own_licence"] == (name if score >= licences.THRESHOLD else None)
 
 
+def test_licence_lines_between_the_thresholds(spark):
+    """Lines that score 0.6 to 0.8, as long as they are and among long lines of common words."""
+    lines = {"MIT License": "MIT", "This software is released under the MIT License.": "MIT", "This text is licensed under CC BY 4.0.": "CC-BY-4.0", "Text available under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Apache License": "Apache-2.0"}
+    rows = [(i, f"d{i}/x", f"{'the work of any person is free to use ' * 50}word\n{line}\nend", line) for i, line in enumerate(lines)]
+    got = collected(licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string, line string")))
+    assert {r["doc_id"]: r["own_licence"] for r in got} == {i: lines[line] for i, _, _, line in rows}
+    assert all(0.6 <= r["score"] < 0.8 for r in got)
+
+
 def test_pipeline_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r["doc_id"]: r.asDict() for r in docs.collect()}

@@ -5,8 +5,10 @@ too, and one that is mostly licence text is its directory's licence file. A file
 licence of its own takes that of the nearest ancestor directory that has one.
 
 Only lines that hold a gate token are scored. Gate tokens are chosen so that a line without them can't
-reach the threshold: what is left of a template's length without them is below THRESHOLD. So the gate
-drops nothing, and all scoring happens in the row, without a shuffle. Inheritance joins each file's few
+reach the threshold: what is left of a template's length without them is below THRESHOLD. Of these lines,
+those are scored whose bound reaches the threshold: the products with the templates over a length in which
+each unknown token counts once. So both gates drop nothing, and all scoring happens in the row, without a
+shuffle. Inheritance joins each file's few
 ancestor directories with the directories that have a licence file.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import DID, THASH, held, keyed
 
-THRESHOLD = 0.8
+THRESHOLD = 0.6
 #: Identifiers with a notice or the opening words of the licence text.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
@@ -89,15 +91,29 @@ def _scores(tokens: str, vectors: list, idf: dict[str, float], unknown: float) -
     return f"transform(array({length}), len -> {best}[0])[0]"
 
 
+def _bound(tokens: str, vectors: list, idf: dict[str, float], unknown: float) -> str:
+    """SQL condition that holds for each token array that can reach THRESHOLD, without the counts of unknown tokens."""
+    known = f"array({', '.join(repr(t) for t in sorted(idf))})"
+    of = f"map_from_arrays({known}, array({', '.join(f'{idf[t]!r}D' for t in sorted(idf))}))"
+    tf = f"named_struct('t', t, 'n', (size({tokens}) - size(array_remove({tokens}, t))) * element_at({of}, t))"
+    least = f"aggregate(xs, {unknown**2!r}D * size(array_except({tokens}, {known})), (a, x) -> a + x.n * x.n)"
+    dots = []
+    for _, w in vectors:
+        weights = f"map_from_arrays(array({', '.join(repr(t) for t in sorted(w))}), array({', '.join(f'{w[t]!r}D' for t in sorted(w))}))"
+        dots.append(f"aggregate(xs, 0D, (a, x) -> a + x.n * coalesce(element_at({weights}, x.t), 0D))")
+    over = f"exists(array({least}), least -> greatest({', '.join(dots)}) >= {THRESHOLD - 1e-9!r}D * sqrt(least))"
+    return f"exists(array(transform(array_intersect({tokens}, {known}), t -> {tf})), xs -> {over})"
+
+
 def own_licences(files: DataFrame, text: str = "text", path: str = "path", doc_id: str = "doc_id", templates=None) -> DataFrame:
     """Per file row: doc_id, row key, path, licence, score, n_lines (licence lines), is_file (mostly licence text)."""
     vectors, idf, unknown, gate = model(templates)
     rows = keyed(files.withColumn("__path", F.col(path).cast("string")), "__path", text=text, doc_id=doc_id)
-    pattern = r"(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in gate) + r")(?![a-z0-9])"
     gated = reduce(lambda a, b: a | b, [F.contains("low", F.lit(t)) for t in gate])
     low = rows.withColumn("low", F.lower("text"))
-    lines = F.when(gated, F.filter(F.split("low", r"[\n\r]+"), lambda x: x.rlike(pattern))).otherwise(F.array().cast("array<string>"))
+    lines = F.when(gated, F.split("low", r"[\n\r]+")).otherwise(F.array().cast("array<string>"))
     low = low.withColumn("lines", F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))))
+    low = low.withColumn("lines", F.expr(f"filter(lines, toks -> arrays_overlap(toks, array({', '.join(map(repr, gate))})) AND {_bound('toks', vectors, idf, unknown)})"))
     score = _scores("toks", vectors, idf, unknown)
     low = low.withColumn("hits", F.expr(f"filter(transform(lines, toks -> {score}), h -> h.score >= {THRESHOLD}D)"))
     low = low.withColumn("best", F.expr("array_sort(hits, (l, r) -> CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.name < r.name THEN -1 WHEN l.name > r.name THEN 1 ELSE 0 END)"))
