@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -168,6 +169,18 @@ def test_licence_lines_between_the_thresholds(spark):
     assert all(0.6 <= r["score"] < 0.8 for r in got)
 
 
+def test_licence_blocks_and_whole_files(spark):
+    """Wrapped notices, full texts under any name, and notices inside a longer line."""
+    full = {f.stem: f.read_text() for f in (Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    gpl = "# Copyright (C) 2020 Foo\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os\n"
+    rows = [(i, f"{name}/{i}", text) for i, (name, text) in enumerate(sorted(full.items()))]
+    want = {i: path.split("/")[0] for i, path, _ in rows}
+    rows += [(100, "n/a.py", gpl + "x = 1\n" * 50), (101, "n/b.c", "Copyright (c) 2019 Foo. Licensed under the MIT License. All other words of this long line say something else.\nint x;"), (102, "n/c.txt", "the use of any work in this or other terms " * 400), (103, "MIT/other.c", "int x;")]
+    got = {r["doc_id"]: r for r in collected(licences.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")))}
+    assert {i: got[i]["own_licence"] for i in got} == want | {100: "GPL-3.0", 101: "MIT", 102: None, 103: None}
+    assert all(got[i]["is_file"] for i in want) and not got[100]["is_file"] and got[103]["licence"] == "MIT"
+
+
 def test_pipeline_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r["doc_id"]: r.asDict() for r in docs.collect()}

@@ -1,13 +1,17 @@
 """Licence detection by sparse TF-IDF cosine to templates, with directory inheritance.
 
-Each line of a file is compared with licence templates as a TF-IDF vector; a file as a whole is compared
-too, and one that is mostly licence text is its directory's licence file. A file without a
+Each line of a file and each sentence of a line is compared with licence templates as a TF-IDF vector.
+Blocks of lines are compared with standard notices and full licence texts: each paragraph (lines up to one
+without a letter or digit), the first 4, 8, 16 and 32 lines, and the file as a whole. Blocks count a token
+1 + ln(tf) times, since common words would decide else. A file of which most lines are licence lines, or
+which as a whole is like a full text, is its directory's licence file. A file without a
 licence of its own takes that of the nearest ancestor directory that has one.
 
 Only lines that hold a gate token are scored. Gate tokens are chosen so that a line without them can't
 reach the threshold: what is left of a template's length without them is below THRESHOLD. Of these lines,
 those are scored whose bound reaches the threshold: the products with the templates over a length in which
-each unknown token counts once. So both gates drop nothing, and all scoring happens in the row, without a
+each unknown token counts once. Blocks are scored where the file, and then the block, hold enough of a template's
+length. So the gates drop nothing, and all scoring happens in the row, without a
 shuffle. Inheritance joins each file's few
 ancestor directories with the directories that have a licence file.
 """
@@ -18,6 +22,7 @@ import math
 import re
 from collections import Counter
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +45,24 @@ TEMPLATES = {
     "CC0-1.0": ["Released into the public domain under CC0 1.0 Universal."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+#: Standard notices, which wrap over several lines; full texts are the files of licence_texts.
+NOTICES = {
+    "GPL-3.0": [_GNU.format("")],
+    "LGPL-3.0": [_GNU.format("Lesser ")],
+    "AGPL-3.0": [_GNU.format("Affero ")],
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD 3-Clause license that can be found in the LICENSE file."],
+    "CC-BY-4.0": ["This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/."],
+    "CC-BY-SA-4.0": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/."],
+    "CC-BY-NC-4.0": ["This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/."],
+}
 #: Words of templates that are too common in prose to be gate tokens.
 COMMON = set("a an and any by in into is it of or the this to under v with".split())
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -91,6 +114,60 @@ def _scores(tokens: str, vectors: list, idf: dict[str, float], unknown: float) -
     return f"transform(array({length}), len -> {best}[0])[0]"
 
 
+def block_model() -> tuple[list, dict[str, float], float]:
+    """(templates as (name, weights, least number of their tokens, is full text), idf, idf of an unknown token)."""
+    texts = [(name, _tokens(t), False) for name, ts in NOTICES.items() for t in ts]
+    texts += [(f.stem, _tokens(f.read_text()), True) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    seen = Counter(t for _, ts, _ in texts for t in set(ts))
+    idf = {t: 1 + math.log(len(texts) / n) for t, n in seen.items()}
+    out = []
+    for name, ts, full in texts:
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in Counter(ts).items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        w = {t: x / size for t, x in w.items()}
+        # A cosine is at most the length of the template's part that the block holds.
+        mass, least = 0.0, 0
+        for x in sorted(w.values(), reverse=True):
+            if mass >= (THRESHOLD - 1e-9) ** 2:
+                break
+            mass, least = mass + x * x, least + 1
+        out.append((name, w, least, full))
+    return out, idf, 1 + math.log(len(texts))
+
+
+def _map(of: dict[str, float]) -> str:
+    return f"map_from_arrays(array({', '.join(map(repr, sorted(of)))}), array({', '.join(f'{of[t]!r}D' for t in sorted(of))}))"
+
+
+def _block_hits(tokens: str, templates: list, idf: dict[str, float], unknown: float) -> str:
+    """SQL array of (score, name) of a token array: the templates that it reaches."""
+    words = lambda ts: f"array({', '.join(map(repr, sorted(ts)))})"
+    tf = f"(1 + ln(size({tokens}) - size(array_remove({tokens}, t))))"
+    # The length over all tokens is taken only where a template may be reached.
+    length = f"sqrt(aggregate(array_distinct({tokens}), 0D, (a, t) -> a + power({tf} * coalesce(element_at({_map(idf)}, t), {unknown!r}D), 2)))"
+    scores = []
+    for name, w, least, _ in templates:
+        dot = f"aggregate(array_intersect(ks, {words(w)}), 0D, (a, t) -> a + element_at({_map({t: x * idf[t] for t, x in w.items()})}, t) * {tf})"
+        enough = f"size(ks) >= {least} AND size(array_intersect(ks, {words(w)})) >= {least}"
+        scores.append(f"named_struct('score', CASE WHEN {enough} THEN {dot} ELSE 0D END, 'name', {name!r})")
+    # A length that counts each distinct token once and known ones at the least idf, 1.
+    least_len = f"sqrt(size(ks) + {unknown**2!r}D * size(array_except({tokens}, {words(idf)})))"
+    dots = f"flatten(transform(array({least_len}), low_len -> filter(array({', '.join(scores)}), h -> h.score > 0 AND h.score >= {THRESHOLD - 1e-9!r}D * low_len)))"
+    none = "cast(array() as array<struct<score: double, name: string>>)"
+    hits = f"flatten(transform(array({dots}), hs -> CASE WHEN size(hs) = 0 THEN {none} ELSE flatten(transform(array({length}), len -> filter(transform(hs, h -> named_struct('score', h.score / len, 'name', h.name)), h -> h.score >= {THRESHOLD}D))) END))"
+    return f"flatten(transform(array(array_intersect({tokens}, {words(idf)})), ks -> CASE WHEN size(ks) < {min(t[2] for t in templates)} THEN {none} ELSE {hits} END))"
+
+
+def _block_gate(tokens: str, templates: list, idf: dict[str, float]) -> str:
+    """SQL condition that holds if a part of the token array may reach a template: enough of its length is there."""
+    words = lambda ts: f"array({', '.join(map(repr, sorted(ts)))})"
+    tests = []
+    for _, w, least, _ in templates:
+        mass = f"aggregate(array_intersect(ks, {words(w)}), 0D, (a, t) -> a + element_at({_map({t: x * x for t, x in w.items()})}, t))"
+        tests.append(f"(size(ks) >= {least} AND {mass} >= {(THRESHOLD - 1e-9) ** 2!r}D)")
+    return f"exists(array(array_intersect({tokens}, {words(idf)})), ks -> {' OR '.join(tests)})"
+
+
 def _bound(tokens: str, vectors: list, idf: dict[str, float], unknown: float) -> str:
     """SQL condition that holds for each token array that can reach THRESHOLD, without the counts of unknown tokens."""
     known = f"array({', '.join(repr(t) for t in sorted(idf))})"
@@ -106,24 +183,40 @@ def _bound(tokens: str, vectors: list, idf: dict[str, float], unknown: float) ->
 
 
 def own_licences(files: DataFrame, text: str = "text", path: str = "path", doc_id: str = "doc_id", templates=None) -> DataFrame:
-    """Per file row: doc_id, row key, path, licence, score, n_lines (licence lines), is_file (mostly licence text)."""
+    """Per file row: doc_id, row key, path, licence, score, n_lines (licence lines), is_file (mostly licence text, or named so)."""
     vectors, idf, unknown, gate = model(templates)
     rows = keyed(files.withColumn("__path", F.col(path).cast("string")), "__path", text=text, doc_id=doc_id)
     gated = reduce(lambda a, b: a | b, [F.contains("low", F.lit(t)) for t in gate])
     low = rows.withColumn("low", F.lower("text"))
     lines = F.when(gated, F.split("low", r"[\n\r]+")).otherwise(F.array().cast("array<string>"))
-    low = low.withColumn("lines", F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))))
-    low = low.withColumn("lines", F.expr(f"filter(lines, toks -> arrays_overlap(toks, array({', '.join(map(repr, gate))})) AND {_bound('toks', vectors, idf, unknown)})"))
+    # A line and its sentences of three tokens or more (fewer say little: "mit." is a German sentence's end): the best counts for the line.
+    parts = F.transform(lines, lambda x: F.array_distinct(F.concat(F.array(x), F.split(x, r"(?<=[.;:!?])\s+"))))
+    low = low.withColumn("lines", F.transform(parts, lambda ps: F.filter(F.transform(ps, lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))), lambda toks, i: (i == 0) | (F.size(toks) > 2))))
+    gate_sql = f"arrays_overlap(toks, array({', '.join(map(repr, gate))})) AND {_bound('toks', vectors, idf, unknown)}"
+    low = low.withColumn("lines", F.expr(f"filter(transform(lines, ps -> filter(ps, toks -> {gate_sql})), ps -> size(ps) > 0)"))
     score = _scores("toks", vectors, idf, unknown)
-    low = low.withColumn("hits", F.expr(f"filter(transform(lines, toks -> {score}), h -> h.score >= {THRESHOLD}D)"))
-    low = low.withColumn("best", F.expr("array_sort(hits, (l, r) -> CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.name < r.name THEN -1 WHEN l.name > r.name THEN 1 ELSE 0 END)"))
+    order = "(l, r) -> CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.name < r.name THEN -1 WHEN l.name > r.name THEN 1 ELSE 0 END"
+    low = low.withColumn("hits", F.expr(f"filter(transform(lines, ps -> array_sort(transform(ps, toks -> {score}), {order})[0]), h -> h.score >= {THRESHOLD}D)"))
+    blocks, b_idf, b_unknown = block_model()
+    full = [t for t in blocks if t[3]]
+    tokens = lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))
+    paragraphs = F.split("low", r"(?:\r\n?+|\n)[^a-z0-9\r\n]*+(?:\r\n?+|\n)")
+    all_lines = F.split("low", r"\r\n?|\n")
+    heads = [F.when(F.size(all_lines) > n, F.array_join(F.slice(all_lines, 1, n), "\n")) for n in (4, 8, 16, 32)]
+    units = F.filter(F.array_distinct(F.concat(paragraphs, F.array(*heads))), lambda x: x.isNotNull())
+    low = low.withColumn("whole", tokens(F.col("low"))).withColumn("blocks", F.expr(_block_gate("whole", blocks, b_idf)))
+    low = low.withColumn("units", F.when(F.col("blocks"), F.transform(units, tokens)).otherwise(F.expr("cast(array() as array<array<string>>)")))
+    low = low.withColumn("whole", F.when(F.col("blocks"), F.col("whole")).otherwise(F.expr("cast(array() as array<string>)")))
+    low = low.withColumn("file_hits", F.expr(f"flatten(transform(array(whole), toks -> {_block_hits('toks', full, b_idf, b_unknown)}))"))
+    low = low.withColumn("block_hits", F.expr(f"flatten(transform(units, toks -> {_block_hits('toks', blocks, b_idf, b_unknown)}))"))
+    low = low.withColumn("best", F.expr(f"array_sort(concat(hits, block_hits, file_hits), {order})"))
     share = F.expr("aggregate(hits, 0, (a, h) -> a + 1)") * 2 > F.expr("size(filter(split(low, r'[\\n\\r]+'), x -> length(trim(x)) > 0))")
     named = F.lower(F.regexp_extract("__path", r"([^/]*)$", 1)).rlike(r"^(?:licen[sc]e|copying|unlicense)(?:[.\-].*)?$")
-    hit = F.size("hits") > 0
+    hit = F.size("best") > 0
     return low.select(
         "doc_id", DID, THASH, F.col("__path").alias("path"),
         F.when(hit, F.col("best")[0]["name"]).alias("licence"), F.when(hit, F.col("best")[0]["score"]).alias("score"),
-        F.size("hits").cast("long").alias("n_lines"), (hit & (named | share)).alias("is_file"),
+        F.size("hits").cast("long").alias("n_lines"), (hit & (named | share | (F.size("file_hits") > 0))).alias("is_file"),
     )
 
 
