@@ -57,6 +57,16 @@ def test_disclosing_terms_and_redaction(spark):
     assert "zebrafish" not in red[0] and "[EMAIL]" in red[0] and red[10] == rows[4][1]
 
 
+def test_context_goes_past_other_numbers_and_all_places_are_marked(spark):
+    told = "Zebrafish born 1990 card 4111 1111 1111 1111 paid. " + "nothing to see in here " * 8 + "ask zebrafish again"
+    rows = [(i, told) for i in range(2)] + [(10 + i, "nothing to see in here, born again and paid by card, ask") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r["doc_id"]: r for r in collected(pii.sanitised_spans(docs))}
+    assert [told[t["start"] : t["end"]] for t in by[0]["terms"]] == ["Zebrafish", "zebrafish"] and by[10]["terms"] == []
+    red = {r["doc_id"]: r["sanitised"] for r in collected(pii.redact(docs))}
+    assert "zebrafish" not in red[1].lower() and "[CARD]" in red[1]
+
+
 def fp(text):
     w = plain_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)

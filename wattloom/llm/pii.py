@@ -77,13 +77,13 @@ def _with_spans(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn(p, F.when(F.size(m) > 0, F.split("text", pattern, -1)))
         rows = rows.withColumn(
             f"{kind}_s",
-            F.expr(f"""CASE WHEN size({m}) > 0 THEN filter(transform({_located(p, m)}, x -> named_struct(
-                'kind', '{kind}', 'start', x.at, 'end', x.at + length({m}[x.i]), 'value', {m}[x.i],
-                'before', CASE WHEN length({p}[x.i]) > {CONTEXT}
-                    THEN regexp_replace(right({p}[x.i], {CONTEXT}), r'^\\S+', '') ELSE {p}[x.i] END,
-                'after', CASE WHEN length({p}[x.i + 1]) > {CONTEXT}
-                    THEN regexp_replace(left({p}[x.i + 1], {CONTEXT}), r'\\S+$', '') ELSE {p}[x.i + 1] END)),
-                s -> {_valid(kind, 's.value')}) ELSE {_EMPTY_SPANS} END"""),
+            F.expr(f"""CASE WHEN size({m}) > 0 THEN transform(filter(transform({_located(p, m)}, x -> named_struct(
+                'kind', '{kind}', 'start', x.at, 'end', x.at + length({m}[x.i]), 'value', {m}[x.i])),
+                s -> {_valid(kind, 's.value')}), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'value', s.value,
+                'before', CASE WHEN s.start > {CONTEXT}
+                    THEN regexp_replace(substring(text, s.start - {CONTEXT} + 1, {CONTEXT}), r'^\\S+', '') ELSE left(text, s.start) END,
+                'after', CASE WHEN length(text) - s.end > {CONTEXT}
+                    THEN regexp_replace(substring(text, s.end + 1, {CONTEXT}), r'\\S+$', '') ELSE substring(text, s.end + 1) END)) ELSE {_EMPTY_SPANS} END"""),
         ).drop(m, p)
     return rows
 
@@ -152,8 +152,13 @@ def sanitised_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = held(base_spans(docs, text, doc_id))
     met = written(meetings(found), "meetings")
     told = disclosures(docs, found, met, text).select("kind", "entity", "term", "action")
-    marked = met.join(told, ["kind", "entity", "term"]).groupBy(DID, THASH, "start", "end").agg(F.max("action").alias("kind"))
-    per_doc = marked.groupBy(DID, THASH).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
+    holds = found.select(DID, THASH, F.explode("spans").alias("s")).select(DID, THASH, F.col("s.kind").alias("kind"), F.lower("s.value").alias("entity")).distinct()
+    marked = holds.join(told, ["kind", "entity"]).groupBy(DID, THASH, "term").agg(F.max("action").alias("action"))
+    marked = marked.groupBy(DID, THASH).agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("told"))
+    # Every place of a disclosing term in a document that holds its entity, in the context or not.
+    placed = keyed(docs, text=text, doc_id=doc_id).dropDuplicates([DID, THASH]).join(marked, [DID, THASH])
+    places = f"filter({_terms('text', '0')}, t -> map_contains_key(told, t.term))"
+    per_doc = placed.select(DID, THASH, F.expr(f"sort_array(transform({places}, t -> named_struct('kind', told[t.term], 'start', t.start, 'end', t.end)))").alias("terms"))
     none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int>>)")
     return found.join(per_doc, [DID, THASH], "left").withColumn("terms", F.coalesce("terms", none))
 
