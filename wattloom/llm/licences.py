@@ -1,19 +1,16 @@
 """Licence detection by sparse TF-IDF cosine to templates, with directory inheritance.
 
-Each line of a file and each sentence of a line is compared with licence templates as a TF-IDF vector.
-Blocks of lines are compared with standard notices and full licence texts: each paragraph (lines up to one
-without a letter or digit), the first 4, 8, 16 and 32 lines, and the file as a whole. Blocks count a token
-1 + ln(tf) times, since common words would decide else. A file of which most lines are licence lines, or
-which as a whole is like a full text, is its directory's licence file. A file without a
+Each line of a file and each sentence of a line is compared with licence notices, titles and identifiers as a TF-IDF
+vector; blocks of lines are compared with standard notices and full licence texts: each paragraph (lines up to one
+without a letter or digit), the first 4, 8, 16 and 32 lines, and the file as a whole. A token counts 1 + ln(tf) times,
+and document frequencies are over all templates, since common words would decide else. A file of which most lines are
+licence lines, or which as a whole is like a full text, is its directory's licence file. A file without a
 licence of its own takes that of the nearest ancestor directory that has one.
 
-Only lines that hold a gate token are scored. Gate tokens are chosen so that a line without them can't
-reach the threshold: what is left of a template's length without them is below THRESHOLD. Of these lines,
-those are scored whose bound reaches the threshold: the products with the templates over a length in which
-each unknown token counts once. Blocks are scored where the file, and then the block, hold enough of a template's
-length. So the gates drop nothing, and all scoring happens in the row, without a
-shuffle. Inheritance joins each file's few
-ancestor directories with the directories that have a licence file.
+A text's tokens are found once. Lines and blocks are looked at where the whole text, and scored where they
+themselves, hold enough of a template: the part that is missing bounds the cosine. So the gates drop nothing, and all
+scoring happens in the row, without a shuffle. Inheritance joins each file's few ancestor directories with the
+directories that have a licence file.
 """
 
 from __future__ import annotations
@@ -21,13 +18,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DID, THASH, held, keyed
+from .common import DID, THASH, keyed, written
 
 THRESHOLD = 0.6
 #: Identifiers with a notice or the opening words of the licence text.
@@ -63,154 +59,119 @@ NOTICES = {
     "CC-BY-SA-4.0": ["This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/."],
     "CC-BY-NC-4.0": ["This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/."],
 }
-#: Words of templates that are too common in prose to be gate tokens.
-COMMON = set("a an and any by in into is it of or the this to under v with".split())
+#: Titles of licence texts and machine-readable identifiers, as lines.
+TITLES = {
+    "MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "GPL-3.0": "GNU General Public License, version 3", "LGPL-3.0": "GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "GNU Affero General Public License, version 3", "BSD-3-Clause": "BSD 3-Clause License", "MPL-2.0": "Mozilla Public License Version 2.0", "CC-BY-4.0": "Creative Commons Attribution 4.0 International",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International", "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International", "CC0-1.0": "CC0 1.0 Universal", "Unlicense": "The Unlicense",
+}
+#: Tokens that a line must share with a template: one word, such as the German "mit", says nothing.
+SHARED = 2
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+_NONE = "cast(array() as array<struct<score: double, name: string>>)"
 
 
 def _tokens(text: str) -> list[str]:
     return re.findall(_TOKEN, text.lower())
 
 
-def model(templates: dict[str, list[str]] | None = None) -> tuple[list, dict[str, float], float, list[str]]:
-    """(templates as (name, weights), idf, idf of an unknown token, gate tokens)."""
-    lines = [(name, _tokens(t)) for name, texts in (templates or TEMPLATES).items() for t in texts]
-    seen = Counter(t for _, ts in lines for t in set(ts))
-    idf = {t: 1 + math.log(len(lines) / n) for t, n in seen.items()}
-    vectors = []
-    for name, ts in lines:
-        w = {t: n * idf[t] for t, n in Counter(ts).items()}
-        size = math.sqrt(sum(x * x for x in w.values()))
-        vectors.append((name, {t: x / size for t, x in w.items()}))
-    # Greedy cover: the token that takes most from what templates have above the threshold, until none has any.
-    gate: set[str] = set()
-    left = [{t: x * x for t, x in w.items()} for _, w in vectors]
-    over = lambda w: max(0.0, sum(w.values()) - (THRESHOLD - 1e-9) ** 2)
-    while any(map(over, left)):
-        gain: Counter = Counter()
-        for w in left:
-            for t, x in w.items():
-                gain[t] += min(x, over(w))
-        # A common word only where nothing else is left, the longest first.
-        best = max((t for t in gain if gain[t] > 0), key=lambda t: (t not in COMMON, len(t) if t in COMMON else gain[t], t))
-        gate.add(best)
-        for w in left:
-            w.pop(best, None)
-    return vectors, idf, 1 + math.log(len(lines)), sorted(gate)
-
-
-def _scores(tokens: str, vectors: list, idf: dict[str, float], unknown: float) -> str:
-    """SQL array of (score, name), best first, of a token array against all templates."""
-    known = sorted(idf)
-    of = f"map_from_arrays(array({', '.join(repr(t) for t in known)}), array({', '.join(f'{idf[t]!r}D' for t in known)}))"
-    tf = f"size(filter({tokens}, y -> y = t))"
-    length = f"sqrt(aggregate(array_distinct({tokens}), 0D, (a, t) -> a + power({tf} * coalesce(element_at({of}, t), {unknown!r}D), 2)))"
-    dots = []
-    for name, w in vectors:
-        pairs = ", ".join(f"named_struct('t', {t!r}, 'w', {x * idf[t]!r}D)" for t, x in sorted(w.items()))
-        dot = f"aggregate(array({pairs}), 0D, (a, x) -> a + x.w * size(filter({tokens}, y -> y = x.t)))"
-        dots.append(f"named_struct('score', {dot} / len, 'name', {name!r})")
-    best = f"array_sort(array({', '.join(dots)}), (l, r) -> CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.name < r.name THEN -1 WHEN l.name > r.name THEN 1 ELSE 0 END)"
-    return f"transform(array({length}), len -> {best}[0])[0]"
-
-
-def block_model() -> tuple[list, dict[str, float], float]:
-    """(templates as (name, weights, least number of their tokens, is full text), idf, idf of an unknown token)."""
-    texts = [(name, _tokens(t), False) for name, ts in NOTICES.items() for t in ts]
-    texts += [(f.stem, _tokens(f.read_text()), True) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
-    seen = Counter(t for _, ts, _ in texts for t in set(ts))
+def model(templates: dict[str, list[str]] | None = None) -> tuple[list, dict[str, float], float]:
+    """(templates as (name, kind, weights), idf, idf of an unknown token); kind: line, notice or full.
+
+    templates: other lines instead of the own lines and titles.
+    """
+    texts = [(name, "line", t) for name, ts in (templates or TEMPLATES).items() for t in ts]
+    if not templates:
+        texts += [(name, "line", t) for name, title in TITLES.items() for t in (title, f"SPDX-License-Identifier: {name}")]
+    texts += [(name, "notice", t) for name, ts in NOTICES.items() for t in ts]
+    texts += [(f.stem, "full", f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    counted = [(name, kind, Counter(_tokens(t))) for name, kind, t in texts]
+    seen = Counter(t for _, _, tf in counted for t in tf)
     idf = {t: 1 + math.log(len(texts) / n) for t, n in seen.items()}
     out = []
-    for name, ts, full in texts:
-        w = {t: (1 + math.log(n)) * idf[t] for t, n in Counter(ts).items()}
+    for name, kind, tf in counted:
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in tf.items()}
         size = math.sqrt(sum(x * x for x in w.values()))
-        w = {t: x / size for t, x in w.items()}
-        # A cosine is at most the length of the template's part that the block holds.
-        mass, least = 0.0, 0
-        for x in sorted(w.values(), reverse=True):
-            if mass >= (THRESHOLD - 1e-9) ** 2:
-                break
-            mass, least = mass + x * x, least + 1
-        out.append((name, w, least, full))
+        out.append((name, kind, {t: x / size for t, x in w.items()}))
     return out, idf, 1 + math.log(len(texts))
 
 
+def _least(w: dict[str, float]) -> int:
+    """The least number of a template's tokens that THRESHOLD needs: a cosine is at most the length of the part that is there."""
+    mass, least = 0.0, 0
+    for x in sorted(w.values(), reverse=True):
+        if mass >= (THRESHOLD - 1e-9) ** 2:
+            break
+        mass, least = mass + x * x, least + 1
+    return max(SHARED, least)
+
+
+def _words(of) -> str:
+    return f"array({', '.join(map(repr, sorted(of)))})"
+
+
 def _map(of: dict[str, float]) -> str:
-    return f"map_from_arrays(array({', '.join(map(repr, sorted(of)))}), array({', '.join(f'{of[t]!r}D' for t in sorted(of))}))"
+    return f"map_from_arrays({_words(of)}, array({', '.join(f'{of[t]!r}D' for t in sorted(of))}))"
+
 
+def _gate(known: str, w: dict[str, float]) -> str:
+    """SQL condition that holds if a text with these known tokens, or a part of it, may reach a template."""
+    mass = f"aggregate(array_intersect({known}, {_words(w)}), 0D, (a, t) -> a + element_at({_map({t: x * x for t, x in w.items()})}, t))"
+    return f"(size({known}) >= {_least(w)} AND size(array_intersect({known}, {_words(w)})) >= {_least(w)} AND {mass} >= {(THRESHOLD - 1e-9) ** 2!r}D)"
 
-def _block_hits(tokens: str, templates: list, idf: dict[str, float], unknown: float) -> str:
-    """SQL array of (score, name) of a token array: the templates that it reaches."""
-    words = lambda ts: f"array({', '.join(map(repr, sorted(ts)))})"
-    tf = f"(1 + ln(size({tokens}) - size(array_remove({tokens}, t))))"
-    # The length over all tokens is taken only where a template may be reached.
-    length = f"sqrt(aggregate(array_distinct({tokens}), 0D, (a, t) -> a + power({tf} * coalesce(element_at({_map(idf)}, t), {unknown!r}D), 2)))"
+
+def _any(known: str, templates: list) -> str:
+    return " OR ".join(_gate(known, w) for _, _, w in templates)
+
+
+def _hits(tokens: str, templates: list, idf: dict[str, float], unknown: float) -> str:
+    """SQL array of (score, name) of a token array: the templates that it reaches.
+
+    Equal tokens are counted as runs of the sorted tokens, so a long text costs n log n.
+    """
+    runs = f"regexp_extract_all(array_join(array_sort({tokens}), ' '), r'(?<!\\S)(\\S++)(?: \\1(?!\\S))*+', 0)"
+    run = f"transform({runs}, r -> transform(array(substring_index(r, ' ', 1)), t -> named_struct('t', t, 'f', 1 + ln((length(r) + 1) div (length(t) + 1))))[0])"
+    known = _words(set().union(*(w for _, _, w in templates)))
+    of = _map(idf)
     scores = []
-    for name, w, least, _ in templates:
-        dot = f"aggregate(array_intersect(ks, {words(w)}), 0D, (a, t) -> a + element_at({_map({t: x * idf[t] for t, x in w.items()})}, t) * {tf})"
-        enough = f"size(ks) >= {least} AND size(array_intersect(ks, {words(w)})) >= {least}"
-        scores.append(f"named_struct('score', CASE WHEN {enough} THEN {dot} ELSE 0D END, 'name', {name!r})")
-    # A length that counts each distinct token once and known ones at the least idf, 1.
-    least_len = f"sqrt(size(ks) + {unknown**2!r}D * size(array_except({tokens}, {words(idf)})))"
-    dots = f"flatten(transform(array({least_len}), low_len -> filter(array({', '.join(scores)}), h -> h.score > 0 AND h.score >= {THRESHOLD - 1e-9!r}D * low_len)))"
-    none = "cast(array() as array<struct<score: double, name: string>>)"
-    hits = f"flatten(transform(array({dots}), hs -> CASE WHEN size(hs) = 0 THEN {none} ELSE flatten(transform(array({length}), len -> filter(transform(hs, h -> named_struct('score', h.score / len, 'name', h.name)), h -> h.score >= {THRESHOLD}D))) END))"
-    return f"flatten(transform(array(array_intersect({tokens}, {words(idf)})), ks -> CASE WHEN size(ks) < {min(t[2] for t in templates)} THEN {none} ELSE {hits} END))"
-
-
-def _block_gate(tokens: str, templates: list, idf: dict[str, float]) -> str:
-    """SQL condition that holds if a part of the token array may reach a template: enough of its length is there."""
-    words = lambda ts: f"array({', '.join(map(repr, sorted(ts)))})"
-    tests = []
-    for _, w, least, _ in templates:
-        mass = f"aggregate(array_intersect(ks, {words(w)}), 0D, (a, t) -> a + element_at({_map({t: x * x for t, x in w.items()})}, t))"
-        tests.append(f"(size(ks) >= {least} AND {mass} >= {(THRESHOLD - 1e-9) ** 2!r}D)")
-    return f"exists(array(array_intersect({tokens}, {words(idf)})), ks -> {' OR '.join(tests)})"
-
-
-def _bound(tokens: str, vectors: list, idf: dict[str, float], unknown: float) -> str:
-    """SQL condition that holds for each token array that can reach THRESHOLD, without the counts of unknown tokens."""
-    known = f"array({', '.join(repr(t) for t in sorted(idf))})"
-    of = f"map_from_arrays({known}, array({', '.join(f'{idf[t]!r}D' for t in sorted(idf))}))"
-    tf = f"named_struct('t', t, 'n', (size({tokens}) - size(array_remove({tokens}, t))) * element_at({of}, t))"
-    least = f"aggregate(xs, {unknown**2!r}D * size(array_except({tokens}, {known})), (a, x) -> a + x.n * x.n)"
-    dots = []
-    for _, w in vectors:
-        weights = f"map_from_arrays(array({', '.join(repr(t) for t in sorted(w))}), array({', '.join(f'{w[t]!r}D' for t in sorted(w))}))"
-        dots.append(f"aggregate(xs, 0D, (a, x) -> a + x.n * coalesce(element_at({weights}, x.t), 0D))")
-    over = f"exists(array({least}), least -> greatest({', '.join(dots)}) >= {THRESHOLD - 1e-9!r}D * sqrt(least))"
-    return f"exists(array(transform(array_intersect({tokens}, {known}), t -> {tf})), xs -> {over})"
+    for name, _, w in templates:
+        dot = f"aggregate(xs, 0D, (a, x) -> a + x.f * coalesce(element_at({_map({t: x * idf[t] for t, x in w.items()})}, x.t), 0D))"
+        scores.append(f"named_struct('score', CASE WHEN {_gate('ks', w)} THEN {dot} / len ELSE 0D END, 'name', {name!r})")
+    hits = f"filter(array({', '.join(scores)}), h -> h.score >= {THRESHOLD}D)"
+    length = f"sqrt(aggregate(cs, 0D, (a, c) -> a + power(c.f * CASE WHEN array_contains(all_known, c.t) THEN element_at({of}, c.t) ELSE {unknown!r}D END, 2)))"
+    scored = f"flatten(transform(array({run}), cs -> flatten(transform(array(array_intersect({_words(idf)}, {tokens})), all_known -> flatten(transform(array({length}), len -> flatten(transform(array(filter(cs, c -> array_contains(ks, c.t))), xs -> {hits}))))))))"
+    return f"flatten(transform(array(array_intersect({known}, {tokens})), ks -> CASE WHEN {_any('ks', templates)} THEN {scored} ELSE {_NONE} END))"
+
+
+_BEST = "(l, r) -> CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.name < r.name THEN -1 WHEN l.name > r.name THEN 1 ELSE 0 END"
 
 
 def own_licences(files: DataFrame, text: str = "text", path: str = "path", doc_id: str = "doc_id", templates=None) -> DataFrame:
     """Per file row: doc_id, row key, path, licence, score, n_lines (licence lines), is_file (mostly licence text, or named so)."""
-    vectors, idf, unknown, gate = model(templates)
+    every, idf, unknown = model(templates)
+    lines, blocks, full = ([t for t in every if t[1] in kinds] for kinds in (("line",), ("notice", "full"), ("full",)))
     rows = keyed(files.withColumn("__path", F.col(path).cast("string")), "__path", text=text, doc_id=doc_id)
-    gated = reduce(lambda a, b: a | b, [F.contains("low", F.lit(t)) for t in gate])
-    low = rows.withColumn("low", F.lower("text"))
-    lines = F.when(gated, F.split("low", r"[\n\r]+")).otherwise(F.array().cast("array<string>"))
-    # A line and its sentences of three tokens or more (fewer say little: "mit." is a German sentence's end): the best counts for the line.
-    parts = F.transform(lines, lambda x: F.array_distinct(F.concat(F.array(x), F.split(x, r"(?<=[.;:!?])\s+"))))
-    low = low.withColumn("lines", F.transform(parts, lambda ps: F.filter(F.transform(ps, lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))), lambda toks, i: (i == 0) | (F.size(toks) > 2))))
-    gate_sql = f"arrays_overlap(toks, array({', '.join(map(repr, gate))})) AND {_bound('toks', vectors, idf, unknown)}"
-    low = low.withColumn("lines", F.expr(f"filter(transform(lines, ps -> filter(ps, toks -> {gate_sql})), ps -> size(ps) > 0)"))
-    score = _scores("toks", vectors, idf, unknown)
-    order = "(l, r) -> CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 WHEN l.name < r.name THEN -1 WHEN l.name > r.name THEN 1 ELSE 0 END"
-    low = low.withColumn("hits", F.expr(f"filter(transform(lines, ps -> array_sort(transform(ps, toks -> {score}), {order})[0]), h -> h.score >= {THRESHOLD}D)"))
-    blocks, b_idf, b_unknown = block_model()
-    full = [t for t in blocks if t[3]]
     tokens = lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))
+    # The known tokens of the whole text decide what of it is looked at: no token spans a line or a sentence.
+    low = rows.withColumn("low", F.lower("text")).withColumn("whole", tokens(F.col("low")))
+    low = low.withColumn("known", F.expr(f"array_intersect({_words(idf)}, whole)"))
+    low = low.withColumn("has_lines", F.expr(_any("known", lines))).withColumn("has_blocks", F.expr(_any("known", blocks)))
+
+    split = F.when(F.col("has_lines"), F.split("low", r"[\n\r]+")).otherwise(F.array().cast("array<string>"))
+    # A line and its sentences of three tokens or more (fewer say little): the best counts for the line.
+    parts = F.transform(split, lambda x: F.array_distinct(F.concat(F.array(x), F.split(x, r"(?<=[.;:!?])\s+"))))
+    low = low.withColumn("lines", F.transform(parts, lambda ps: F.filter(F.transform(ps, tokens), lambda toks, i: (i == 0) | (F.size(toks) > 2))))
+    low = low.withColumn("hits", F.expr(f"transform(filter(transform(lines, ps -> flatten(transform(ps, toks -> {_hits('toks', lines, idf, unknown)}))), hs -> size(hs) > 0), hs -> array_sort(hs, {_BEST})[0])"))
+
     paragraphs = F.split("low", r"(?:\r\n?+|\n)[^a-z0-9\r\n]*+(?:\r\n?+|\n)")
     all_lines = F.split("low", r"\r\n?|\n")
     heads = [F.when(F.size(all_lines) > n, F.array_join(F.slice(all_lines, 1, n), "\n")) for n in (4, 8, 16, 32)]
     units = F.filter(F.array_distinct(F.concat(paragraphs, F.array(*heads))), lambda x: x.isNotNull())
-    low = low.withColumn("whole", tokens(F.col("low"))).withColumn("blocks", F.expr(_block_gate("whole", blocks, b_idf)))
-    low = low.withColumn("units", F.when(F.col("blocks"), F.transform(units, tokens)).otherwise(F.expr("cast(array() as array<array<string>>)")))
-    low = low.withColumn("whole", F.when(F.col("blocks"), F.col("whole")).otherwise(F.expr("cast(array() as array<string>)")))
-    low = low.withColumn("file_hits", F.expr(f"flatten(transform(array(whole), toks -> {_block_hits('toks', full, b_idf, b_unknown)}))"))
-    low = low.withColumn("block_hits", F.expr(f"flatten(transform(units, toks -> {_block_hits('toks', blocks, b_idf, b_unknown)}))"))
-    low = low.withColumn("best", F.expr(f"array_sort(concat(hits, block_hits, file_hits), {order})"))
-    share = F.expr("aggregate(hits, 0, (a, h) -> a + 1)") * 2 > F.expr("size(filter(split(low, r'[\\n\\r]+'), x -> length(trim(x)) > 0))")
+    low = low.withColumn("units", F.when(F.col("has_blocks"), F.transform(units, tokens)).otherwise(F.expr("cast(array() as array<array<string>>)")))
+    low = low.withColumn("file_hits", F.when(F.col("has_blocks"), F.expr(_hits("whole", full, idf, unknown))).otherwise(F.expr(_NONE)))
+    low = low.withColumn("block_hits", F.expr(f"flatten(transform(units, toks -> {_hits('toks', blocks, idf, unknown)}))"))
+    low = low.withColumn("best", F.expr(f"array_sort(concat(hits, block_hits, file_hits), {_BEST})"))
+    share = F.expr("size(hits)") * 2 > F.expr("size(filter(split(low, r'[\\n\\r]+'), x -> length(trim(x)) > 0))")
     named = F.lower(F.regexp_extract("__path", r"([^/]*)$", 1)).rlike(r"^(?:licen[sc]e|copying|unlicense)(?:[.\-].*)?$")
     hit = F.size("best") > 0
     return low.select(
@@ -230,7 +191,7 @@ def licences(files: DataFrame, text: str = "text", path: str = "path", doc_id: s
     score there, ties to the smaller name), else null. A null text counts as empty; a null path has no
     directory and neither gives nor inherits. Repeated rows each keep their row.
     """
-    own = held(own_licences(files, text, path, doc_id, templates))
+    own = written(own_licences(files, text, path, doc_id, templates), "licences")  # three uses, one pass over the texts
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", _UP, "")).otherwise(F.lit(""))
     given = own.where("is_file and path is not null").select(folder.alias("dir"), "licence", "score")
     given = given.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("m")).select(F.col("dir").alias("g_dir"), F.col("m.licence").alias("g_licence"))
