@@ -47,14 +47,66 @@ def test_pii_equals_plain_patterns(spark, sf_dir):
         assert [r[f"n_{k}"] for k, _ in DETECT] == [want.count(f"{k}:") for k, _ in DETECT]
 
 
+def told_by_force(docs):
+    """{id: sorted (action, start, end)} of {id: text}, from sets of documents."""
+    import math
+
+    import regex
+
+    term = regex.compile(pii.TERM)
+    holds, with_term, pairs = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, text in docs.items():
+        for m in term.finditer(text.lower()):
+            with_term[m[0]].add(i)
+        for k, p in DETECT:
+            for m in re.finditer(p, text):
+                if not valid(k, m[0]):
+                    continue
+                entity = k, m[0].lower()
+                holds[entity].add(i)
+                before, after = text[max(0, m.start() - pii.CONTEXT) : m.start()], text[m.end() : m.end() + pii.CONTEXT]
+                if m.start() > pii.CONTEXT:
+                    before = re.sub(r"^[^ \t\n\x0b\f\r]+", "", before)
+                if len(text) - m.end() > pii.CONTEXT:
+                    after = re.sub(r"[^ \t\n\x0b\f\r]+$", "", after)
+                for side in (before, after):
+                    for t in term.finditer(side):
+                        pairs[entity, t[0].lower()].add(i)
+    n, told = len(docs), defaultdict(dict)
+    for (entity, t), met in pairs.items():
+        ic = math.log2(n / len(holds[entity]))
+        share = math.log2(n * len(met) / (len(holds[entity]) * len(with_term[t]))) / ic if ic > 0 and with_term[t] else 0
+        if share >= pii.GENERALISE:
+            for i in holds[entity]:
+                told[i][t] = max("remove" if share >= pii.REMOVE else "generalise", told[i].get(t, ""))
+    return {i: sorted((told[i][m[0].lower()], m.start(), m.end()) for m in term.finditer(text) if m[0].lower() in told[i]) for i, text in docs.items()}
+
+
+def test_term_spans_equal_a_plain_version(spark, sf_dir):
+    docs = texts(spark, sf_dir)
+    docs |= {10**6 + i: f"{' '.join(words(i, 3).split())} Maria's well-known (R2D2) friend, mail a{i % 3}@x.org or 10.0.0.{i % 2}; co-author \u201cOtto\u201d no. 7 at web.site/page" for i in range(12)}
+    want = told_by_force(docs)
+    got = {r["doc_id"]: r for r in collected(pii.digest(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))}
+    found = 0
+    for i, text in docs.items():
+        spans = base(text)
+        terms = ",".join(f"{k}:{a}:{b}" for k, a, b in want[i])
+        assert got[i]["spans"] == ",".join(x for x in (spans, terms) if x), i
+        found += len(want[i])
+    assert found > 100
+
+
 def test_disclosing_terms_and_redaction(spark):
-    rows = [(i, f"call zebrafish at a{i % 2}@x.org today", ) for i in range(4)] + [(10 + i, "nothing to call here today") for i in range(60)]
+    rows = [(i, f"call Zebrafish or B52 at a{i % 2}@x.org today" if i else "call solo, the one at b@y.org today") for i in range(5)] + [(10 + i, f"nothing to call or see here today, the {'one' if i < 2 else 'other'} at all") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     by = {r["doc_id"]: r for r in collected(pii.sanitised_spans(docs))}
-    text = rows[0][1]
-    assert [text[t["start"] : t["end"]] for t in by[0]["terms"]] == ["zebrafish"] and by[10]["terms"] == []
+    terms = lambda i: [(rows[i][1][t["start"] : t["end"]], t["kind"], t["class"]) for t in by[i]["terms"]]
+    # "solo" stands in one document of 65 (share 1), "one" in three (1 - log 3 / log 65 = 0.74), the rest in many.
+    assert terms(0) == [("solo", "remove", "word")] and by[10]["terms"] == []
+    # In four documents, two of them of the entity: PMI log2(65 * 2 / (2 * 4)) over IC log2(65 / 2).
+    assert terms(1) == [("Zebrafish", "generalise", "name"), ("B52", "generalise", "code")]
     red = {r["doc_id"]: r["sanitised"] for r in collected(pii.redact(docs))}
-    assert "zebrafish" not in red[0] and "[EMAIL]" in red[0] and red[10] == rows[4][1]
+    assert red[1] == "call [name] or [code] at [EMAIL] today" and red[0] == "call , the one at [EMAIL] today" and red[10] == rows[5][1]
 
 
 def test_context_goes_past_other_numbers_and_all_places_are_marked(spark):

@@ -5,7 +5,8 @@ at the words around each entity: with N documents, n(e) holding entity e, n(t) h
 n(e,t) holding t within CONTEXT code points of e, the disclosure of e by t is
 PMI(e;t) = log2(N n(e,t) / (n(e) n(t))) as a share of the entity's information content
 IC(e) = log2(N / n(e)). Terms at or above REMOVE are removed, terms at or above GENERALISE are
-generalised. A pair needs SUPPORT documents, since one meeting says nothing about dependence.
+generalised to the class of their shape: a code, a name or a word. An entity of one document counts like any
+other: a term beside it discloses it the more, the fewer documents hold the term (share 1 - log n(t) / log N).
 
 Everything runs as DataFrame expressions. Pairs come only from a window around each entity, so
 their number is linear in the entities; hot pairs are pre-aggregated before each shuffle.
@@ -26,9 +27,13 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 64, 2, 0.75, 0.9
-#: A term: a whole white-space-delimited token of three or more letters, closing punctuation apart.
-TERM = r"(?<!\S)\p{L}{3,}+(?=[.,;:!?]*+(?:\s|$))"
+CONTEXT, GENERALISE, REMOVE = 128, 0.75, 0.9
+#: A term: three or more letters, digits and joining marks, a letter among them, between white space, brackets or
+#: quotes before and closing punctuation after. So parts of addresses are none.
+TERM = (
+    r"(?<![^ \t\n\x0B\f\r(\[{\"\x27«“‘])(?=[\p{L}\p{N}\x27’_-]{3})(?=[\p{N}\x27’_-]*+\p{L})[\p{L}\p{N}]++(?:[\x27’_-][\p{L}\p{N}]++)*+"
+    r"(?=[.,;:!?)\]}\"\x27»”’]*+(?:[ \t\n\x0B\f\r]|$))"
+)
 #: Matches of one row whose offsets are summed as one block.
 _BLOCK = 256
 
@@ -104,8 +109,8 @@ def _terms(side: str, origin: str) -> str:
     inner = _located("pm.p", "pm.m")
     return f"""CASE WHEN size({m}) > 0 THEN transform(array(named_struct('m', {m}, 'p', {p})), pm ->
         transform({inner}, x -> named_struct('term', lower(pm.m[x.i]), 'start', {origin} + x.at,
-            'end', {origin} + x.at + length(pm.m[x.i]))))[0]
-        ELSE cast(array() as array<struct<term: string, start: int, end: int>>) END"""
+            'end', {origin} + x.at + length(pm.m[x.i]), 'word', pm.m[x.i])))[0]
+        ELSE cast(array() as array<struct<term: string, start: int, end: int, word: string>>) END"""
 
 
 def meetings(found: DataFrame) -> DataFrame:
@@ -132,7 +137,6 @@ def disclosures(docs: DataFrame, found: DataFrame, met: DataFrame, text: str = "
         .distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_entity"))
     )
     pairs = met.select(DID, THASH, "kind", "entity", "term").distinct().groupBy("kind", "entity", "term").agg(F.count("*").alias("n_pair"))
-    pairs = pairs.where(F.col("n_pair") >= SUPPORT)
     known = pairs.join(entities, ["kind", "entity"]).join(term_counts(docs, text), "term")
     ic = F.log2(total / F.col("n_entity"))
     pmi = F.log2(total * F.col("n_pair") / (F.col("n_entity") * F.col("n_term")))
@@ -145,7 +149,7 @@ def disclosures(docs: DataFrame, found: DataFrame, met: DataFrame, text: str = "
 def sanitised_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document row: doc_id, row key, base spans, and disclosing-term spans.
 
-    terms is an array of (kind, start, end), kind 'generalise' or 'remove', by kind and start. Null
+    terms is an array of (kind, start, end, class), kind 'generalise' or 'remove', by kind and start. Null
     text counts as empty and has no span. Repeated rows each keep their row and get equal spans;
     they count as one document in the co-occurrence statistics. An empty table gives an empty one.
     """
@@ -158,13 +162,14 @@ def sanitised_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # Every place of a disclosing term in a document that holds its entity, in the context or not.
     placed = keyed(docs, text=text, doc_id=doc_id).dropDuplicates([DID, THASH]).join(marked, [DID, THASH])
     places = f"filter({_terms('text', '0')}, t -> map_contains_key(told, t.term))"
-    per_doc = placed.select(DID, THASH, F.expr(f"sort_array(transform({places}, t -> named_struct('kind', told[t.term], 'start', t.start, 'end', t.end)))").alias("terms"))
-    none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int>>)")
+    shape = "CASE WHEN t.word rlike r'\\p{N}' THEN 'code' WHEN t.word rlike r'^\\p{Lu}' THEN 'name' ELSE 'word' END"
+    per_doc = placed.select(DID, THASH, F.expr(f"sort_array(transform({places}, t -> named_struct('kind', told[t.term], 'start', t.start, 'end', t.end, 'class', {shape})))").alias("terms"))
+    none = F.expr("cast(array() as array<struct<kind: string, start: int, end: int, class: string>>)")
     return found.join(per_doc, [DID, THASH], "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, sanitised): texts with entities and generalised terms replaced by [KIND], and removed terms cut out.
+    """(doc_id, sanitised): entities are replaced by [KIND], generalised terms by their [class], removed terms by nothing.
 
     Of overlapping spans the one that starts first (then the longest) decides.
     """
@@ -172,7 +177,7 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     spans = sanitised_spans(docs, text, doc_id).select(DID, THASH, "spans", "terms").dropDuplicates([DID, THASH])
     ordered = F.expr("""sort_array(concat(
         transform(spans, s -> named_struct('start', s.start, 'back', -s.end, 'put', concat('[', upper(s.kind), ']'))),
-        transform(terms, s -> named_struct('start', s.start, 'back', -s.end, 'put', CASE s.kind WHEN 'remove' THEN '' ELSE '[TERM]' END))))""")
+        transform(terms, s -> named_struct('start', s.start, 'back', -s.end, 'put', CASE s.kind WHEN 'remove' THEN '' ELSE concat('[', s.class, ']') END))))""")
     built = F.expr("""aggregate(ordered, named_struct('at', 0, 'out', cast('' as string)),
         (a, s) -> CASE WHEN s.start < a.at THEN a ELSE named_struct('at', -s.back,
             'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), s.put)) END,
