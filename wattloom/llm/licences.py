@@ -67,6 +67,8 @@ TITLES = {
 }
 #: Tokens that a line must share with a template: one word, such as the German "mit", says nothing.
 SHARED = 2
+#: Parts that a directory's files are dealt to when they inherit.
+SALTS = 64
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 _NONE = "cast(array() as array<struct<score: double, name: string>>)"
 
@@ -200,8 +202,10 @@ def licences(files: DataFrame, text: str = "text", path: str = "path", doc_id: s
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     climbs = ask.select("dir", F.explode(F.array_distinct(ups)).alias("up"))
     near = climbs.join(given, F.col("up") == F.col("g_dir")).groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "g_licence")).alias("m"))
-    near = near.select(F.col("dir").alias("n_dir"), F.col("m.up").alias("from_dir"), F.col("m.g_licence").alias("from_licence"))
-    rows = own.withColumn("dir", F.when(F.col("licence").isNull(), folder)).join(near, F.col("dir") == F.col("n_dir"), "left")
+    # A directory may hold a third of all files: its row is dealt to SALTS tasks.
+    near = near.select(F.col("dir").alias("n_dir"), F.col("m.up").alias("from_dir"), F.col("m.g_licence").alias("from_licence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("n_salt"))
+    rows = own.withColumn("dir", F.when(F.col("licence").isNull(), folder)).withColumn("salt", F.pmod(F.xxhash64(DID, THASH), F.lit(SALTS)).cast("int"))
+    rows = rows.join(near, (F.col("dir") == F.col("n_dir")) & (F.col("salt") == F.col("n_salt")), "left")
     return rows.select(
         "doc_id", "path", F.col("licence").alias("own_licence"), "score", "n_lines", "is_file",
         F.coalesce("licence", "from_licence").alias("licence"), F.col("from_dir").alias("inherited_from"),
