@@ -313,8 +313,7 @@ def test_packing_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    docs = texts(spark, sf_dir) | {10**6: "don't STOP I'll we're é́ ﬁ x\u0085y z 漢字💡 İ ß <|endoftext|> a1b2 \x1c end...,", 10**6 + 1: words(3, 9000), 10**6 + 2: ""}
+    docs = texts(spark, sf_dir) | {10**6: "don't STOP I'll we're é́ ﬁ x\u0085y z 漢字💡 İ ß <|endoftext|> x<|startoftext|>y a1b2 \x1c end...,", 10**6 + 1: words(3, 9000), 10**6 + 2: ""}
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in docs.items()}
     rows = collected(packing.pack(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), queries.tokenizer_path()))
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -339,7 +338,7 @@ def test_packing_round_trip(spark, sf_dir):
 
 def test_packer_with_many_open_windows(monkeypatch):
     monkeypatch.setattr(packing, "OPEN", 3)
-    packer = packing.Packer(0, 64)
+    packer = packing.Packer(0, 64, 4)
     rows = [r for i, n in enumerate([40, 41, 42, 43, 44, 50, 24, 64, 130, 1]) for r in packer.add(i, np.arange(n, dtype="<u4"))] + list(packer.finish())
     by = Counter()
     for doc, start, length, *_ in rows:
@@ -347,6 +346,41 @@ def test_packer_with_many_open_windows(monkeypatch):
     assert list(sorted(by.values())) == sorted([40, 41, 42, 43, 44, 50, 24, 64, 130, 1])
 
 
+def test_placement_minimises_the_sum_of_squares():
+    """Every placement against all levels, and most tokens in windows that placement filled."""
+    rnd = np.random.default_rng(4)
+    packer, sizes = packing.Packer(0), np.minimum(rnd.lognormal(6.2, 1.1, 1000).astype(int) + 1, 4095)
+    for i, n in enumerate(sizes.tolist()):
+        if not packer.short:
+            before, tops = packer.count.copy(), packer.top.copy()
+            squares = lambda c: int((c * c).sum())
+            best = []
+            for level in [0, *np.flatnonzero(before)]:
+                if tops[level] + n <= 4096:
+                    after = before.copy()
+                    after[level] -= level > 0
+                    to = -(-(tops[level] + n) // packing.GRAIN)
+                    after[to] += to < packer.full
+                    best.append(squares(after))
+            list(packer.add(i, np.zeros(n, "<u4")))
+            assert squares(packer.count) == min(best)
+        else:
+            list(packer.add(i, np.zeros(n, "<u4")))
+    assert packer.placed >= 0.9 * sizes.sum()
+
+
+def test_ids_of_another_tokenizer_file(spark):
+    """A file with other rules gives the ids of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    known, other = packing.WordIds(queries.tokenizer_path()), packing.WordIds(path)
+    assert known.words and not other.words
+    text = "Some  Words,\nand more\u00a0<|endoftext|> x"
+    assert other.ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def target_by_rounds(sizes):
     names = sorted((k for k in sizes if k is not None), key=lambda k: k.encode()) + [None] * (None in sizes)
     weight = {k: (3, 1, 2)[i % 3] for i, k in enumerate(names)}

@@ -2,9 +2,10 @@
 
 Each partition packs its own stream of documents. Whole windows are cut off a long document;
 its remainder goes to the fill level that minimises the sum of squared counts of partially filled
-windows: with c[h] windows at level h, moving one from h to h + s changes the sum by
-2 (c[h+s] - c[h]) + 2, opening one changes it by 2 c[s] + 1, and filling one up frees c[h]. The
-counts live in a level array, so a placement is one vector operation over the levels.
+windows. A level is GRAIN tokens: with c[h] windows at level h, moving one from h to k changes the sum by
+2 (c[k] - c[h]) + 2, opening one at k changes it by 2 c[k] + 1, and filling one up frees c[h]. The
+counts live in a level array, so a placement is one vector operation over the levels. A window in which less than
+GRAIN tokens are missing takes them from the head of the next document, so every window is filled to the last token.
 
 Windows still open at the end of a stream (or when OPEN of them are) are joined by cutting, and
 the last one is cut into powers of two, which need no padding. Memory is OPEN windows at most.
@@ -12,6 +13,7 @@ the last one is cut into powers of two, which need no padding. Memory is OPEN wi
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-WINDOW, END_ID, OPEN = 4096, 2, 1024
+WINDOW, END_ID, OPEN, GRAIN = 4096, 2, 1024, 32
 #: Words whose ids a worker remembers.
 CACHE = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,9 +45,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The rules under which a text's ids are those of its words (see WordIds); other files are asked for whole texts.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer follows the rules that WordIds knows."""
+    rules = json.loads(tokenizer.to_str())
+    model, added = rules["model"], rules.get("added_tokens") or []
+    return (
+        (rules.get("normalizer") or {}).get("normalizers") == _NORMAL and (rules.get("pre_tokenizer") or {}).get("pretokenizers") == _SPLIT
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
+    )
+
+
 class WordIds:
     """Ids of whole texts from ids of their white-space-delimited words.
 
+    A file with other rules than _NORMAL and _SPLIT is asked for whole texts instead.
+
     ASCII white space separates the tokenizer's pre-tokens and is dropped by it, so the ids of a
     text are those of its words in order; a round-trip test holds this against whole texts. Words are
     remembered in two generations of at most CACHE / 2 each; the older is forgotten when the newer is full.
@@ -56,7 +79,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.words = by_words(self.tokenizer)
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -81,6 +104,9 @@ class WordIds:
         return struct.pack(f"<{len(coded)}I", *coded)
 
     def ids(self, text: str) -> np.ndarray:
+        if not self.words:
+            text = text.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         words = text.encode("utf-8", "surrogatepass").split()
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHE // 2:
@@ -95,68 +121,91 @@ class WordIds:
 class Packer:
     """Sum-of-squares packing of one stream; add() and finish() yield rows of SCHEMA."""
 
-    def __init__(self, first_sequence: int, window: int = WINDOW):
-        self.window, self.next = window, first_sequence
-        self.count = np.zeros(window + 1, np.int64)  # of open windows at each fill level
-        self.open: list[list] = [[] for _ in range(window + 1)]  # windows: lists of (doc_id, start, total, ids)
-        self.n_open = 0
+    def __init__(self, first_sequence: int, window: int = WINDOW, grain: int = GRAIN):
+        self.window, self.grain, self.next = window, grain, first_sequence
+        self.full = -(-window // grain)  # the level of a full window
+        self.count = np.zeros(self.full + 1, np.int64)  # of open windows at each fill level
+        self.top = np.zeros(self.full + 1, np.int64)  # tokens in the window of each level that is next in turn
+        self.open: list[list] = [[] for _ in range(self.full + 1)]  # windows: (tokens, pieces as (doc_id, start, total, ids))
+        self.short: list[tuple[int, list]] = []  # windows that lack less than a level
+        self.n_open = self.placed = 0  # placed: tokens of windows that placement filled
 
     def add(self, doc_id, ids: np.ndarray):
         total, cut = len(ids), len(ids) // self.window * self.window
         for at in range(0, cut, self.window):
+            self.placed += self.window
             yield from self._close([(doc_id, at, total, ids[at : at + self.window])])
+        if self.short and cut < total:
+            fill, held = self.short.pop()
+            take = ids[cut : cut + self.window - fill]
+            held.append((doc_id, cut, total, take))
+            cut += len(take)
+            yield from self._keep(fill + len(take), held)
         size = total - cut
         if not size:
             return
-        c, w = self.count, self.window
-        at = np.flatnonzero(c[1 : w - size + 1]) + 1  # levels with a window that has room
-        best, level = 2 * c[size] + 1, 0
+        c, top, levels = self.count, self.top, np.arange(self.full)
+        own = -(-size // self.grain)
+        best, level = (2 * c[own] + 1 if own < self.full else 0), 0
+        at = np.flatnonzero((c[:-1] > 0) & (top[:-1] + size <= self.window))  # levels with a window that has room
         if len(at):
-            change = np.where(at + size == w, 1 - 2 * c[at], 2 * (c[np.minimum(at + size, w)] - c[at]) + 2)
+            to = -(-(top[at] + size) // self.grain)
+            change = np.where(to == self.full, 1 - 2 * c[at], np.where(to == levels[at], 0, 2 * (c[to] - c[at]) + 2))
             k = len(at) - 1 - int(change[::-1].argmin())  # of equal ones the fullest
             if change[k] <= best:
                 level = int(at[k])
-        piece = (doc_id, cut, total, ids[cut:].copy())
-        if level:
-            held = self.open[level].pop()
-            c[level] -= 1
-            self.n_open -= 1
-            held.append(piece)
-        else:
-            held = [piece]
-        if level + size == w:
+        fill, held = (self._take(level)) if level else (0, [])
+        held.append((doc_id, cut, total, ids[cut:].copy()))
+        yield from self._keep(fill + size, held)
+        if self.n_open > OPEN:
+            yield from self._drain(last=False)
+
+    def _take(self, level: int) -> tuple[int, list]:
+        fill, held = self.open[level].pop()
+        self.count[level] -= 1
+        self.n_open -= 1
+        self.top[level] = self.open[level][-1][0] if self.open[level] else 0
+        return fill, held
+
+    def _keep(self, fill: int, held: list):
+        """Close a full window; file another one under its level."""
+        level = -(-fill // self.grain)
+        if fill == self.window:
+            self.placed += fill
             yield from self._close(held)
+        elif level == self.full:
+            self.short.append((fill, held))
         else:
-            self.open[level + size].append(held)
-            c[level + size] += 1
+            self.open[level].append((fill, held))
+            self.count[level] += 1
+            self.top[level] = fill
             self.n_open += 1
-            if self.n_open > OPEN:
-                yield from self._drain(last=False)
 
     def finish(self):
         yield from self._drain(last=True)
 
     def _drain(self, last: bool):
         """Join the open windows, fullest first, by cutting; the last one stays open or ends the stream."""
-        held, fill = [], 0
-        for level in range(self.window, 0, -1):
-            for one in self.open[level]:
-                for doc_id, start, total, ids in one:
-                    while len(ids):
-                        take = ids[: self.window - fill]
-                        held.append((doc_id, start, total, take))
-                        fill, start, ids = fill + len(take), start + len(take), ids[len(take) :]
-                        if fill == self.window:
-                            yield from self._close(held)
-                            held, fill = [], 0
-            self.open[level] = []
-        self.count[:] = 0
-        self.n_open = 0
+        left = self.short + [one for level in reversed(self.open) for one in reversed(level)]
+        self.short, self.n_open = [], 0
+        self.count[:] = self.top[:] = 0
+        for level in self.open:
+            level.clear()
+        held: list = []
+        fill = 0
+        for _, pieces in left:
+            for doc_id, start, total, ids in pieces:
+                while len(ids):
+                    take = ids[: self.window - fill]
+                    held.append((doc_id, start, total, take))
+                    fill, start, ids = fill + len(take), start + len(take), ids[len(take) :]
+                    if fill == self.window:
+                        yield from self._close(held)
+                        held, fill = [], 0
         if not fill:
             return
         if not last:
-            self.open[fill], self.n_open = [held], 1
-            self.count[fill] = 1
+            yield from self._keep(fill, held)
             return
         parts = [1 << b for b in range(fill.bit_length() - 1, -1, -1) if fill >> b & 1]
         now: list = []
@@ -182,8 +231,10 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text counts as empty and is its end id alone. Repeated rows are packed each, ids may be
-    null, no row is dropped. Sequence ids are unique: the partition's number, then a counter.
-    tokenizer: path of a tokenizers file, readable on every executor.
+    null, no row is dropped; a text of any length is cut into windows as it comes, and an empty table gives an empty one.
+    Only the two named columns are read. Sequence ids are unique: the partition's number, then a counter.
+    tokenizer: path of a tokenizers file, readable on every executor. Ids come from words where by_words() holds for
+    it, else from whole texts.
     """
 
     def run(batches):
