@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, size long, target string, spans string, h int, source_size string, anchor string, m string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, size long, target string, spans string, h int, source_size string, anchor string, m string, n string, `a.b` string, __k string, __did string, __thash string, row string, taken int, path string"
 
 
 def words(seed, n, vocabulary=2000):
@@ -20,7 +20,7 @@ def odd_documents(spark):
         (None, shared + " null id", "en", "b"), (None, shared + " null id", "en", "b"), (5, long, "de", "b"), (6, long + " tail", "de", "c"), (7, shared + " one", None, "c"), (8, "two " + shared, "fr", "c"),
         (9, "\n\t \n", "en", "c"), (10, "éÉ ßẞ ñ 漢字 💡 \u0085  x", "es", "é"), (11, "12345 !!! ???", "en", "a"), (12, long, "de", "b"), (7, "same id, other text", "en", "a"),
     ]
-    return spark.createDataFrame([(*r, len(r[1] or ""), 1, "k", 2, "t", "s", 3, "z", "a", "m", "n") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, "k", 2, "t", "s", 3, "z", "a", "m", "n", "dot", "k", "own id", "own hash", "r", 5, "p") for r in rows], SCHEMA)
 
 
 def no_documents(spark):

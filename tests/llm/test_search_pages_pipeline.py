@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import collected, plain_words, texts
-from tests.llm.test_text_operators import classes, fp, target_by_rounds
+from tests.llm.test_text_operators import classes, fp, rates_by_rounds, target_by_rounds
 from wattloom.llm import langid, licences, packing, queries, topk, wrappers
 
 
@@ -254,22 +254,20 @@ def mixed_by_force(docs, target, sizes):
     """Texts of each document in the mix, source by source: whole copies, then in rank order until the words are spent."""
     xxh = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
     out = {}
-    for source, total in sizes.items():
-        rate = target[source] / total if total else 0.0
-        copies = math.floor(rate + 1e-12)
-        p, rest = max(0.0, rate - copies), max(0, math.floor(target[source] - copies * total + 0.5))
+    for source in sizes:
+        own = {i: plain_words(r["text"]) for i, r in docs.items() if r["source"] == source}
+        rate = rates_by_rounds({i: len(w) for i, w in own.items()}, target[source])
+        copies = {i: math.floor(x + 1e-12) for i, x in rate.items()}
+        rest = max(0, math.floor(target[source] - sum(copies[i] * len(own[i]) for i in own) + 0.5))
         ranks = []
-        for i, r in docs.items():
-            if r["source"] == source:
-                text = r["text"].encode()
-                row = xxh(text, xxh(struct.pack("<q", i)))
-                h = xxh(struct.pack("<Q", row), xxh(struct.pack("<q", i), xxh(b"mix")))
-                u = ((h >> 11) + 0.5) / 2**53
-                out[i] = [r["text"]] * copies
-                ranks.append(((u / (1 - u)) / (p / (1 - p)) if p > 0 else math.inf, i))
+        for i in own:
+            row = xxh(docs[i]["text"].encode(), xxh(struct.pack("<q", i)))
+            h = xxh(struct.pack("<Q", row), xxh(struct.pack("<q", i), xxh(b"mix")))
+            u, p = ((h >> 11) + 0.5) / 2**53, max(0.0, rate[i] - copies[i])
+            out[i] = [docs[i]["text"]] * copies[i]
+            ranks.append(((u / (1 - u)) / (p / (1 - p)) if p > 0 else math.inf, i))
         for _, i in sorted(ranks):
-            own = plain_words(docs[i]["text"])
-            if rest > 0 and own:
-                out[i] = out[i] + [" ".join(own[:rest])]
-                rest -= min(rest, len(own))
+            if rest > 0 and own[i]:
+                out[i] = out[i] + [" ".join(own[i][:rest])]
+                rest -= min(rest, len(own[i]))
     return {i: copies for i, copies in out.items() if plain_words(docs[i]["text"])}

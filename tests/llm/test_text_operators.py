@@ -396,6 +396,40 @@ def target_by_rounds(sizes):
     return fixed
 
 
+def rates_by_rounds(size, target):
+    """Expected copies per document of a source: growing with the size class, 2 at most, words times copies on target."""
+    weight = {i: 2.0 ** (mixing.TILT * (max(1, n).bit_length() - 1)) for i, n in size.items()}
+    rate, free = {}, set(size)
+    while free:
+        room = sum(size[i] * weight[i] for i in free)
+        scale = max(0.0, target - sum(2 * size[i] for i in rate)) / room if room else 0.0
+        over = {i for i in free if scale * weight[i] >= 2}
+        if not over:
+            return rate | {i: scale * weight[i] for i in free}
+        heaviest = max(weight[i] for i in over)
+        for i in over:
+            if weight[i] == heaviest:
+                rate[i] = 2.0
+                free.discard(i)
+    return rate
+
+
+def test_each_document_has_its_own_probability(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = mixing.ranks(docs).withColumn("rows", F.lit(1))
+    classes_of = base.groupBy("source", "class").agg(F.sum("size").alias("words"))
+    for share in (0.3, 1.0, 1.9, 2.0):
+        plan = base.groupBy("source").agg((F.sum("size") * share).alias("target"))
+        rate = {(r["source"], r["class"]): r["rate"] for r in collected(mixing.copies(classes_of, plan))}
+        rows = collected(base.select("doc_id", "source", "size", "class"))
+        for source in {r["source"] for r in rows}:
+            own = {r["doc_id"]: r for r in rows if r["source"] == source}
+            want = rates_by_rounds({i: r["size"] for i, r in own.items()}, share * sum(r["size"] for r in own.values()))
+            assert all(rate[source, own[i]["class"]] == pytest.approx(x) for i, x in want.items())
+            assert sum(x * own[i]["size"] for i, x in want.items()) == pytest.approx(share * sum(r["size"] for r in own.values()))
+        assert share == 2.0 or len(set(rate.values())) > 3
+
+
 def test_mixing_targets_and_amounts(spark, sf_dir):
     source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     size = {i: len(plain_words(t)) for i, t in texts(spark, sf_dir).items()}

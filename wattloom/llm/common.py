@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str] = {}
 
-#: Key columns of a document row inside an operator; names that input tables don't use.
+#: Key columns of a document row inside an operator. Whole input rows are held as one struct, so their names can't clash.
 DID, THASH = "__did", "__thash"
 
 
@@ -93,31 +93,48 @@ def _delete(spark: SparkSession, table: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(docs: DataFrame, *columns: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text (null: empty), the named columns, and a null-free row key.
+def quoted(name: str):
+    """The column of that very name, which may hold dots and back ticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **columns: str) -> DataFrame:
+    """doc_id, text (null: empty), a null-free row key, and further columns of docs under the given names.
 
     Only the named columns are read, so extra columns with clashing names never get in the way.
     Rows that repeat both id and text share a key; every operator gives them the same result.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    ident = F.col(doc_id).cast("long")
+    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    ident = quoted(doc_id).cast("long")
     return docs.select(
         ident.alias("doc_id"),
         body.alias("text"),
         F.coalesce(ident, F.lit(-1).cast("long")).alias(DID),
         F.xxhash64(ident, body).alias(THASH),
-        *[F.col(c) for c in columns],
+        *[quoted(c).alias(name) for name, c in columns.items()],
     )
 
 
+def whole_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **columns: str) -> DataFrame:
+    """keyed(), with the whole row of docs as the struct `row`, so that its columns may have any name."""
+    every = F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    ident = quoted(doc_id).cast("long")
+    keys = F.coalesce(ident, F.lit(-1).cast("long")).alias(DID), F.xxhash64(ident, body).alias(THASH)
+    return docs.select(every, ident.alias("doc_id"), body.alias("text"), *keys, *[quoted(c).alias(name) for name, c in columns.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def kept_rows(docs: DataFrame, keep: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of docs, with its columns, whose (doc_id, row hash) is in keep; rows that repeat a key stay once."""
-    ident, body = F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit(""))
-    names = docs.columns
-    rows = docs.withColumn(DID, F.coalesce(ident, F.lit(-1).cast("long"))).withColumn(THASH, F.xxhash64(ident, body))
+    rows = whole_rows(docs, text, doc_id).select("row", DID, THASH)
     wanted = keep.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias(DID), THASH).distinct()
-    return rows.join(wanted, [DID, THASH], "left_semi").dropDuplicates([DID, THASH]).select(*[F.col(f"`{c}`") for c in names])
+    return rows.join(wanted, [DID, THASH], "left_semi").dropDuplicates([DID, THASH]).select("row.*")
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

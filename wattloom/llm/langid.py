@@ -162,15 +162,19 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """The rows of docs whose language is known: a letter at all, and a score of min_score or more."""
+    """The rows of docs whose language is known: a letter at all, and a score of min_score or more.
+
+    A null or empty text is dropped; a text of any length counts whole; repeated rows are judged alike and each stays;
+    columns may have any name; an empty table gives an empty one.
+    """
     profiles = fit(docs.where(~held_out()))
-    names = docs.columns
-    schema = docs.schema
+    names, at = docs.columns, docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches):
         ranker = Ranker(profiles)
         for batch in batches:
-            keep = [s >= min_score and x != "und" for x, s in (ranker.predict(t.as_py()) for t in batch.column(names.index("text")))]
+            keep = [s >= min_score and x != "und" for x, s in (ranker.predict(t.as_py()) for t in batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return bounded_batches(docs).mapInArrow(run, schema)
+    return bounded_batches(plain).mapInArrow(run, plain.schema).toDF(*names)

@@ -152,7 +152,7 @@ def own_licences(files: DataFrame, text: str = "text", path: str = "path", doc_i
     """Per file row: doc_id, row key, path, licence, score, n_lines (licence lines), is_file (mostly licence text, or named so)."""
     every, idf, unknown = model(templates)
     lines, blocks, full = ([t for t in every if t[1] in kinds] for kinds in (("line",), ("notice", "full"), ("full",)))
-    rows = keyed(files.withColumn("__path", F.col(path).cast("string")), "__path", text=text, doc_id=doc_id)
+    rows = keyed(files, text, doc_id, path=path).withColumn("path", F.col("path").cast("string"))
     tokens = lambda x: F.regexp_extract_all(x, F.lit(_TOKEN), F.lit(0))
     # The known tokens of the whole text decide what of it is looked at: no token spans a line or a sentence.
     low = rows.withColumn("low", F.lower("text")).withColumn("whole", tokens(F.col("low")))
@@ -174,10 +174,10 @@ def own_licences(files: DataFrame, text: str = "text", path: str = "path", doc_i
     low = low.withColumn("block_hits", F.expr(f"flatten(transform(units, toks -> {_hits('toks', blocks, idf, unknown)}))"))
     low = low.withColumn("best", F.expr(f"array_sort(concat(hits, block_hits, file_hits), {_BEST})"))
     share = F.expr("size(hits)") * 2 > F.expr("size(filter(split(low, r'[\\n\\r]+'), x -> length(trim(x)) > 0))")
-    named = F.lower(F.regexp_extract("__path", r"([^/]*)$", 1)).rlike(r"^(?:licen[sc]e|copying|unlicense)(?:[.\-].*)?$")
+    named = F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).rlike(r"^(?:licen[sc]e|copying|unlicense)(?:[.\-].*)?$")
     hit = F.size("best") > 0
     return low.select(
-        "doc_id", DID, THASH, F.col("__path").alias("path"),
+        "doc_id", DID, THASH, "path",
         F.when(hit, F.col("best")[0]["name"]).alias("licence"), F.when(hit, F.col("best")[0]["score"]).alias("score"),
         F.size("hits").cast("long").alias("n_lines"), (hit & (named | share | (F.size("file_hits") > 0))).alias("is_file"),
     )
