@@ -205,10 +205,13 @@ def test_components_of_paths_and_hubs(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=400), st.integers(0, 400))
 def test_fingerprints_compose(data, cut):
-    cut = min(cut, len(data)) // 2 * 2
-    whole = exact_dedup.chunk_hash(data) if data else (0, 0, 0)
+    cut = min(cut, len(data))
     parts = [exact_dedup.chunk_hash(p) if p else (0, 0, 0) for p in (data[:cut], data[cut:])]
-    assert exact_dedup.combine(*parts) == whole
+    assert exact_dedup.combine(*parts) == exact_dedup.text_hash(data)
+    value = 0
+    for byte in data:
+        value = value * exact_dedup.BASE + byte + 1
+    assert exact_dedup.text_hash(data)[:2] == tuple(value % p for p in exact_dedup.PRIMES)
 
 
 def test_exact_duplicates(spark, sf_dir):
@@ -221,11 +224,26 @@ def test_exact_duplicates(spark, sf_dir):
         assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(by[t]), len(by[t]), r["doc_id"] == max(by[t]), hashlib.sha256(t.encode()).hexdigest())
 
 
-def test_equal_hashes_of_different_texts_are_told_apart(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    sha = hashlib.sha256(b"a").hexdigest()
-    groups = spark.createDataFrame([(sha, 9, 2)], "text_sha256 string, keep_id long, group_size long")
-    assert {r["doc_id"] for r in collected(exact_dedup._differing(rows, groups, "text", "doc_id"))} == {1}
+def test_equal_fingerprints_of_different_texts_are_told_apart(spark):
+    """Tiny prime fields make many texts of a length collide; texts of several chunks are hashed in parallel."""
+    long = words(6, 30_000)
+    rows = [(i, f"text {chr(97 + i % 9)}") for i in range(40)] + [(100 + i, long + "abc"[i % 3]) for i in range(7)] + [(None, "text a"), (5, "text f"), (200, long.replace("a", "b", 1) + "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = defaultdict(list)
+    for i, t in rows:
+        by[t].append(-1 if i is None else i)
+    for primes in ((3, 2), exact_dedup.PRIMES):
+        got = collected(exact_dedup.exact_duplicates(df, primes=primes, huge=1 << 16))
+        assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(by)
+        if primes == (3, 2):
+            assert len({r["fp"] for r in got}) < len(by)
+        texts_of = defaultdict(list)
+        for i, t in rows:
+            texts_of[i].append(t)
+        for r in got:
+            assert any((r["keep_id"], r["group_size"], r["text_sha256"]) == (max(by[t]), len(by[t]), hashlib.sha256(t.encode()).hexdigest()) for t in texts_of[r["doc_id"]])
+        plain = {t: exact_dedup.text_hash(t.encode(), primes) for t in by}
+        assert {(r["text_sha256"], r["fp"]) for r in got} == {(hashlib.sha256(t.encode()).hexdigest(), h[0] << 31 | h[1]) for t, h in plain.items()}
 
 
 def removed_by_force(docs):

@@ -1,17 +1,18 @@
 """Exact deduplication by composable polynomial fingerprints and streaming comparison.
 
-A text's UTF-8 bytes are cut into chunks. Each chunk has a polynomial hash over two prime fields,
-and hashes of neighbours combine by length-shifted arithmetic: h(xy) = h(x) * B^len(y) + h(y).
-So a huge document can be hashed chunk by chunk, in any order of chunks, with the same result.
-
-Rows with equal fingerprint, length and digest form a group. Then each member is compared with
-its group's first text, chunk by chunk; a member that differs would stand alone. Groups are
-counted with map-side combination and compared in salted slices, so one hot group of copies is
-spread over many tasks.
+A text's UTF-8 bytes have a polynomial hash over two prime fields, and hashes of neighbouring parts combine by
+length-shifted arithmetic: h(xy) = h(x) * B^len(y) + h(y). Texts above HUGE bytes are cut into chunks that are hashed by
+many tasks; each chunk brings its hash and B^len, and a fold over them in order gives the hash of the whole.
+
+Rows with equal fingerprint and length form a group, counted with map-side combination. Then each member is compared with
+its group's first text, chunk by chunk, in salted slices, so one hot group of copies is spread over many tasks. Members
+that differ form a group of their own, which is compared again, until no member differs. So equality is decided by the
+texts; the SHA-256 in the result is output only.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -19,124 +20,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, THASH, bounded_batches, held, kept_rows, written
+from .common import BLOOM, DID, THASH, bounded_batches, held, kept_rows, keyed, written
 
 #: Prime fields and the base of the polynomial.
 PRIMES, BASE = (2147483647, 2147483629), 1000003
-#: Bytes hashed as one chunk, and code points compared as one chunk.
+#: Bytes hashed at a time, and code points of a chunk of a huge text or of a comparison.
 CHUNK, COMPARE = 1 << 16, 1 << 16
+#: Bytes of a text above which its chunks are dealt to many tasks.
+HUGE = 1 << 22
 #: Members compared in one slice of a group.
-SLICE = 256
+SLICE = 64
 
 
-def _powers(p: int, n: int) -> np.ndarray:
-    """BASE^(n-1) ... BASE^0 mod p, by doubling."""
+@functools.cache
+def _powers(p: int) -> np.ndarray:
+    """BASE^(CHUNK-1) ... BASE^0 mod p, by doubling."""
     out = np.ones(1, np.uint64)
-    while len(out) < n:
+    while len(out) < CHUNK:
         out = np.concatenate([out, out * np.uint64(pow(BASE, len(out), p)) % np.uint64(p)])
-    return out[:n][::-1].copy()
+    return out[:CHUNK][::-1].copy()
 
 
-_POWERS = [_powers(p, CHUNK // 2) for p in PRIMES]
-
-
-def chunk_hash(chunk: bytes) -> tuple[int, int, int]:
-    """(h1, h2, n) of a chunk of at most CHUNK bytes; n counts two-byte digits."""
-    digits = np.frombuffer(chunk + b"\0" * (len(chunk) % 2), np.uint16).astype(np.uint64) + np.uint64(1)
+def chunk_hash(chunk: bytes, primes=PRIMES) -> tuple[int, int, int]:
+    """(h1, h2, length) of at most CHUNK bytes. A digit is a byte plus one, so leading zeros count."""
+    digits = np.frombuffer(chunk, np.uint8).astype(np.uint64) + np.uint64(1)
     n = len(digits)
-    return *(int((digits * w[len(w) - n :] % np.uint64(p)).sum() % np.uint64(p)) for p, w in zip(PRIMES, _POWERS)), n
+    # A product is below 2^40, so a sum of CHUNK of them stays below 2^56.
+    return *(int((digits * _powers(p)[CHUNK - n :]).sum() % np.uint64(p)) for p in primes), n
 
 
-def combine(x: tuple[int, int, int], y: tuple[int, int, int]) -> tuple[int, int, int]:
+def combine(x: tuple[int, int, int], y: tuple[int, int, int], primes=PRIMES) -> tuple[int, int, int]:
     """Hash of a text from the hashes of its left and right part."""
-    h = [(x[i] * pow(BASE, y[2], p) + y[i]) % p for i, p in enumerate(PRIMES)]
+    h = [(x[i] * pow(BASE, y[2], p) + y[i]) % p for i, p in enumerate(primes)]
     return h[0], h[1], x[2] + y[2]
 
 
-def text_hash(data: bytes) -> int:
-    """Fingerprint of whole data as one non-negative 62-bit number."""
+def text_hash(data: bytes, primes=PRIMES) -> tuple[int, int, int]:
+    """(h1, h2, length) of whole data."""
     total = (0, 0, 0)
     for at in range(0, len(data), CHUNK):
-        total = combine(total, chunk_hash(data[at : at + CHUNK]))
-    return total[0] << 31 | total[1]
-
-
-def _hashed(batches):
-    for batch in batches:
-        fp, size, sha = [], [], []
-        for x in batch.column(1):
-            data = (x.as_py() or "").encode("utf-8", "surrogatepass")
-            fp.append(text_hash(data))
-            size.append(len(data))
-            sha.append(hashlib.sha256(data).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())],
-            names=["doc_id", "fp", "n_bytes", "text_sha256"],
-        )
-
-
-def hashed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, n_bytes, text_sha256) per document row; null counts as empty."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return bounded_batches(source).mapInArrow(_hashed, "doc_id long, fp long, n_bytes long, text_sha256 string")
-
-
-_GROUP = ["fp", "n_bytes", "text_sha256"]
-
-
-def _differing(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, text_sha256) of members whose text isn't their group's, found chunk by chunk."""
-    multi = groups.where("group_size > 1").withColumn("slices", F.ceil(F.col("group_size") / SLICE).cast("int"))
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"))
-    hashes = source.select("doc_id", "body", F.sha2("body", 256).alias("text_sha256"))
-    chunks = F.expr(f"transform(sequence(0, cast(length(body) div {COMPARE} as int)), i -> substring(body, i * {COMPARE} + 1, {COMPARE}))")
-    member = hashes.join(multi.select("text_sha256", "keep_id", "slices"), "text_sha256").select(
-        "text_sha256", "doc_id", "keep_id", "slices", F.posexplode(chunks).alias("no", "chunk")
-    )
-    # Most texts are in no group; a Bloom filter of the groups' digests drops them before the shuffle.
+        total = combine(total, chunk_hash(data[at : at + CHUNK], primes), primes)
+    return total
+
+
+def _chunks(body: str, size: int = COMPARE) -> F.Column:
+    return F.expr(f"transform(sequence(0, greatest(0, cast((length({body}) - 1) div {size} as int))), i -> substring({body}, i * {size} + 1, {size}))")
+
+
+def hashed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", primes=PRIMES, huge: int = HUGE) -> DataFrame:
+    """(doc_id, row key, fp, n_bytes, text_sha256) per document row; null counts as empty."""
+    rows = keyed(docs, text, doc_id)
+
+    def run(batches):
+        for batch in batches:
+            fp, size, sha = [], [], []
+            for x in batch.column(3):
+                data = x.as_py().encode("utf-8", "surrogatepass")
+                h = text_hash(data, primes)
+                fp.append(h[0] << 31 | h[1])
+                size.append(h[2])
+                sha.append(hashlib.sha256(data).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(fp, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", DID, THASH, "fp", "n_bytes", "text_sha256"]
+            )
+
+    def parts(batches):
+        for batch in batches:
+            got = [text_hash(x.as_py().encode("utf-8", "surrogatepass"), primes) for x in batch.column(3)]
+            cols = [[g[0] for g in got], [g[1] for g in got], [pow(BASE, g[2], primes[0]) for g in got], [pow(BASE, g[2], primes[1]) for g in got], [g[2] for g in got]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in cols)], names=[DID, THASH, "no", "h1", "h2", "b1", "b2", "n"])
+
+    key = f"doc_id long, {DID} long, {THASH} long"
+    plain = bounded_batches(rows.where(F.octet_length("text") <= huge).select("doc_id", DID, THASH, "text")).mapInArrow(run, f"{key}, fp long, n_bytes long, text_sha256 string")
+    large = rows.where(F.octet_length("text") > huge)
+    cut = large.dropDuplicates([DID, THASH]).select(DID, THASH, F.posexplode(_chunks("text")).alias("no", "chunk")).repartition(DID, THASH, "no")
+    each = cut.mapInArrow(parts, f"{DID} long, {THASH} long, no int, h1 long, h2 long, b1 long, b2 long, n long")
+    fold = f"""aggregate(array_sort(parts), named_struct('x', 0L, 'y', 0L, 'n', 0L), (a, c) -> named_struct(
+        'x', (a.x * c.b1 + c.h1) % {primes[0]}L, 'y', (a.y * c.b2 + c.h2) % {primes[1]}L, 'n', a.n + c.n))"""
+    whole = each.groupBy(DID, THASH).agg(F.collect_list(F.struct("no", "h1", "h2", "b1", "b2", "n")).alias("parts")).select(DID, THASH, F.expr(fold).alias("h"))
+    whole = whole.select(DID, THASH, (F.shiftleft("h.x", 31).bitwiseOR(F.col("h.y"))).alias("fp"), F.col("h.n").alias("n_bytes"))
+    return plain.unionByName(large.select("doc_id", DID, THASH, F.sha2("text", 256).alias("text_sha256")).join(whole, [DID, THASH]))
+
+
+_GROUP = ["fp", "n_bytes", "round"]
+
+
+def _differing(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Row keys of members whose text isn't that of their group's model, found chunk by chunk."""
+    multi = groups.where("members > 1").withColumn("slices", F.ceil(F.col("members") / SLICE).cast("int"))
+    own = rows.select(DID, THASH, *_GROUP).join(multi.select(*_GROUP, "slices", "model"), _GROUP).withColumn("is_model", F.col("model") == F.struct(DID, THASH)).drop("model")
+    body = keyed(docs, text, doc_id).select(DID, THASH, "text")
+    # Most texts are in no group; a Bloom filter of the members' keys drops them before the shuffle.
+    member = body.join(own, [DID, THASH]).select(DID, THASH, *_GROUP, "slices", "is_model", F.posexplode(_chunks("text")).alias("no", "chunk"))
     member = written(member, "members", conf=BLOOM)
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int")
-    own = member.where("not (doc_id <=> keep_id)").select("text_sha256", "no", "doc_id", "chunk", salt.alias("salt"))
-    first = (
-        member.where("doc_id <=> keep_id")
-        .select("text_sha256", "no", F.col("chunk").alias("model"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"))
-        .dropDuplicates(["text_sha256", "no", "salt"])
-    )
-    both = own.join(first, ["text_sha256", "no", "salt"], "left")
-    return both.where("model is null or chunk <> model").select("doc_id", "text_sha256").distinct()
-
-
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    salt = F.pmod(F.xxhash64(DID, THASH), F.col("slices")).cast("int")
+    others = member.where("not is_model").select(DID, THASH, *_GROUP, "no", "chunk", salt.alias("salt"))
+    first = member.where("is_model").select(*_GROUP, "no", F.col("chunk").alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"))
+    both = others.join(first.dropDuplicates([*_GROUP, "no", "salt"]), [*_GROUP, "no", "salt"], "left")
+    return both.where("own is null or chunk <> own").select(DID, THASH).distinct()
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", primes=PRIMES, huge: int = HUGE) -> DataFrame:
+    """(doc_id, row key, copies, fp, text_sha256, keep_id, group_size) per distinct row; rows of a class have equal texts.
+
+    copies: rows that repeat both id and text. Every round closes the classes of its models; texts that only share a
+    fingerprint go to the next, so there are as many rounds as different texts share one, and one as a rule.
+    """
+    rows = hashed(docs, text, doc_id, primes, huge).groupBy("doc_id", DID, THASH, "fp", "n_bytes", "text_sha256").agg(F.count("*").alias("copies"))
+    rows = held(rows.withColumn("round", F.lit(0)))
+    while True:
+        groups = rows.groupBy(*_GROUP).agg(F.count("*").alias("members"), F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.max(F.struct(DID, THASH)).alias("model"))
+        groups = written(groups, "groups")
+        last = rows.agg(F.max("round")).first()[0] or 0
+        odd = written(_differing(docs, rows.where(F.col("round") == last), groups.where(F.col("round") == last), text, doc_id), "odd")
+        if odd.isEmpty():
+            return rows.join(groups.drop("members", "model"), _GROUP).drop("round")
+        moved = odd.withColumn("odd", F.lit(True))
+        rows = written(rows.join(moved, [DID, THASH], "left").withColumn("round", F.col("round") + F.coalesce("odd", F.lit(False)).cast("int")).drop("odd"), "rows")
+
+
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", primes=PRIMES, huge: int = HUGE) -> DataFrame:
     """One row per document row: doc_id, keep_id, group_size, kept, text_sha256, fp.
 
     Null text counts as empty. Of equal texts the largest doc_id stays (null ids are smallest). Of
-    rows that repeat both id and text, exactly one is kept. An empty table gives an empty one.
+    rows that repeat both id and text, exactly one is kept. A text of any length counts whole, only the named columns
+    are read, and an empty table gives an empty one.
     """
-    rows = held(hashed(docs, text, doc_id).groupBy("doc_id", *_GROUP).agg(F.count("*").alias("copies")))
-    groups = written(rows.groupBy(*_GROUP).agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
-    odd = written(_differing(docs, groups, text, doc_id), "odd").select(
-        F.col("doc_id").alias("odd_id"), F.col("text_sha256").alias("odd_sha"), F.lit(True).alias("odd")
-    )
-    out = rows.join(groups, _GROUP)
-    if not odd.isEmpty():  # two texts with equal fingerprint, length and digest; each differing one stands alone
-        hit = (out.doc_id.eqNullSafe(odd.odd_id)) & (out.text_sha256 == odd.odd_sha)
-        out = out.join(odd, hit, "left").select(
-            "doc_id", *_GROUP, "copies",
-            F.when(F.col("odd"), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.when(F.col("odd"), F.col("copies")).otherwise(F.col("group_size")).alias("group_size"),
-        )
-    return out.select(
-        "doc_id", "keep_id", "group_size", "text_sha256", "fp", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth")
-    ).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256", "fp"
-    )
+    rows = classes(docs, text, doc_id, primes, huge).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "fp")
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of equal texts the one with the largest doc_id, once."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    stay = exact_duplicates(docs, text, doc_id).where("kept").select("doc_id", "text_sha256")
-    keys = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(body, 256).alias("text_sha256"), F.xxhash64(F.col(doc_id).cast("long"), body).alias(THASH))
-    hit = keys.doc_id.eqNullSafe(stay.doc_id) & (keys.text_sha256 == stay.text_sha256)
-    return kept_rows(docs, keys.join(stay, hit, "left_semi").select("doc_id", THASH).distinct(), text, doc_id)
+    """The rows of docs that stay: of equal texts the one with the largest doc_id, once.
+
+    Null text counts as empty; of repeated rows one stays; columns may have any name; a text of any length counts
+    whole; an empty table gives an empty one.
+    """
+    stay = classes(docs, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return kept_rows(docs, stay.select("doc_id", THASH), text, doc_id)
