@@ -44,6 +44,20 @@ def test_top_k_equals_brute_force(spark, kind):
     assert got == best(rows)
 
 
+def test_chunks_that_no_query_can_reach_stay_away(spark, monkeypatch):
+    """Vectors of falling length: few (chunk, block) pairs are left before any vector is copied, and no answer is lost."""
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(6000, 16))
+    x *= (100.0 * 0.999 ** np.arange(6000)[:, None]) / np.linalg.norm(x, axis=1)[:, None]
+    rows = list(enumerate(x.tolist()))
+    made = []
+    reached = topk._reached
+    monkeypatch.setattr(topk, "_reached", lambda dealt, asked: made.append((reached(dealt, asked).count(), dealt.select("chunk").distinct().count() * asked.select("block").distinct().count())) or reached(dealt, asked))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in collected(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)))
+    assert got == best(rows) and made[0][0] < 0.7 * made[0][1]
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("vec_id") % 100 == 0).collect() == []

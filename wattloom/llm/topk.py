@@ -6,7 +6,8 @@ is skipped. In a slice the first HEAD coordinates after a rotation by the right
 bounded sample give partial sums; what the rest can add is at most the product of residual lengths. Only pairs
 whose bound reaches the k-th score are scored exactly, in integers.
 
-Every query starts with a k-th score from the SEEDS longest vectors, so chunks prune alone.
+Every query starts with a k-th score from the SEEDS longest vectors, so chunks prune alone: queries are dealt in
+blocks by the length that their answers need, and only chunks that are as long meet a block at all.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 SCALE, K, HEAD = 1024, 10, 16
 #: Vectors collected to fit the rotation and the first k-th scores; rows of a chunk, a query block and a slice.
@@ -130,20 +131,35 @@ def top_k(vectors: DataFrame, queries, vec: str = "embedding", vec_id: str = "ve
             scores = _dots(q, seed_x).astype(np.float64)
             scores[ids[:, None] == seed_ids[None, :]] = -np.inf
             low = np.nextafter(np.sort(scores, axis=1)[:, -k], -np.inf) if scores.shape[1] >= k else np.full(len(q), -np.inf)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low)], names=["vec_id", "v", "floor"])
+            norm = np.sqrt((q * q).sum(axis=1))
+            # The length that a vector needs at least to reach the query's floor; the same slack as in the search.
+            need = np.where(norm > 0, (low - 1e-3) / (np.maximum(norm, 1e-300) * (1 + 1e-9)), -np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(need)], names=["vec_id", "v", "floor", "need"])
 
-    # Chunks: ranges of the length, longest first; their number only follows from the rows.
+    # Chunks: ranges of the length, longest first; blocks: ranges of the length that queries need. Their numbers follow from the rows.
     chunks = max(-(-n // CHUNK), min(64, -(-n // 256)))
     blocks = max(1, -(-n // (100 * QUERIES)))
     dealt = rows.repartitionByRange(chunks, F.desc("len2"), "vec_id").withColumn("chunk", F.spark_partition_id())
-    dealt = written(dealt.select("vec_id", "v", "chunk"), "chunks")
-    asked = rows.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(floors, "vec_id long, v array<double>, floor double")
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
-    every = dealt.select("chunk").distinct()
-    block_of = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = dealt.withColumn("block", F.explode(block_of)).groupBy("chunk", "block")
-    numbers = every.agg(F.collect_set("chunk")).first()[0]  # at most `chunks` small numbers
-    right = asked.withColumn("chunk", F.explode(F.array(*[F.lit(int(c)) for c in sorted(numbers)]))).groupBy("chunk", "block")
+    dealt = written(dealt.select("vec_id", "v", "len2", "chunk"), "chunks")
+    asked = rows.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(floors, "vec_id long, v array<double>, floor double, need double")
+    asked = asked.repartitionByRange(blocks, "need", F.xxhash64("vec_id")).withColumn("block", F.spark_partition_id())
+    asked = written(asked, "queries")
+    pairs = written(_reached(dealt, asked), "pairs")
+    left = dealt.select("vec_id", "v", "chunk").join(small(pairs), "chunk").groupBy("chunk", "block")
+    right = asked.join(small(pairs), "block").groupBy("chunk", "block")
     found = left.cogroup(right).applyInArrow(_search(width, rotation, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _reached(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+    """(chunk, block): only where the chunk's longest vector is as long as some query of the block needs.
+
+    The blocks' needs are one array, of one number per 100 * QUERIES rows; no vector is in this plan.
+    """
+    needs = asked.groupBy("block").agg(F.min("need").alias("need")).agg(F.collect_list(F.struct("block", "need")).alias("blocks"))
+    longest = dealt.groupBy("chunk").agg(F.sqrt(F.max("len2")).alias("longest"))
+    both = longest.join(F.broadcast(needs))  # one row
+    # sqrt() rounds, so a length may be too small by its last bit.
+    hit = F.filter("blocks", lambda b: F.col("longest") * (1 + 1e-12) >= b["need"])
+    return both.select("chunk", F.explode(F.transform(hit, lambda b: b["block"])).alias("block"))
