@@ -261,45 +261,36 @@ def removed_by_force(docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("group", [2048, 2])
-def test_repeated_bytes_equal_brute_force(spark, group, monkeypatch):
+@pytest.mark.parametrize("group", [2048, 1])
+def test_repeated_bytes_equal_brute_force(spark, group):
+    """With a group of one region, every anchor goes through the distributed pass of windows."""
     rnd = np.random.default_rng(7)
     passage = words(3, 120)
     rows = [(i, words(100 + i, 60) + passage[: int(rnd.integers(150, 700))] + words(200 + i, 40)) for i in range(8)]
     rows += [(20, passage), (21, passage), (22, passage[5:]), (23, "ab" * 400), (24, "é" * 150 + words(9, 30)), (25, "x" + "é" * 150), (26, ""), (27, words(4, 50) * 2), (28, passage[:199]), (None, passage[50:]), (None, words(11, 90)), (20, passage)]
     docs = [(i, t.encode()) for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    if group == 2:  # local pass with tiny groups: every anchor goes through the distributed pass of windows
-        assert _with_tiny_groups(docs, monkeypatch) == [(r[0], r[2]) for r in removed_by_force(docs)]
-        return
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collected(suffixes.removed(df))), key=str)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collected(suffixes.removed(df, group=group))), key=str)
     assert got == removed_by_force(docs)
 
 
-def _with_tiny_groups(docs, monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(suffixes, "GROUP", 1)
-    members = defaultdict(list)
-    for n, (_, b) in enumerate(docs):
-        for anchors, _, first, off, count in suffixes.runs(b):
-            for a, s, o, w in zip(anchors.view(np.int64).tolist(), first.tolist(), off.tolist(), count.tolist()):
-                members[a].append((a, n, 0, s, o, w, True, b[s : s + w - 1 + 200]))
-    names = ["anchor", "did", suffixes.ROW, "start", "off", "windows", "alone", "region_bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    rows = [m for a in sorted(members) if len(members[a]) > 1 for m in members[a]]
-    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-    spilled = pa.Table.from_batches(list(suffixes._sorted_groups(iter([batch]))))
-    assert all(spilled.column("hot").to_pylist())
-    keep = spilled.select(["did", suffixes.ROW, "from", "anchor", "off", "windows", "region_bytes"]).combine_chunks().to_batches()
-    windows = [tuple(r.values()) for b in suffixes._window_rows(iter(keep)) for r in b.to_pylist()]
-    twice = Counter(w[3:] for w in windows)
-    spans = defaultdict(list)
-    for did, _, start, *key in windows:
-        if twice[tuple(key)] > 1:
-            spans[did].append((start, start + 200))
-    found = [(i, len(b), sum(y - x for x, y in suffixes._merged(spans[n]))) for n, (i, b) in enumerate(docs)]
-    return [(i, n) for i, _, n in sorted(found, key=str)]
+@pytest.mark.parametrize("collide", [False, True])
+def test_windows_of_an_anchor_are_compared_by_bytes(monkeypatch, collide):
+    """Digit passes against plain bytes, also where all digits have one hash."""
+    if collide:
+        monkeypatch.setattr(suffixes._tables()[1], "sums", lambda grid: np.zeros((*grid.shape[:-1], grid.shape[-1] + 1), np.uint64))
+    rnd = np.random.default_rng(2)
+    anchor = rnd.integers(0, 9, suffixes.GRAM, dtype=np.uint8)
+    off = rnd.integers(100, 153, 40)
+    windows = np.minimum(off + 1, rnd.integers(1, 150, 40))
+    regions = []
+    for o, w in zip(off, windows):
+        text = rnd.integers(0, 2, 600, dtype=np.uint8) if rnd.random() < 0.3 else np.zeros(600, np.uint8)
+        text[300 : 300 + suffixes.GRAM] = anchor
+        regions.append(text[300 - o : 300 - o + w - 1 + suffixes.DEPTH].tobytes())
+    seen = Counter((152 - o + k, r[k : k + 200]) for o, w, r in zip(off, windows, regions) for k in range(w))
+    want = [(i, 152 - o + k) for i, (o, w, r) in enumerate(zip(off, windows, regions)) for k in range(w) if seen[152 - o + k, r[k : k + 200]] > 1]
+    assert list(zip(*(x.tolist() for x in suffixes._repeated(off, windows, regions)))) == want and want
 
 
 def test_language_profiles(spark, sf_dir):

@@ -7,16 +7,16 @@ least-hashed GRAM-byte string in it: equal windows have equal anchors at equal o
 windows share an anchor, so one row stands for a run of windows (about 1.3 % of the positions).
 
 Pass 1, digit = the anchor's hash: counted with map-side combination, anchors met once drop out.
-Pass 2, digit = the hash of the run's whole region: equal regions are repeated as a whole.
-Pass 3, only regions that stand alone beside others with their anchor: their windows are sorted to full
-depth, in memory up to GROUP regions, else as rows of a further distributed pass.
-
-Digits after the first are compared under two independent 64-bit hashes in all.
+Pass 2, digit = the hash of the run's whole region (two independent 64-bit hashes): equal regions are repeated as a whole.
+Pass 3, only regions that stand alone beside others with their anchor: their windows are sorted digit by digit to full
+depth, a window that is alone drops out after each digit, and the groups that are left are compared byte by byte. In
+memory up to GROUP regions of an anchor, else as rows of a further distributed pass under two hashes of the whole window.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .common import bounded_batches, DID, written
 #: Bytes of a repeated string and of an anchor; window starts hashed at a time; regions sorted in memory.
 DEPTH, GRAM, PIECE, GROUP = 200, 48, (1 << 20) - 512, 2048
 SPAN = DEPTH - GRAM + 1  # anchor positions in a window
+#: Bytes of a digit of pass 3.
+DIGIT = 40
 _LOW = np.uint64((1 << 20) - 1)
 #: Key of a document row beside its id.
 ROW = "__row"
@@ -73,10 +75,11 @@ _TABLES: dict[str, _Rolling] = {}
 
 
 def _tables() -> tuple[_Rolling, _Rolling, _Rolling]:
+    """Independent hashes: of anchors and regions; of regions and windows; of windows."""
     if not _TABLES:
         size = PIECE + DEPTH
         _TABLES["anchor"] = _Rolling(1, 0x2545F4914F6CDD1D, size)
-        _TABLES["one"] = _Rolling(2, 0x5851F42D4C957F2D, 2 * DEPTH)
+        _TABLES["one"] = _Rolling(2, 0x5851F42D4C957F2D, size)
         _TABLES["two"] = _Rolling(3, 0x369DEA0F31A53F85, 2 * DEPTH)
     return _TABLES["anchor"], _TABLES["one"], _TABLES["two"]
 
@@ -92,8 +95,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: bytes):
-    """Runs of windows that share an anchor: arrays (anchor hash, region hash, first start, anchor offset, windows)."""
-    rolling = _tables()[0]
+    """Runs of windows that share an anchor: arrays (anchor hash, two region hashes, first start, anchor offset, windows)."""
+    rolling, second, _ = _tables()
     for at in range(0, max(0, len(data) - DEPTH + 1), PIECE):
         part = np.frombuffer(data, np.uint8, min(PIECE + DEPTH - 1, len(data) - at), at)
         sums = rolling.sums(part)
@@ -105,13 +108,14 @@ def runs(data: bytes):
         windows = np.diff(np.r_[first, len(anchor)])
         own = anchor[first]
         off = own - first
-        region = rolling.of(sums, first, first + windows - 1 + DEPTH)
-        shape = (off * (2 * DEPTH) + windows).astype(np.uint64)
-        yield grams[own], _mix(region + shape * np.uint64(0x9E3779B97F4A7C15)), first + at, off, windows
+        end = first + windows - 1 + DEPTH
+        shape = (off * (2 * DEPTH) + windows).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        region = _mix(rolling.of(sums, first, end) + shape), _mix(second.of(second.sums(part), first, end) + shape)
+        yield grams[own], *region, first + at, off, windows
 
 
 def _anchored(batches):
-    kinds = [("did", pa.int64()), (ROW, pa.int32()), ("anchor", pa.int64()), ("region", pa.int64()), ("start", pa.int64()), ("off", pa.int16()), ("windows", pa.int16())]
+    kinds = [("did", pa.int64()), (ROW, pa.int32()), ("anchor", pa.int64()), ("region", pa.int64()), ("region2", pa.int64()), ("start", pa.int64()), ("off", pa.int16()), ("windows", pa.int16())]
     for batch in batches:
         dids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         out: list[list] = [[] for _ in kinds]
@@ -119,7 +123,7 @@ def _anchored(batches):
         for i, x in enumerate(batch.column(2)):
             for got in runs((x.as_py() or "").encode("utf-8", "surrogatepass")):
                 n = len(got[0])
-                for column, values in zip(out, (np.full(n, dids[i]), np.full(n, rows[i]), got[0].view(np.int64), got[1].view(np.int64), *got[2:])):
+                for column, values in zip(out, (np.full(n, dids[i]), np.full(n, rows[i]), *(x.view(np.int64) for x in got[:3]), *got[3:])):
                     column.append(values)
                 held += n
             if held > 200_000:
@@ -157,39 +161,64 @@ def _regions(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
-def _windows(off: np.ndarray, windows: np.ndarray, regions: list[bytes]):
-    """All windows of some regions of one anchor: (region no, column, hash, hash); columns align the anchors."""
-    _, one, two = _tables()
+def _grid(off: np.ndarray, windows: np.ndarray, regions: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Regions of one anchor as rows of bytes whose columns align the anchors; row and column of each window."""
     grid = np.zeros((len(regions), SPAN - 1 + DEPTH), np.uint8)
     for i, (o, r) in enumerate(zip(off, regions)):
         grid[i, SPAN - 1 - o : SPAN - 1 - o + len(r)] = np.frombuffer(r, np.uint8)
     who = np.repeat(np.arange(len(regions)), windows)
     col = np.arange(len(who)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(SPAN - 1 - off, windows)
+    return grid, who, col
+
+
+def _windows(off: np.ndarray, windows: np.ndarray, regions: list[bytes]):
+    """All windows of some regions of one anchor: (region no, column, hash, hash)."""
+    grid, who, col = _grid(off, windows, regions)
     hashes = []
-    for rolling in (one, two):
+    for rolling in _tables()[1:]:
         sums = rolling.sums(grid)
         hashes.append((sums[who, col + DEPTH] - sums[who, col]) * rolling.down[col])
     return who, col, *hashes
 
 
 def _repeated(off: np.ndarray, windows: np.ndarray, regions: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(region no, column) of windows that another region of the anchor has at the same offset."""
-    who, col, one, two = _windows(off, windows, regions)
-    order = np.lexsort((two, one, col))
-    c, a, b = col[order], one[order], two[order]
-    same = (c[1:] == c[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    hit = np.zeros(len(order), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    own = np.sort(order[hit])
-    return who[own], col[own]
+    """(region no, column) of windows that another region of the anchor has at the same offset.
+
+    Windows of a column are sorted by one digit after the other, most significant first; only groups of two or more
+    go on. A digit is compared by its hash, so the last groups are compared byte by byte.
+    """
+    grid, who, col = _grid(off, windows, regions)
+    sums = _tables()[1].sums(grid)  # equal windows stand in equal columns, so sums need no shift
+    group = col
+    for at in range(0, DEPTH, DIGIT):
+        digit = sums[who, col + at + DIGIT] - sums[who, col + at]
+        order = np.lexsort((digit, group))
+        new = np.r_[True, (group[order][1:] != group[order][:-1]) | (digit[order][1:] != digit[order][:-1])]
+        number = np.cumsum(new) - 1
+        many = np.bincount(number, minlength=1)[number] > 1
+        who, col, group = who[order][many], col[order][many], number[many]
+        if not len(who):
+            return who, col
+    first = np.r_[True, group[1:] != group[:-1]]
+    model = np.flatnonzero(first)[np.cumsum(first) - 1]
+    equal = np.ones(len(who), bool)
+    for at in range(DEPTH):
+        equal &= grid[who, col + at] == grid[who[model], col[model] + at]
+    if not equal.all():  # equal hashes of different bytes: those groups by their bytes
+        for g in np.unique(group[~equal]):
+            own = np.flatnonzero(group == g)
+            texts = [grid[w, c : c + DEPTH].tobytes() for w, c in zip(who[own], col[own])]
+            count = Counter(texts)
+            equal[own] = [count[t] > 1 for t in texts]
+    order = np.lexsort((col[equal], who[equal]))
+    return who[equal][order], col[equal][order]
 
 
 _COVER = f"did long, {ROW} int, from long, to long, hot boolean, anchor long, off int, windows int, region_bytes binary"
 
 
-def _sorted_groups(batches):
-    """Pass 3 over members sorted by anchor: covered byte ranges, and members of anchors that are too large."""
+def _sorted_groups(batches, most: int = GROUP):
+    """Pass 3 over members sorted by anchor: covered byte ranges, and members of anchors with more than `most`."""
     held: list = []
     key, passed = None, False
 
@@ -227,7 +256,7 @@ def _sorted_groups(batches):
                 close(out)
                 key, passed = m[0], False
             held.append(m)
-            if len(held) > GROUP:
+            if len(held) > most:
                 passed = True
                 spill(out)
         if out:
@@ -253,18 +282,19 @@ def _window_rows(batches):
         )
 
 
-def covered(rows: DataFrame) -> DataFrame:
+def covered(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """(did, row, from, to): byte ranges covered by repeated windows; ranges may overlap. rows: from _rows()."""
-    anchored = bounded_batches(rows.select(DID, ROW, "text")).mapInArrow(_anchored, f"did long, {ROW} int, anchor long, region long, start long, off short, windows short")
+    anchored = bounded_batches(rows.select(DID, ROW, "text")).mapInArrow(_anchored, f"did long, {ROW} int, anchor long, region long, region2 long, start long, off short, windows short")
     anchored = written(anchored, "anchors")
     # Stored, so that both sides of the join are plain exchanges and a hot anchor's rows can be split among tasks.
     often = written(anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     again = written(anchored.join(often, "anchor"), "again", anchored, often)
 
     first = F.min(F.struct("did", ROW, "start", "off", "windows")).alias("m")
-    regions = written(again.groupBy("anchor", "region").agg(F.count("*").alias("same"), first), "regions")
-    single = regions.where("same = 1").select(F.col("anchor").alias("a"), F.col("region").alias("r"))
-    whole = again.join(single, (F.col("anchor") == F.col("a")) & (F.col("region") == F.col("r")), "left_anti").select(
+    regions = written(again.groupBy("anchor", "region", "region2").agg(F.count("*").alias("same"), first), "regions")
+    # A region that stands alone is left out by its own place, not by its hash, so no key of this join is hot.
+    single = regions.where("same = 1").select(F.col("m.did").alias("s_did"), F.col(f"m.{ROW}").alias("s_row"), F.col("m.start").alias("s_start"))
+    whole = again.join(single, (F.col("did") == F.col("s_did")) & (F.col(ROW) == F.col("s_row")) & (F.col("start") == F.col("s_start")), "left_anti").select(
         "did", ROW, F.col("start").alias("from"), (F.col("start") + F.col("windows") - 1 + DEPTH).alias("to")
     )
 
@@ -274,7 +304,7 @@ def covered(rows: DataFrame) -> DataFrame:
     # Rows that share a key have no region that stands alone, so meeting a row of them twice adds nothing.
     body = rows.select(F.col(DID).alias("did"), ROW, "text").join(listed, ["did", ROW]).select("did", ROW, "text", "members")
     dealt = body.mapInArrow(_regions, _MEMBER).repartition("anchor").sortWithinPartitions("anchor")
-    found = written(dealt.mapInArrow(_sorted_groups, _COVER), "covered")
+    found = written(dealt.mapInArrow(lambda batches: _sorted_groups(batches, group), _COVER), "covered")
     part = found.where("not hot").select("did", ROW, "from", "to")
     hot = found.where("hot")
     if not hot.isEmpty():
@@ -318,19 +348,20 @@ def _cut(batches):
         )
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: int = GROUP) -> DataFrame:
     """One row per document row: doc_id, row key, text, and starts and ends of covered byte ranges (null: none).
 
     Null text counts as empty. Two rows with equal texts cover each other, also when their ids are equal or
-    null. Texts shorter than DEPTH bytes have no windows. An empty table gives an empty one.
+    null. Texts shorter than DEPTH bytes have no windows; longer ones count whole. Only the named columns are read. An
+    empty table gives an empty one. group: regions of an anchor that are sorted in memory.
     """
     rows = _rows(docs, text, doc_id)
-    spans = covered(rows).distinct().groupBy("did", ROW).agg(F.collect_list(F.struct("from", "to")).alias("s"))
+    spans = covered(rows, group).distinct().groupBy("did", ROW).agg(F.collect_list(F.struct("from", "to")).alias("s"))
     spans = spans.select(F.col("did").alias("s_did"), F.col(ROW).alias("s_row"), F.col("s.from").alias("starts"), F.col("s.to").alias("ends"))
     return rows.join(spans, (rows[DID] == F.col("s_did")) & (rows[ROW] == F.col("s_row")), "left").select("doc_id", DID, ROW, "text", "starts", "ends")
 
 
-def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 after cutting repeated bytes."""
-    rows = repeated_spans(docs, text, doc_id).select("doc_id", "text", "starts", "ends")
+def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group: int = GROUP) -> DataFrame:
+    """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 after cutting repeated bytes; cases as in repeated_spans()."""
+    rows = repeated_spans(docs, text, doc_id, group).select("doc_id", "text", "starts", "ends")
     return bounded_batches(rows).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
