@@ -74,7 +74,7 @@ def infer(pages):
     nodes = wrappers.parse(*every[0])
     for one in every[1:]:
         nodes = wrappers.align(nodes, wrappers.parse(*one))
-    return wrappers.Wrapper(nodes, pages=len(pages))
+    return wrappers.Wrapper(nodes, pages=wrappers.signs(*(wrappers.sign(one[1]) for one in every)))
 
 
 def test_main_text_of_a_rich_page():
@@ -84,10 +84,15 @@ def test_main_text_of_a_rich_page():
     assert wrappers.main_text("<body><div>Menu</div><p>Story</p></body>", host) == "Story"
 
 
+def bare(nodes):
+    """Nodes without the statistics of their slots."""
+    return [x if isinstance(x, str) else (*x[:3], len(x[3])) if x[0] == "#" else (x[0], bare(x[1])) for x in nodes]
+
+
 def test_alignment_finds_optionals_repeats_and_slots():
     e = lambda page: wrappers.parse(*wrappers.stream(page))
-    a, b = e("<div>T<p>x</p><p>y</p></div>"), e("<div>T<h2>q</h2><p>z</p></div>")
-    assert wrappers.align(a, b) == ["<div", ("#", "o", "T", 2), ("?", ["<h2", ("#", "o", "q", 1), ">h2"]), ("+", ["<p", ("#", "o", None, 2), ">p"]), ">div"]
+    a, b = e("<div>T<p>xx</p><p>y</p></div>"), e("<div>T<h2>q</h2><p>zz</p></div>")
+    assert bare(wrappers.align(a, b)) == ["<div", ("#", "o", "T", 2), ("?", ["<h2", ("#", "o", "q", 1), ">h2"]), ("+", ["<p", ("#", "o", None, 2), ">p"]), ">div"]
 
 
 def random_page(rnd, depth=0):
@@ -105,7 +110,7 @@ def random_page(rnd, depth=0):
 
 
 def test_wrappers_accept_the_pages_they_come_from():
-    """Bound slots are as many as the page has and of their kinds, in order; the texts are those of the page read alone."""
+    """Bound slots are as many as the page has and of their kinds, in order."""
     for seed in range(150):
         rnd = random.Random(seed)
         pages = [random_page(rnd) for _ in range(rnd.randint(1, 8))]
@@ -117,8 +122,6 @@ def test_wrappers_accept_the_pages_they_come_from():
             for label, p in zip(labels, bound):
                 node = host.nodes[p]
                 assert label == (node if isinstance(node, str) else "#" + node[1])
-            if any(kind == "m" for n, kind, _, _ in pieces if n >= 0):
-                assert wrappers.main_text(page, host) == wrappers.main_text(page)
 
 
 def test_pages_of_the_test_table_bind(spark, sf_dir):
@@ -130,6 +133,66 @@ def test_pages_of_the_test_table_bind(spark, sf_dir):
         assert wrappers.Wrapper([wrappers._unpack(x) for x in json.loads(w["expression"])]).bind(wrappers.stream(r["html"])[0]) is not None
 
 
+def prose(seed, n=40):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n)).capitalize() + "."
+
+
+def labelled_host(kind, n=6):
+    """(pages, their true main texts) of one host."""
+    pages, truth = [], []
+    for i in range(n):
+        head, body = prose(100 * i, 6), [prose(100 * i + k) for k in range(1, 3 + i % 4)]
+        story = f"<h1>{head}</h1>" + "".join(f"<p>{x}</p>" for x in body)
+        menu = "<div class=x1>" + "".join(f"<a href=/{k}>{prose(900 + k, 2)}</a> " for k in range(5 + i % 2)) + "</div>"
+        if kind == "article":  # template and labels inside the article; names that only look like boilerplate
+            page = f"<body>{menu}<article><h1>{head}</h1><div class='promo-free reading'>" + "".join(f"<p>{x}</p>" for x in body) + f"</div><p>Sign up for our daily letter, it is free.</p><div class=ad>{prose(500 + i, 12)}</div></article><footer>{prose(7)}</footer></body>"
+        elif kind == "plain":  # no article, no telling names: siblings of the body
+            page = f"<body><div>Home About {i}</div>{story}<div>Read next: item {i + 1}</div><p>All rights reserved by the site, two thousand and ten.</p></body>"
+        else:  # the story in one of several unnamed blocks
+            page = f"<body><div>{menu}</div><div><div>{story}</div><div>By nobody, {i} days ago</div></div><div><div>{prose(600 + i, 9)}</div><div>{prose(700 + i, 9)}</div></div></body>"
+        pages.append(page)
+        truth.append("\n".join([head, *body]))
+    return pages, truth
+
+
+@pytest.mark.parametrize("kind", ["article", "plain", "nested"])
+def test_main_text_against_labelled_pages(spark, kind):
+    pages, truth = labelled_host(kind)
+    df = spark.createDataFrame([(i, f"http://{kind}.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in collected(wrappers.extract(df))} == dict(enumerate(truth))
+
+
+def test_the_wrapper_changes_the_text():
+    """The same page alone and with its host: template text inside the article goes only when the host shows that it is one."""
+    pages, truth = labelled_host("article")
+    host = infer(pages)
+    alone = [wrappers.main_text(p) for p in pages]
+    assert all("daily letter" in x for x in alone) and [wrappers.main_text(p, host) for p in pages] == truth
+
+
+def test_copies_of_one_article_keep_their_text():
+    page = labelled_host("article")[0][0]
+    near = page.replace("</h1>", " again</h1>").replace(".</p>", " and on.</p>")
+    assert wrappers.main_text(page, infer([page, near, page, near, page])) == wrappers.main_text(page)
+    other = labelled_host("plain")[0][0]
+    assert wrappers.main_text(other, infer([other] * 4)) == wrappers.main_text(other)
+
+
+def test_long_blocks_fold_and_far_common_nodes_align():
+    item = "<li>" + "".join(f"<h{k % 6 + 1}>a{k}</h{k % 6 + 1}>" for k in range(13)) + "</li>"
+    for copies in (2, 5):
+        nodes = wrappers.parse(*wrappers.stream("<ul>" + item * copies + "</ul>"))
+        assert len(nodes) == 3 and nodes[1][0] == "+"
+    two = "<dl>" + "<dt>a</dt><dd>b<p>c</p></dd>" * 4 + "</dl>"
+    assert [x if isinstance(x, str) else x[0] for x in wrappers.parse(*wrappers.stream(two))] == ["<dl", "+", ">dl"]
+    some = lambda seed: "".join(f"<x{seed}{k}></x{seed}{k}>" for k in range(300))
+    tail = "<p>common tail</p><table><tr><td>z</table>"
+    a, b = (wrappers.parse(*wrappers.stream(f"<body>{some(k)}{tail}</body>")) for k in "ab")
+    joined = wrappers.align(a, b)
+    assert [x[0] for x in joined if not isinstance(x, str) and x[0] in "?+"] == ["?", "?"] and joined[-1] == ">body" and "<table" in joined
+
+
 def test_wrappers_drop_template_texts(spark):
     pages = [(i, f"http://h.example/{i}", f"<div>Welcome to the site</div><div>Story {i} of many</div><div>All rights reserved</div>") for i in range(5)]
     got = {r["page_id"]: r["text"] for r in collected(wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
