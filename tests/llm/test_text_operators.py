@@ -318,6 +318,37 @@ def test_language_distance_equals_a_plain_version():
     assert (a[0] == b[0]).all() and a[1].sum() == sum(plain(big).values())
 
 
+def test_ranks_and_out_of_place_distance_equal_a_plain_version(spark):
+    """Profiles, ranks, distances and scores from plain counters."""
+
+    def plain(text):
+        counted = Counter()
+        for word in re.findall(r"[^\W\d_]+", text):
+            w = [0, *(ord(c.lower()[0]) for c in word), 0]
+            counted.update(c for c in w if c)
+            counted.update(a << 21 | b | 1 << 42 for a, b in zip(w, w[1:]) if a or b)
+            counted.update((a << 42 | b << 21 | c) & (1 << 64) - 1 | 1 << 63 for a, b, c in zip(w, w[1:], w[2:]) if b)
+        return counted
+
+    top = lambda c: [k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][: langid.TOP]
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "éèêàçùab"}
+    rnd = np.random.default_rng(9)
+    make = lambda of, n: " ".join("".join(rnd.choice(list(of), int(rnd.integers(1, 8)))) for _ in range(n))
+    rows = [(i, make(letters[name], 60), name) for i, name in enumerate(list(letters) * 12)]
+    profiles = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # Keys are compared as signed numbers where counts are equal, as Spark orders them.
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    for name in letters:
+        whole = sum((plain(t) for _, t, x in rows if x == name), Counter())
+        assert profiles[name].tolist() == [k for k, _ in sorted(whole.items(), key=lambda x: (-x[1], signed(x[0])))][: langid.TOP]
+    ranker = langid.Ranker(profiles)
+    for text in [make(x, 15) for x in letters.values()] + ["a", "zzz xyz", make("abeé", 400)]:
+        own = top(plain(text))
+        far = {x: sum(abs(profiles[x].tolist().index(k) - r) if k in set(profiles[x].tolist()) else langid.TOP for r, k in enumerate(own)) for x in letters}
+        name = min(sorted(far), key=far.get)
+        assert ranker.predict(text) == (name, pytest.approx(1 - far[name] / (langid.TOP * len(own))))
+
+
 def test_packing_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 

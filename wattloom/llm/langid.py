@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, small
 
 #: Ranks in a profile, and documents per language that a profile is fitted on (a bounded sample,
 #: the first by a hash of their id).
@@ -74,21 +74,22 @@ def ranked(keys: np.ndarray, n: np.ndarray, top: int = TOP) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", doc_id: str = "doc_id", fit_docs: int = FIT_DOCS) -> dict[str, np.ndarray]:
     """Profiles per language from at most fit_docs labelled rows each (the smallest id hashes).
 
-    Rows with null label or text don't count. Only the bounded sample reaches the driver.
+    Rows with null label or text don't count. Only the profiles reach the driver: TOP numbers per language. The sampled ids
+    are broadcast if they are few.
     """
     from pyspark.sql import Window
 
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(label).alias("label"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id)).alias("h")
     )
-    share = rows.groupBy("label").count().collect()
-    limit = {r["label"]: min(2**63 - 1, int((min(1.0, (1.5 * fit_docs + 40) / r["count"]) - 0.5) * 2.0**64)) for r in share}
-    below = functools.reduce(lambda a, b: a | b, [(F.col("label") == k) & (F.col("h") <= F.lit(v)) for k, v in limit.items()], F.lit(False))
-    pick = rows.where(below)
+    # A share of the hashes that holds fit_docs rows but for a chance of a few standard deviations; all of a rare language.
+    share = rows.groupBy("label").agg((F.lit(1.5 * fit_docs + 40) / F.count("*")).alias("share"))
+    below = (F.col("share") >= 1) | (F.col("h").cast("double") <= (F.col("share") - 0.5) * 2.0**64)
+    pick = rows.join(small(share), "label").where(below)
     first = pick.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("nth") <= fit_docs)
     ids = first.select("label", "doc_id").distinct()
     chosen = docs.select(F.col(label).alias("label"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    got = chosen.join(F.broadcast(ids), ["label", "doc_id"])
+    got = chosen.join(small(ids), ["label", "doc_id"])
 
     def run(batches):
         for batch in batches:
@@ -135,7 +136,11 @@ class Ranker:
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score) per document row; whole texts, no other input column is read."""
+    """(doc_id, lang_pred, score) per document row; whole texts of any length, no other input column is read.
+
+    A text that is null or empty, or has no letter, is 'und' with score 0. Of equally near languages the smaller name wins.
+    Repeated rows each keep their row; an empty table gives an empty one, and without profiles all is 'und'.
+    """
 
     def run(batches):
         ranker = Ranker(profiles)
@@ -156,7 +161,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def predicted(docs: DataFrame) -> DataFrame:
-    """Fit on rows that aren't held out, predict all."""
+    """doc_id, held_out, lang_pred, score: fit on rows that aren't held out, predict all; cases as in identify()."""
     profiles = fit(docs.where(~held_out()))
     return identify(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 

@@ -232,7 +232,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each class the one with the smallest doc_id (null last), once."""
+    """The rows of docs that stay: of each class the one with the smallest doc_id (null last), once.
+
+    Null, empty and word-free texts are one class. Ties of repeated rows leave one of them; a text of any length counts
+    whole; columns may have any name; an empty table gives an empty one.
+    """
     rows = near_duplicates(docs, text, doc_id)
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", THASH)).alias("m"))
     return kept_rows(docs, first.select(F.col("m.doc_id").alias("doc_id"), f"m.{THASH}"), text, doc_id)
