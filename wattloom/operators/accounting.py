@@ -1,8 +1,9 @@
 """Energy and emissions of jobs: a power profile integrated against the carbon signal.
 
 A job's runtime is cut into segments of its sampling interval; a segment's energy is its power times its
-length, its carbon intensity that of the bucket its start lies in. One explode, one hash join on
-the bucket and one grouped sum with map-side combination; energy needs no join at all.
+length, its carbon intensity that of the bucket its start lies in. Segments are summed per bucket within the row, so
+what is exploded is one narrow row per bucket a job overlaps, never per segment, and no profile leaves its row: one hash
+join on the bucket and one grouped sum with map-side combination; energy needs no join at all.
 """
 
 from __future__ import annotations
@@ -87,21 +88,59 @@ def _at(start: str) -> Column:
     return F.col(start) + seconds_us(F.col("offset_s"))
 
 
+def _per_bucket(start: str, grid_us: int, model: str) -> str:
+    """SQL array of (bucket_us, kwh, kwh_avg), one per bucket in which segments of the row start, for a run from `start` on.
+
+    Reads run_s, interval_s, avg_w, profile_w and __n, the number of segments. Segment i starts rint(1e6 i interval_s)
+    after the run. measured: a profile with a gap raises; missing samples hold the last one.
+    """
+    at = lambda i: f"cast(rint(({i}) * interval_s * 1e6D) as bigint)"
+    floor = lambda x: f"(({x}) - pmod({x}, {grid_us}L))"
+    first, last = floor(start), floor(f"{start} + {at('__n - 1')}")
+    # The first segment that starts at or after a bucket; the quotient may be off by a rounded microsecond.
+    guess = f"cast(ceil((b - {start}) / (interval_s * 1e6D)) as int)"
+    lo = f"CASE WHEN b <= {start} THEN 0 ELSE transform(array({guess}), i -> CASE WHEN i > 0 AND {at('i - 1')} >= b - {start} THEN i - 1 WHEN {at('i')} >= b - {start} THEN i ELSE i + 1 END)[0] END"
+    cuts = f"transform(sequence({first}, {last}, {grid_us}L), b -> {lo})"
+    hi = "CASE WHEN k + 1 < size(los) THEN los[k + 1] ELSE __n END"
+    whole = "(least(x.hi, __n - 1) - x.lo)"
+    tail = "CASE WHEN x.hi = __n THEN run_s - (__n - 1) * interval_s ELSE 0D END"
+    average = f"avg_w * ({whole} * interval_s + {tail}) / {JOULES_PER_KWH}D"
+    size = "size(profile_w)"
+    summed = f"aggregate(slice(profile_w, x.lo + 1, greatest(0, least(x.hi, __n - 1, {size}) - x.lo)), 0D, (a, y) -> a + y)"
+    held = f"greatest(0, least(x.hi, __n - 1) - greatest(x.lo, {size})) * profile_w[{size} - 1]"
+    measured = f"(({summed} + {held}) * interval_s + CASE WHEN x.hi = __n THEN profile_w[least(__n, {size}) - 1] * ({tail}) ELSE 0D END) / {JOULES_PER_KWH}D"
+    power = average if model == "average" else f"CASE WHEN profile_w IS NULL THEN {average} ELSE {measured} END"
+    spans = f"filter(transform(array({cuts}), los -> transform(los, (lo, k) -> named_struct('bucket_us', {first} + k * {grid_us}L, 'lo', lo, 'hi', {hi})))[0], x -> x.hi > x.lo)"
+    return f"transform({spans}, x -> named_struct('bucket_us', x.bucket_us, 'kwh', {power}, 'kwh_avg', {average}))"
+
+
+def _checked(jobs: DataFrame, model: str) -> DataFrame:
+    """jobs with __n, the number of their segments; a measured profile that doesn't cover its runtime raises."""
+    if model not in MODELS:
+        raise ValueError(f"unknown power model: {model}")
+    n = segment_count()
+    if model == "measured":
+        gap = F.raise_error(F.lit("a profile and its runtime differ by more than one interval")).cast("int")
+        n = F.when(F.col("profile_w").isNull() | coverage_ok(), n).otherwise(gap)
+    return jobs.withColumn("__n", n)
+
+
 def account(jobs: DataFrame, signal: DataFrame | float, start: str = "start_us", model: str = "measured", grid_us: int = BUCKET_US, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
     """keys, start_us, end_us, kwh, gco2e per job started at `start`; signal: a series, or one constant intensity."""
     run_us = seconds_us(F.col("run_s"))
+    average = energy_kwh(F.col("avg_w"), F.col("run_s"))
     if isinstance(signal, (int, float)):
         if not 0 <= signal < float("inf"):
             raise ValueError("a constant intensity must be finite and not negative")
-        kwh = energy_kwh(F.col("avg_w"), F.col("run_s")) if model == "average" else F.when(F.col("profile_w").isNull(), energy_kwh(F.col("avg_w"), F.col("run_s"))).otherwise(measured_energy())
+        kwh = average if model == "average" else F.when(F.col("profile_w").isNull(), average).otherwise(measured_energy())
         return jobs.select(*keys, F.col(start).alias("start_us"), (F.col(start) + run_us).alias("end_us"), kwh.alias("kwh"), finite(kwh * float(signal), "emissions").alias("gco2e"))
-    keep = [*dict.fromkeys([*keys, start, "run_s", "interval_s", "avg_w"]), *(["profile_w"] if model == "measured" else [])]
-    rows = sig.lookup(segments(jobs.select(*keep), model).withColumn("__at", _at(start)), "__at", signal, grid_us)
+    own = jobs.withColumn("profile_w", F.lit(None).cast("array<double>")) if model == "average" else jobs
+    rows = _checked(own, model).select(*keys, F.col(start).alias("__start"), (F.col(start) + run_us).alias("__end"), average.alias("__avg"), F.expr(_per_bucket(f"`{start}`", grid_us, model)).alias("__parts"))
+    rows = sig.lookup(rows.select(*keys, "__start", "__end", "__avg", F.inline("__parts")), "bucket_us", signal, grid_us)
     total = rows.groupBy(*keys).agg(
-        F.first(start).alias("start_us"), F.first(F.col(start) + run_us).alias("end_us"), F.sum("kwh").alias("__kwh"),
-        F.first(F.col("avg_w") * F.col("run_s") / JOULES_PER_KWH).alias("__avg"), F.sum(F.col("kwh") * F.col("ci")).alias("gco2e"),
+        F.first("__start").alias("start_us"), F.first("__end").alias("end_us"), F.sum("kwh").alias("__kwh"), F.first("__avg").alias("__avg"), F.sum(F.col("kwh") * F.col("ci")).alias("gco2e"),
     )
-    # Average energy is that of the whole runtime; only emissions need its segments.
+    # Average energy is that of the whole runtime; only emissions need its buckets.
     return total.select(*keys, "start_us", "end_us", finite(F.col("__avg" if model == "average" else "__kwh"), "energy").alias("kwh"), finite(F.col("gco2e"), "emissions").alias("gco2e"))
 
 
@@ -116,17 +155,19 @@ def check_coverage(runs: DataFrame, signal: DataFrame, grid_us: int = BUCKET_US)
 def account_runs(runs: DataFrame, jobs: DataFrame, signal: DataFrame, grid_us: int = BUCKET_US) -> DataFrame:
     """runs with kwh, gco2e, kwh_avg_model and gco2e_avg_model per (scenario, job), both models in one pass.
 
-    Jobs of a run that aren't in jobs raise. Energy doesn't depend on the schedule, so the segments carry it
-    through the same explode that emissions need.
+    Jobs of a run that aren't in jobs raise. A job's runs are gathered first (one start per scenario), so each profile is
+    shuffled once, however many scenarios there are.
     """
-    require_empty(runs.select("job_id").join(jobs.select("job_id"), "job_id", "left_anti"), "no job for a run", ConstraintError)
+    require_empty(runs.select("job_id").distinct().join(jobs.select("job_id"), "job_id", "left_anti"), "no job for a run", ConstraintError)
     check_coverage(runs, signal, grid_us)
-    narrow = jobs.select("job_id", "run_s", "interval_s", "avg_w", "profile_w")
-    rows = segments(runs.select("scenario_id", "job_id", "start_us").join(narrow, "job_id"), "measured").withColumn("__at", _at("start_us"))
-    rows = sig.lookup(rows, "__at", signal, grid_us).withColumn("__avg", F.col("avg_w") * F.col("length_s") / JOULES_PER_KWH)
+    starts = runs.groupBy("job_id").agg(F.collect_list(F.struct("scenario_id", "start_us")).alias("__runs"))
+    rows = _checked(jobs.select("job_id", "run_s", "interval_s", "avg_w", "profile_w").join(starts, "job_id"), "measured")
+    per_run = f"transform(__runs, s -> transform({_per_bucket('s.start_us', grid_us, 'measured')}, p -> named_struct('scenario_id', s.scenario_id, 'bucket_us', p.bucket_us, 'kwh', p.kwh, 'kwh_avg', p.kwh_avg)))"
+    rows = rows.select("job_id", (F.col("avg_w") * F.col("run_s") / JOULES_PER_KWH).alias("__avg"), F.col("profile_w").isNull().alias("__plain"), F.inline(F.flatten(F.expr(per_run))))
+    rows = sig.lookup(rows, "bucket_us", signal, grid_us)
     total = rows.groupBy("scenario_id", "job_id").agg(
-        F.sum("kwh").alias("__kwh"), F.sum(F.col("kwh") * F.col("ci")).alias("gco2e"), F.first(F.col("avg_w") * F.col("run_s") / JOULES_PER_KWH).alias("kwh_avg_model"),
-        F.sum(F.col("__avg") * F.col("ci")).alias("gco2e_avg_model"), F.first(F.col("profile_w").isNull()).alias("__plain"),
+        F.sum("kwh").alias("__kwh"), F.sum(F.col("kwh") * F.col("ci")).alias("gco2e"), F.first("__avg").alias("kwh_avg_model"),
+        F.sum(F.col("kwh_avg") * F.col("ci")).alias("gco2e_avg_model"), F.first("__plain").alias("__plain"),
     )
     total = total.withColumn("kwh", F.when(F.col("__plain"), F.col("kwh_avg_model")).otherwise(F.col("__kwh"))).drop("__kwh", "__plain")
     return runs.join(total, ["scenario_id", "job_id"])

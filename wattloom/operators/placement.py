@@ -11,19 +11,21 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CapacityError, PlacementError
-from ..functions.constraints import duplicates, require_empty, small
+from ..functions.constraints import duplicates, require_empty
 from ..functions.physics import scheduling_avg_w, scheduling_run_s
 from ..functions.timegrid import seconds_us
-from ..schemas import RUNS
+from ..schemas import RUNS, SCENARIOS
 from .metrics import check_capacity
-from .signal import best_starts
+from .signal import targets as best_targets
 
 POLICIES = ("fcfs", "easy", "power-cap", "carbon-aware")
+#: Jobs that fcfs_fold() takes: one row holds them all, and each step copies what was placed before.
+FOLD_JOBS = 20_000
 
 
 class Job:
@@ -119,6 +121,8 @@ class Machine:
             raise PlacementError("job ids must be unique")
         self.jobs, self.total, self.policy = jobs, total_nodes, policy
         self.free, self.queue, self.running = total_nodes, [], {}
+        self.watts = 0.0  # that running jobs draw
+        self.ends: list[tuple] = []  # (planned end, key, job) of running jobs, in order
         self.first_reservation: dict = {}
         self.backfilled: set = set()
         self.now = self.last_event = None
@@ -146,6 +150,8 @@ class Machine:
                 if kind == 0:
                     self.free += job.nodes
                     del self.running[job.id]
+                    self.watts = self.watts - job.watts if self.running else 0.0
+                    del self.ends[bisect_left(self.ends, (job.estimate_end, job.key))]
                 elif kind == 1:
                     released.append(job)
                 elif kind == 3:
@@ -163,6 +169,8 @@ class Machine:
                 del self.queue[bisect_left(self.queue, job)]
                 job.start, job.estimate_end = self.now, self.now + job.plan
                 self.running[job.id] = job
+                self.watts += job.watts
+                insort(self.ends, (job.estimate_end, job.key, job))
                 serial += 1
                 heapq.heappush(events, (self.now + job.run, 0, serial, job))
             if boundary and not pending and (self.queue or self.running):
@@ -174,7 +182,7 @@ class Machine:
     def _choose(self) -> list[Job]:
         policy, now, nodes = self.policy, self.now, self.free
         budget = policy.budget()
-        watts = budget - sum(j.watts for j in self.running.values()) if budget != float("inf") else budget
+        watts = budget - self.watts if budget != float("inf") else budget
         started: list[Job] = []
         line = iter(self.queue)
         pivot = None
@@ -216,25 +224,22 @@ class Machine:
 
     def _reserve(self, pivot: Job, nodes: int, watts: float, started: list[Job]) -> tuple[int, int, float]:
         """Earliest planned instant at which the pivot fits, and what it leaves free then."""
-        ends = [(max(self.now, j.estimate_end), j.nodes, j.watts) for j in self.running.values()]
-        ends += [(self.now + j.plan, j.nodes, j.watts) for j in started]
-        ends.sort(key=lambda e: e[0])
-        at = 0
-        while at < len(ends):
-            when = ends[at][0]
-            fits = False
-            while at < len(ends) and ends[at][0] == when:  # all that ends at an instant counts there
-                nodes += ends[at][1]
-                watts += ends[at][2]
-                fits |= nodes >= pivot.nodes and watts >= pivot.watts
-                at += 1
-            if fits:
-                return when, max(0, nodes - pivot.nodes), max(0.0, watts - pivot.watts)
+        running = ((max(self.now, end), j) for end, _, j in self.ends)
+        fresh = sorted(((self.now + j.plan, j) for j in started), key=lambda e: e[0])
+        when, fits = self.now, False
+        for end, job in heapq.merge(running, fresh, key=lambda e: e[0]):  # all that ends at an instant counts there
+            if fits and end != when:
+                break
+            when = end
+            nodes += job.nodes
+            watts += job.watts
+            fits = fits or (nodes >= pivot.nodes and watts >= pivot.watts)
+        if fits:
+            return when, max(0, nodes - pivot.nodes), max(0.0, watts - pivot.watts)
         raise PlacementError(f"job {pivot.id} needs {pivot.nodes} nodes and {pivot.watts:,.0f} W, which are never free at once")
 
 
 def policy_of(name: str, window=None, cap_w=None) -> Policy:
-    window = None if window is None or pd.isna(window) else int(window)
     if name == "fcfs":
         return Strict()
     if name == "easy":
@@ -262,44 +267,38 @@ def simulate(jobs: DataFrame, scenarios: DataFrame, signal: DataFrame | None = N
     """
     narrow = _narrow(jobs)
     require_empty(duplicates(narrow, "job_id"), "repeated job ids", PlacementError)
-    rows = small(scenarios, 10_000).crossJoin(narrow)  # every scenario sees the same workload
-    targets = None
-    budgets = [(r["max_delay_us"], r["grid_us"]) for r in scenarios.where("policy = 'carbon-aware'").select("max_delay_us", "grid_us").distinct().collect()]
-    for delay, grid in budgets:  # one pass per decision rule of the sweep
-        if signal is None:
-            raise PlacementError("a carbon-aware scenario needs a signal")
-        one = best_starts(jobs, signal, delay, grid).select("job_id", "target_us", F.lit(delay).alias("max_delay_us"), F.lit(grid).alias("grid_us"))
-        targets = one if targets is None else targets.unionByName(one)
-    if targets is None:
-        rows = rows.withColumn("target_us", F.lit(None).cast("long"))
+    table = {r["scenario_id"]: r.asDict() for r in scenarios.collect()}  # a table of runs that someone asked for
+    rules = sorted({(r["max_delay_us"], r["grid_us"]) for r in table.values() if r["policy"] == "carbon-aware"})
+    if rules and signal is None:
+        raise PlacementError("a carbon-aware scenario needs a signal")
+    rows = F.broadcast(scenarios.select("scenario_id", "max_delay_us", "grid_us")).crossJoin(narrow)  # every scenario sees the same workload
+    if rules:
+        rows = rows.join(best_targets(jobs, signal, rules), ["job_id", "max_delay_us", "grid_us"], "left")
     else:
-        rows = rows.join(targets, ["job_id", "max_delay_us", "grid_us"], "left")
+        rows = rows.withColumn("target_us", F.lit(None).cast("long"))
     own = dict(custom or {})
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        head = table[key[0].as_py()]
         name, estimate = head["policy"], head["estimate"]
         policy = own[name] if name in own else policy_of(name, head["window"], head["cap_w"])
-        if estimate is None or pd.isna(estimate):
-            estimate = "scheduling" if name == "carbon-aware" else "time_limit"
+        estimate = estimate or ("scheduling" if name == "carbon-aware" else "time_limit")
         if estimate not in ("time_limit", "scheduling"):
             raise ValueError(f"unknown runtime estimate: {estimate}")
-        plan = pdf["limit_us" if estimate == "time_limit" else "plan_us"]
         held = name == "carbon-aware"
-        work = [
-            Job(int(i), k, int(r), int(n), int(u), int(p), float(w), int(t) if held else None)
-            for i, k, r, n, u, p, w, t in zip(pdf["job_id"], pdf["order_key"], pdf["release_us"], pdf["nodes"], pdf["run_us"], plan, pdf["watts"], pdf["target_us"])
-        ]
-        machine = Machine(work, int(head["total_nodes"]), policy)
+        columns = ["job_id", "order_key", "release_us", "nodes", "run_us", "limit_us" if estimate == "time_limit" else "plan_us", "watts", *(["target_us"] if held else [])]
+        work = [Job(*values) for values in zip(*(rows.column(c).to_pylist() for c in columns))]
+        machine = Machine(work, head["total_nodes"], policy)
         machine.run()
-        return pd.DataFrame({
-            "scenario_id": head["scenario_id"], "job_id": [j.id for j in work], "start_us": [j.start for j in work], "end_us": [j.start + j.run for j in work],
-            "backfilled": [j.id in machine.backfilled for j in work],
-            "first_reservation_us": pd.array([machine.first_reservation.get(j.id) for j in work], dtype="Int64"),
-            "target_us": pd.array([j.target if held else None for j in work], dtype="Int64"), "last_event_us": machine.last_event,
+        n = len(work)
+        long = lambda values: pa.array(values, pa.int64())
+        return pa.table({
+            "scenario_id": pa.array([key[0].as_py()] * n, pa.string()), "job_id": rows.column("job_id"), "start_us": long([j.start for j in work]), "end_us": long([j.start + j.run for j in work]),
+            "backfilled": pa.array([j.id in machine.backfilled for j in work], pa.bool_()), "first_reservation_us": long([machine.first_reservation.get(j.id) for j in work]),
+            "target_us": long([j.target if held else None for j in work]), "last_event_us": long([machine.last_event] * n),
         })
 
-    return rows.groupBy("scenario_id").applyInPandas(place, RUNS + ", target_us long, last_event_us long")
+    return rows.groupBy("scenario_id").applyInArrow(place, RUNS + ", target_us long, last_event_us long")
 
 
 def replay(jobs: DataFrame, total_nodes: int, scenario_id: str = "replay", check: bool = True) -> DataFrame:
@@ -324,7 +323,7 @@ def reject_oversized(jobs: DataFrame, total_nodes: int) -> None:
 
 
 def fcfs_fold(jobs: DataFrame, total_nodes: int) -> DataFrame:
-    """Strict order as one relational fold: job_id, start_us. For bounded workloads; simulate() takes any.
+    """Strict order as one relational fold: job_id, start_us. For at most FOLD_JOBS jobs; more are placed by simulate().
 
     start_i = the first instant t of max(release_i, start_(i-1)) and the completions after it with busy(t) + nodes_i <= total.
     """
@@ -337,4 +336,7 @@ def fcfs_fold(jobs: DataFrame, total_nodes: int) -> DataFrame:
             named_struct('last', t, 'active', concat(filter(s.active, a -> a.e > t), array(named_struct('e', t + x.run_us, 'n', x.nodes))),
                 'out', concat(s.out, array(named_struct('job_id', x.job_id, 'start_us', t)))))[0],
         s -> s.out)"""
+    if jobs.limit(FOLD_JOBS + 1).count() > FOLD_JOBS:
+        one = jobs.sparkSession.createDataFrame([("fcfs", "fcfs", int(total_nodes), None, None, None, None, None)], SCENARIOS)
+        return simulate(jobs, one).select("job_id", "start_us")
     return jobs.agg(F.collect_list(item).alias("items")).select(F.explode(F.expr(fold)).alias("r")).select("r.job_id", "r.start_us")

@@ -109,11 +109,11 @@ def candidate_starts(jobs: DataFrame, max_delay_us: int, grid_us: int = BUCKET_U
     return jobs.withColumn("start_us", F.explode(F.concat(F.array(rel), points)))
 
 
-def candidate_costs(jobs: DataFrame, signal: DataFrame, max_delay_us: int, decision_grid_us: int = BUCKET_US, grid_us: int = BUCKET_US) -> DataFrame:
-    """job_id, start_us, cost_g of each candidate: planned energy times the mean intensity of its window."""
+def candidate_costs(jobs: DataFrame, signal: DataFrame, max_delay_us: int, decision_grid_us: int = BUCKET_US, grid_us: int = BUCKET_US, *more: str) -> DataFrame:
+    """job_id, further columns, start_us, cost_g of each candidate: planned energy times the mean intensity of its window."""
     plan = jobs.select("job_id", "release_us", scheduling_run_s().alias("plan_s"), energy_kwh(scheduling_avg_w(), scheduling_run_s()).alias("kwh"))
     each = candidate_starts(plan, max_delay_us, decision_grid_us).withColumn("end_us", F.col("start_us") + seconds_us(F.col("plan_s")))
-    return mean_intensity(each, "start_us", "end_us", signal, grid_us).select("job_id", "start_us", (F.col("kwh") * F.col("mean_ci")).alias("cost_g"))
+    return mean_intensity(each, "start_us", "end_us", signal, grid_us).select("job_id", *more, "start_us", (F.col("kwh") * F.col("mean_ci")).alias("cost_g"))
 
 
 def best_starts(jobs: DataFrame, signal: DataFrame, max_delay_us: int, decision_grid_us: int = BUCKET_US, grid_us: int = BUCKET_US) -> DataFrame:
@@ -123,6 +123,23 @@ def best_starts(jobs: DataFrame, signal: DataFrame, max_delay_us: int, decision_
     return best.select("job_id", F.col("b.start_us").alias("target_us"), F.col("b.cost_g").alias("cost_g"))
 
 
+def targets(jobs: DataFrame, signal: DataFrame, rules: list[tuple[int, int]], grid_us: int = BUCKET_US) -> DataFrame:
+    """job_id, max_delay_us, grid_us, target_us for every decision rule (delay, grid): best_starts() of all of them.
+
+    Rules of one grid share the candidates of their longest delay: each takes its minimum over those within its own.
+    """
+    out = None
+    for grid in sorted({g for _, g in rules}):
+        delays = sorted({d for d, g in rules if g == grid})
+        costs = candidate_costs(jobs, signal, delays[-1], grid, grid_us, "release_us")
+        wait = F.col("start_us") - F.col("release_us")
+        best = costs.groupBy("job_id").agg(*[F.min(F.when(wait <= d, F.struct("cost_g", "start_us"))).alias(f"d{i}") for i, d in enumerate(delays)])
+        each = F.array(*[F.struct(F.lit(d).cast("long").alias("max_delay_us"), F.lit(grid).cast("long").alias("grid_us"), F.col(f"d{i}.start_us").alias("target_us")) for i, d in enumerate(delays)])
+        one = best.select("job_id", F.inline(each))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def forecast(forecasts: DataFrame | None, issue_us: int, horizon_us: int, grid_us: int = BUCKET_US) -> DataFrame:
     """The latest forecast known at an instant, up to a horizon: rows of (issue_us, bucket_us, ci). None raises."""
     if forecasts is None:

@@ -18,7 +18,7 @@ from ..schemas import BUCKET_US
 from ..scratch import place, stored
 from ..sources import grid_api, jobs as job_source, signal_cache, sinks
 from ..streaming import completed_jobs
-from . import experiments, fixtures as fx
+from . import events_sql, experiments, fixtures as fx
 from .fixtures import DERIVED, EV, HELD, JOBS, OVER, RAW, SEGS, SIGNAL, with_sql
 
 QUERIES: dict = {}
@@ -154,11 +154,11 @@ class FakeService:
         return {"zone": q["zone"][0], "unit": "gCO2eq/kWh", "temporalGranularity": "15_minutes", "data": rows}
 
 
-def _fetch(spark, days=3):
+def _fetch(spark, days=fx.BUCKETS // 96):
     return grid_api.fetch_signal(spark, FakeService(), url="http://grid.invalid/v1", zone="TEST", start_us=fx.FIRST_US + 60_000_000, end_us=fx.FIRST_US + days * 24 * HOUR - 60_000_000, token="x")
 
 
-@query("S7_S9_S10_S11_S12_grid_api", with_sql(SIGNAL, select=f"SELECT bucket_us, ci, is_estimated, estimation_method FROM sig WHERE bucket_us < {fx.FIRST_US + 3 * 24 * HOUR}"))
+@query("S7_S9_S10_S11_S12_grid_api", with_sql(SIGNAL, select="SELECT bucket_us, ci, is_estimated, estimation_method FROM sig"))
 def _(spark, sf):
     return _fetch(spark)
 
@@ -181,9 +181,26 @@ def _(spark, sf):
     return sig.missing_buckets(holed, fx.FIRST_US, fx.FIRST_US + fx.BUCKETS * BUCKET_US)
 
 
-@query("S15_raw_scan", with_sql(RAW, select="SELECT job_id, job_state, partition, submit_time, eligible_time, start_time, end_time, run_time, time_limit, num_nodes_req, num_nodes_alloc FROM raw"))
+_SCALARS = "job_id job_state partition submit_time eligible_time start_time end_time run_time time_limit num_nodes_req num_nodes_alloc".split()
+_LISTS = ["nodes", *cleaning.PROFILES]
+
+
+@query("S15_raw_scan", with_sql(RAW, select=f"SELECT {', '.join(_SCALARS)}, {', '.join(f'array_to_string({c}, {chr(39)},{chr(39)}) AS {c}' for c in _LISTS)} FROM raw"))
+def _(spark, sf):
+    """All columns; lists as text, so that any comparison can hash them."""
+    return fx.raw_trace(spark, sf).select(*_SCALARS, *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in _LISTS])
+
+
+@query("S16_token_lookup", "SELECT 'N_' || n_nationkey AS name, n_name AS token FROM nation")
 def _(spark, sf):
-    return fx.raw_trace(spark, sf).select("job_id", "job_state", "partition", "submit_time", "eligible_time", "start_time", "end_time", "run_time", "time_limit", "num_nodes_req", "num_nodes_alloc")
+    """A file of NAME=value lines, one per nation; each token looked up by its name."""
+    import tempfile
+
+    rows = [(f"N_{r['n_nationkey']}", r["n_name"]) for r in spark.read.parquet(f"{sf}/nation.parquet").collect()]  # 25 rows
+    with tempfile.NamedTemporaryFile("w", suffix=".env") as lines:
+        lines.writelines(f"export {k} = '{v}'\n" if i % 2 else f"{k}={v}\n" for i, (k, v) in enumerate(rows))
+        lines.flush()
+        return spark.createDataFrame([(k, grid_api.read_token(lines.name, k)) for k, _ in rows], "name string, token string")
 
 
 # ---- sinks ---------------------------------------------------------------------------------------------------
@@ -191,11 +208,14 @@ def _(spark, sf):
 _BSLD = "greatest(1.0, ((start_us - release_us) / 1e6 + run_s) / greatest(run_s, 10.0))"
 
 
-@query("K1_records", with_sql(*_ACC, select=f"""SELECT job_id, nodes AS nodes_required, make_timestamp(submit_us) AS submit_time, make_timestamp(start_us) AS start_time, make_timestamp(end_us) AS end_time,
-    (start_us - release_us) / 1e6 AS waiting_s, (end_us - submit_us) / 1e6 AS turnaround_from_submit_s, round({_BSLD}, 9) AS bounded_slowdown, round(kwh, 6) AS energy_kwh, round(g, 6) AS emissions_gco2e FROM acc"""))
+@query("K1_records", with_sql(*_ACC, select=f"""SELECT job_id, nodes AS nodes_required, make_timestamp(submit_us) AS submit_time, make_timestamp(release_us) AS release_time, make_timestamp(start_us) AS start_time,
+    make_timestamp(end_us) AS end_time, make_timestamp(start_us) AS trace_start_time, run_s AS runtime_s, (start_us - release_us) / 1e6 AS waiting_s, (start_us - submit_us) / 1e6 AS waiting_from_submit_s,
+    (end_us - release_us) / 1e6 AS turnaround_s, (end_us - submit_us) / 1e6 AS turnaround_from_submit_s, (start_us - start_us) / 1e6 AS delay_vs_trace_s, round({_BSLD}, 9) AS bounded_slowdown,
+    round(kwh, 6) AS energy_kwh, round(g, 6) AS emissions_gco2e, round(kwh_avg, 6) AS energy_kwh_average_model, round(g_avg, 6) AS emissions_gco2e_average_model FROM acc"""))
 def _(spark, sf):
-    rows = sinks.records(_accounted(spark, sf))
-    return rows.select("job_id", F.col("nodes_required").cast("long").alias("nodes_required"), "submit_time", "start_time", "end_time", "waiting_s", "turnaround_from_submit_s", _r("bounded_slowdown", 9).alias("bounded_slowdown"), _r("energy_kwh").alias("energy_kwh"), _r("emissions_gco2e").alias("emissions_gco2e"))
+    """All columns of the record file, written and read back."""
+    got = spark.read.parquet(sinks.write_records(_accounted(spark, sf), place(spark, "records")))
+    return got.select(*[(_r(c, 9 if c == "bounded_slowdown" else 6).alias(c) if re.match("bounded|energy|emissions", c) else F.col(c).cast("long").alias(c) if c == "nodes_required" else F.col(c)) for c in got.columns])
 
 
 _DIST = lambda c, p: f"avg({c}) AS {p}_mean, median({c}) AS {p}_median, percentile_disc(0.95) WITHIN GROUP (ORDER BY {c}) AS {p}_p95, percentile_disc(0.99) WITHIN GROUP (ORDER BY {c}) AS {p}_p99, max({c}) AS {p}_max"
@@ -213,7 +233,9 @@ pk AS (SELECT greatest(0, max(w)) AS peak_w, greatest(0, max(n)) AS peak_n FROM
     round(sum(nodes * run_s) / (2000 * ((max(end_us) - min(release_us)) / 1e6)), 9) AS utilisation, round((max(end_us) - min(release_us)) / 1e6 / 86400.0, 9) AS makespan_days,
     round(count(*) / ((max(end_us) - min(release_us)) / 1e6 / 3600.0), 9) AS throughput_jobs_per_hour, round(0.0, 9) AS delay_vs_trace_mean_s, round(0.0, 9) AS delay_vs_trace_max_s FROM m"""))
 def _(spark, sf):
-    got = metrics.flat_row(metrics.schedule_metrics(_accounted(spark, sf), _one(2000, spark)))
+    """The comparison table as CSV, written and read back."""
+    made = metrics.schedule_metrics(_accounted(spark, sf), _one(2000, spark))
+    got = spark.read.schema(metrics.flat_row(made).schema).option("header", True).csv(sinks.write_metrics(made, place(spark, "metrics")))
     six = {"mean_emissions_gco2e", "waiting_mean_s", "turnaround_mean_s"}
     return got.select(*[_r(c, 6 if c in six else 9).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
 
@@ -224,6 +246,23 @@ def _(spark, sf):
     return rows.withColumn("parsed_us", timegrid.parse_iso(F.col("iso")))
 
 
+@query("K4_cache_written", with_sql(SIGNAL, select="SELECT bucket_us, ci, is_estimated, estimation_method FROM sig"))
+def _(spark, sf):
+    """The signal through the JSON cache: written, read back and checked."""
+    return signal_cache.load_signal(spark, signal_cache.save_signal(fx.signal(spark), place(spark, "cache") + ".json", BUCKET_US, {"zone": "TEST"}))[0]
+
+
+@query("T16_metadata_round_trip", with_sql(SIGNAL, select="""SELECT unnest(['buckets', 'first', 'flags', 'missing', 'zone']) AS key,
+    unnest([(SELECT CAST(count(*) AS VARCHAR) FROM sig), (SELECT '{"us": ' || min(bucket_us) || '}' FROM sig), '[true, null, 1.5]', 'null', '"é \\"x\\""']) AS value"""))
+def _(spark, sf):
+    """Nested metadata of every JSON kind after a round trip through the cache."""
+    s = fx.signal(spark)
+    ends = s.agg(F.count("*").alias("n"), F.min("bucket_us").alias("a")).first()
+    meta = {"zone": 'é "x"', "buckets": ends["n"], "first": {"us": ends["a"]}, "flags": [True, None, 1.5], "missing": None}
+    got = signal_cache.load_signal(spark, signal_cache.save_signal(s, place(spark, "cache") + ".json", BUCKET_US, meta))[2]
+    return spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in sorted(got.items())], "key string, value string")
+
+
 @query("K7_slug", "SELECT n_nationkey AS id, trim(regexp_replace(lower(trim(n_name || '-' || n_nationkey || ' X/')), '[^a-z0-9]', '_', 'g'), '_') AS slug FROM nation")
 def _(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet")
@@ -309,12 +348,47 @@ def _(spark, sf):
     return spark.read.schema("no int, stage string, rows_remaining long, rows_removed_at_stage long").option("header", True).csv(out["ledger"])
 
 
-@query("P14_postconditions", "SELECT unnest(['nonempty', 'unique_job_id', 'completed_only', 'partition_1_only', 'positive_runtime', 'runtime_exact', 'node_request_matches_allocation', 'allocated_nodes_match_list', 'unique_nodes_within_job', 'usable_node_power', 'profile_within_one_sample', 'no_observed_node_sharing']) AS assertion, true AS passed")
+@query("K5_written_tables", with_sql(DERIVED, f"ok AS (SELECT * FROM ruled WHERE {_ALL})", f"deb AS (SELECT * FROM ok ORDER BY submit_time, job_id LIMIT 5000)", select="""SELECT 'clean' AS output, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS ids, CAST(sum(run_time) AS BIGINT) AS seconds FROM ok
+    UNION ALL SELECT 'debug', count(*), CAST(sum(job_id) AS BIGINT), CAST(sum(run_time) AS BIGINT) FROM deb UNION ALL SELECT 'catalogue', 15, 1, 1
+    UNION ALL SELECT 'manifest', (SELECT count(*) FROM raw), (SELECT count(*) FROM ok), (SELECT count(*) FROM deb)"""))
+def _(spark, sf):
+    """Clean and debug Parquet, catalogue and manifest, read back: rows, ids and run times; for the manifest its three row counts."""
+    out = sinks.write_clean_outputs(fx.raw_trace(spark, sf), place(spark, "outputs"))
+    total = lambda name: spark.read.parquet(out[name]).agg(F.lit(name).alias("output"), F.count("*").alias("n"), F.sum("job_id").alias("ids"), F.sum("run_time").alias("seconds"))
+    listed = spark.read.option("header", True).csv(out["catalogue"]).agg(F.lit("catalogue").alias("output"), F.count("*").alias("n"), F.count_if(F.col("field") == "job_id").alias("ids"), F.count_if(F.col("unit_or_note") == "seconds").alias("seconds"))
+    whole = lambda path: F.get_json_object("value", path).cast("long")
+    manifest = spark.read.text(out["manifest"]).select(F.lit("manifest").alias("output"), whole("$.source.rows").alias("n"), whole("$.outputs.clean_rows").alias("ids"), whole("$.outputs.debug_rows").alias("seconds"))
+    return total("clean").union(total("debug")).union(listed).union(manifest)
+
+
+_FACTS = {
+    "nonempty": "count(*) > 0", "unique_job_id": "count(DISTINCT job_id) = count(job_id)", "completed_only": "bool_and(job_state = 'COMPLETED')", "partition_1_only": "bool_and(partition = '1')",
+    "positive_runtime": "bool_and(run_time > 0)", "runtime_exact": "bool_and(run_time = elapsed)", "node_request_matches_allocation": "bool_and(num_nodes_req = num_nodes_alloc)",
+    "allocated_nodes_match_list": "bool_and(num_nodes_alloc = nodes_count)", "unique_nodes_within_job": "bool_and(nodes_count = unique_nodes)", "usable_node_power": "bool_and(coalesce(min_w > 0, false))",
+    "profile_within_one_sample": "bool_and(coalesce(abs(delta) <= 20, false))", "no_observed_node_sharing": "bool_and(NOT overlap)",
+}
+
+
+@query("P14_postconditions", with_sql(DERIVED, select=" UNION ALL ".join(f"SELECT '{t}' AS rows, '{k}' AS assertion, {v} AS passed FROM ruled{w}" for t, w in (("clean", f" WHERE {_ALL}"), ("raw", "")) for k, v in _FACTS.items())))
 def _(spark, sf):
-    return cleaning.postconditions(cleaning.clean(cleaning.with_derived(fx.raw_trace(spark, sf))))
+    """The facts of the clean table, and of the raw one, where most don't hold."""
+    derived = cleaning.with_derived(fx.raw_trace(spark, sf))
+    told = lambda rows, name: cleaning.postconditions(rows).select(F.lit(name).alias("rows"), "assertion", "passed")
+    return told(cleaning.clean(derived), "clean").union(told(derived, "raw"))
+
+
+_LISTED = "count/category/identifier as documented"
+_W = "W, nominal 20 s samples"
 
 
-@query("P15_feature_catalogue")
+@query("P15_feature_catalogue", f"""SELECT * FROM (VALUES ('job_id', 'bigint', '{_LISTED}', 'submission', 'identifier only'), ('job_state', 'string', '{_LISTED}', 'completion/outcome', 'quality control / validation'),
+    ('partition', 'string', '{_LISTED}', 'submission', 'candidate predictor / scheduler input'), ('submit_time', 'timestamp_ntz', '{_LISTED}', 'submission', 'candidate predictor / scheduler input'),
+    ('eligible_time', 'timestamp_ntz', '{_LISTED}', 'release/eligibility', 'scheduler release time'), ('start_time', 'timestamp_ntz', '{_LISTED}', 'completion/outcome', 'quality control / validation'),
+    ('end_time', 'timestamp_ntz', '{_LISTED}', 'completion/outcome', 'quality control / validation'), ('run_time', 'bigint', 'seconds', 'execution outcome', 'oracle target / diagnostic'),
+    ('time_limit', 'bigint', 'minutes', 'submission', 'candidate predictor / scheduler input'), ('num_nodes_req', 'bigint', '{_LISTED}', 'submission', 'candidate predictor / scheduler input'),
+    ('num_nodes_alloc', 'bigint', '{_LISTED}', 'post-allocation', 'oracle validation'), ('nodes', 'array<bigint>', '{_LISTED}', 'post-allocation', 'oracle validation'),
+    ('node_power_consumption', 'array<bigint>', 'whole-job {_W}', 'execution outcome', 'oracle target / diagnostic'), ('cpu_power_consumption', 'array<bigint>', 'component {_W}', 'execution outcome', 'oracle target / diagnostic'),
+    ('mem_power_consumption', 'array<bigint>', 'component {_W}', 'execution outcome', 'oracle target / diagnostic')) v(field, dtype, unit_or_note, available_when, initial_role)""")
 def _(spark, sf):
     return cleaning.feature_catalogue(fx.raw_trace(spark, sf))
 
@@ -339,9 +413,9 @@ def _(spark, sf):
     return rows.select("job_id", "waiting_s", "waiting_from_submit_s", "turnaround_s", "turnaround_from_submit_s", "delay_vs_trace_s", _r("bounded_slowdown", 9).alias("bounded_slowdown"))
 
 
-@query("P25_O1_debug_subset", with_sql(DERIVED, f"deb AS (SELECT * FROM ruled WHERE {_ALL} ORDER BY submit_time, job_id LIMIT 500)", select="SELECT count(*) AS jobs, min(submit_time) AS first_submit, max(submit_time) AS last_submit, CAST(sum(samples) AS BIGINT) AS node_power_samples, max(num_nodes_req) AS maximum_requested_nodes FROM deb"))
+@query("P25_O1_debug_subset", with_sql(DERIVED, f"deb AS (SELECT * FROM ruled WHERE {_ALL} ORDER BY submit_time, job_id LIMIT 5000)", select="SELECT count(*) AS jobs, min(submit_time) AS first_submit, max(submit_time) AS last_submit, CAST(sum(samples) AS BIGINT) AS node_power_samples, max(num_nodes_req) AS maximum_requested_nodes FROM deb"))
 def _(spark, sf):
-    return cleaning.debug_summary(cleaning.debug_subset(cleaning.clean(cleaning.with_derived(fx.raw_trace(spark, sf))), 500))
+    return cleaning.debug_summary(cleaning.debug_subset(cleaning.clean(cleaning.with_derived(fx.raw_trace(spark, sf)))))
 
 
 # ---- signal --------------------------------------------------------------------------------------------------
@@ -536,12 +610,12 @@ def _(spark, sf):
     return cleaning.value_counts(fx.raw_trace(spark, sf), "job_state")
 
 
-_OV = [("job_state", 0), ("partition", 0), ("eligible_time", 0), ("run_time", 0), ("cpu_power_consumption", 1), ("mem_power_consumption", 1)]
+_DTYPES = {c: "timestamp_ntz" if c.endswith("_time") and c != "run_time" else "string" if c in ("job_state", "partition") else "bigint" for c in _SCALARS} | dict.fromkeys(_LISTS, "array<bigint>")
 
 
-@query("G2_overview", with_sql(RAW, select=" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER ({c} IS NULL) AS missing, {f'count(*) FILTER (len({c}) = 0)' if a else 'CAST(-1 AS BIGINT)'} AS empty_lists, {'CAST(-1 AS BIGINT)' if a else f'count(DISTINCT {c})'} AS distinct_non_null FROM raw" for c, a in _OV)))
+@query("G2_overview", with_sql(RAW, select=" UNION ALL ".join(f"SELECT '{c}' AS field, '{t}' AS dtype, count(*) FILTER ({c} IS NULL) AS missing, {f'count(*) FILTER (len({c}) = 0)' if c in _LISTS else 'CAST(-1 AS BIGINT)'} AS empty_lists, {'CAST(-1 AS BIGINT)' if c in _LISTS else f'count(DISTINCT {c})'} AS distinct_non_null FROM raw" for c, t in _DTYPES.items())))
 def _(spark, sf):
-    return cleaning.overview(fx.raw_trace(spark, sf).select(*[c for c, _ in _OV])).drop("dtype").na.fill(-1)
+    return cleaning.overview(fx.raw_trace(spark, sf)).na.fill(-1, ["empty_lists", "distinct_non_null"])
 
 
 @query("G3_duplicate_ids", "SELECT user_id, count(*) AS count FROM events GROUP BY user_id HAVING count(*) > 1")

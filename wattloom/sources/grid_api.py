@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..errors import GridSourceError
 from ..operators.signal import build_series, merge_samples, require_complete
 from ..schemas import BUCKET_US, SIGNAL
+from ..scratch import stored
 
 #: Fixed values of the service's format.
 GRANULARITY, UNIT, FACTORS = "15_minutes", "gco2eq/kwh", ("lifecycle", "direct")
@@ -152,13 +153,11 @@ def source_class(transport=http_json) -> type[DataSource]:
 
 def fetch_signal(spark: SparkSession, transport=http_json, **options) -> DataFrame:
     """The complete series of [start_us, end_us): chunks read in parallel, merged, checked for conflicts and gaps."""
-    from pyspark.sql import functions as F  # noqa: F401
-
     spark.dataSource.register(source_class(transport))
     reader = spark.read.format("grid_intensity")
     for k, v in options.items():
         reader = reader.option(k, str(v))
-    got = spark.createDataFrame(reader.load().collect(), SIGNAL)  # one bounded series, and each chunk is asked once
+    got = stored(reader.load(), "signal")  # so that each chunk is asked once
     if got.isEmpty():
         raise GridSourceError("the service returned no samples")
     signal = build_series(merge_samples(got))

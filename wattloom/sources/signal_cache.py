@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,17 +72,24 @@ def load_signal(spark: SparkSession, path: str) -> tuple[DataFrame, int, dict]:
 
 
 def save_signal(signal: DataFrame, path: str, grid_us: int, metadata: dict | None = None) -> str:
-    """One normalised JSON file, written beside its place and then renamed. The signal is a bounded series."""
+    """One normalised JSON file in any store, written beside its place and then renamed over it. The signal is a bounded series."""
     rows = signal.select(iso_utc(F.col("bucket_us")).alias("timestamp"), F.col("ci").alias("intensity_gco2e_per_kwh"), "is_estimated", "estimation_method").orderBy("bucket_us")
     payload = {"schema_version": VERSION, "granularity_seconds": grid_us / 1e6, "metadata": checked_metadata(metadata or {}), "samples": [r.asDict() for r in rows.collect()]}
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
+    context = signal.sparkSession.sparkContext
+    fs = context._jvm.org.apache.hadoop.fs
+    place = fs.Path(path).getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(fs.Path(path))
+    files = fs.FileContext.getFileContext(place.toUri(), context._jsc.hadoopConfiguration())
+    store = place.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(place.getParent())
+    temporary = fs.Path(place.getParent(), f".{place.getName()}.{uuid.uuid4().hex}.tmp")
     try:
-        with os.fdopen(fd, "w", encoding="utf-8") as out:
-            json.dump(payload, out, indent=2, sort_keys=True, allow_nan=False)
-            out.write("\n")
-        os.replace(temporary, path)
+        out = store.create(temporary, True)
+        out.write(bytearray((json.dumps(payload, indent=2, sort_keys=True, allow_nan=False) + "\n").encode("utf-8")))
+        out.close()
+        over = context._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        over[0] = getattr(fs, "Options$Rename").OVERWRITE
+        files.rename(temporary, place, over)
     except BaseException:
-        os.unlink(temporary)
+        store.delete(temporary, False)
         raise
     return path
