@@ -746,19 +746,56 @@ def _(spark, sf):
     return placement.simulate(j, _scenario(spark, [experiments.scenario("fcfs", "fcfs", _nodes(j))])).select("job_id", "start_us")
 
 
-@query("X3_X4_X13_easy")
+_CAP = "(SELECT greatest(24, CAST(round(count(*) / 71.4) AS BIGINT)) FROM jobs)"
+_UNHELD = "targets AS (SELECT job_id, CAST(0 AS BIGINT) AS delay, CAST(NULL AS BIGINT) AS target_us FROM jobs WHERE false)"
+
+
+def _scen(*rows: tuple, name: str = "scen") -> str:
+    """A table of scenarios for events_sql: sid, nodes, cap, window, estimate, backfills, delay, boundary grid."""
+    values = ", ".join(f"('{i}', CAST({c} AS BIGINT), CAST({cap} AS DOUBLE), {win}, '{est}', {bf}, CAST({delay} AS BIGINT), CAST({grid} AS BIGINT))" for i, c, cap, win, est, bf, delay, grid in rows)
+    return f"{name} AS (SELECT * FROM (VALUES {values}) v(sid, c, cap, win, est, bf, delay, grid))"
+
+
+def _easy(sid: str, c: str = _CAP, cap: str = "'inf'", win: int = 0, est: str = "time_limit", bf: str = "true", delay="NULL", grid: int = 0) -> tuple:
+    return sid, c, cap, win, est, bf, delay, grid
+
+
+def _targets(delays) -> str:
+    """Cheapest starts of every job within each delay, from candidates up to the longest."""
+    longest = max(delays)
+    points = CAND.replace(str(6 * HOUR), str(longest))
+    return points + f""", targets AS (SELECT job_id, d.delay, arg_min(start_us, (cost_g, start_us)) AS target_us FROM (SELECT c.*, j.release_us FROM cost c JOIN jobs j USING (job_id)) c
+        JOIN (VALUES {', '.join(f'(CAST({d} AS BIGINT))' for d in delays)}) d(delay) ON start_us <= release_us + d.delay GROUP BY job_id, d.delay)"""
+
+
+_DELAYS = [h * HOUR for h in experiments.DELAY_HOURS]
+_OUT = "scenario_id, job_id, start_us, end_us, backfilled, coalesce(first_reservation_us, -1) AS first_reservation_us, coalesce(target_us, -1) AS target_us, last_event_us"
+
+
+def _placed(runs: DataFrame) -> DataFrame:
+    """A simulation's result with -1 for no reservation and no target."""
+    return runs.na.fill(-1, ["first_reservation_us", "target_us"])
+
+
+_FIRST = _scen(_easy("easy"), _easy("easy-w10", win=10), _easy("fcfs", bf="false"))
+
+
+@query("X3_X4_X13_easy", with_sql(JOBS, _UNHELD, _scen(_easy("easy"), _easy("easy-w10", win=10)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
-    return placement.simulate(j, _scenario(spark, [experiments.scenario("easy", "easy", _nodes(j)), experiments.scenario("easy-w10", "easy", _nodes(j), window=10)]))
+    return _placed(placement.simulate(j, _scenario(spark, [experiments.scenario("easy", "easy", _nodes(j)), experiments.scenario("easy-w10", "easy", _nodes(j), window=10)])))
 
 
-@query("X18_J6_O4_O5_O6_run_invariants", with_sql(JOBS, select="SELECT unnest(['easy', 'easy-w10', 'fcfs']) AS scenario_id, (SELECT count(*) FROM jobs) AS placed, CAST(0 AS BIGINT) AS early, CAST(0 AS BIGINT) AS wrong_end, CAST(0 AS BIGINT) AS over_capacity"))
+@query("X18_J6_O4_O5_O6_run_invariants", with_sql(JOBS, _UNHELD, _FIRST, *events_sql.schedules("runs", "scen"), """rj AS (SELECT r.*, release_us, run_n, nodes FROM runs r JOIN jobs USING (job_id))""",
+    "e AS (SELECT scenario_id, start_us AS t, 1 AS o, nodes AS d FROM rj UNION ALL SELECT scenario_id, end_us, 0, -nodes FROM rj), g AS (SELECT scenario_id, t, o, sum(d) AS d FROM e GROUP BY ALL), l AS (SELECT scenario_id, sum(d) OVER (PARTITION BY scenario_id ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS v FROM g)",
+    select=f"""SELECT scenario_id, count(DISTINCT job_id) AS placed, count(*) FILTER (start_us < release_us) AS early, count(*) FILTER (end_us <> start_us + 1000000 * run_n) AS wrong_end, any_value(over_capacity) AS over_capacity, any_value(peak_nodes) AS peak_nodes
+    FROM rj JOIN (SELECT scenario_id, count(*) FILTER (v > {_CAP}) AS over_capacity, CAST(max(v) AS BIGINT) AS peak_nodes FROM l GROUP BY scenario_id) USING (scenario_id) GROUP BY scenario_id""", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
     n = _nodes(j)
     runs = stored(placement.simulate(j, _scenario(spark, [experiments.scenario("fcfs", "fcfs", n), experiments.scenario("easy", "easy", n), experiments.scenario("easy-w10", "easy", n, window=10)])), "runs")
     both = runs.select("scenario_id", "job_id", "start_us", "end_us").join(j.select("job_id", "release_us", "run_s", "nodes"), "job_id")
-    over = metrics.sweep(both, F.col("nodes"), "scenario_id").groupBy("scenario_id").agg(F.count_if(F.col("level") > n).alias("over_capacity"))
+    over = metrics.sweep(both, F.col("nodes"), "scenario_id").groupBy("scenario_id").agg(F.count_if(F.col("level") > n).alias("over_capacity"), F.max("level").cast("long").alias("peak_nodes"))
     sound = both.groupBy("scenario_id").agg(
         F.countDistinct("job_id").alias("placed"), F.count_if(F.col("start_us") < F.col("release_us")).alias("early"),
         F.count_if(F.col("end_us") != F.col("start_us") + timegrid.seconds_us(F.col("run_s"))).alias("wrong_end"),
@@ -766,18 +803,24 @@ def _(spark, sf):
     return sound.join(over, "scenario_id")
 
 
-@query("X5_power_capped")
+_WATTS = "4 * (0.5 * (SELECT sum(avg_w * run_s) FROM jobs) / (30 * 86400) + 2 * (SELECT max(avg_w) FROM jobs))"
+
+
+@query("X5_power_capped", with_sql(JOBS, _UNHELD, _scen(_easy("power-cap", f"10 * {_CAP}", _WATTS)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
     cap = 0.5 * j.agg(F.sum(F.col("avg_w") * F.col("run_s"))).first()[0] / (30 * 86400) + 2 * j.agg(F.max("avg_w")).first()[0]
-    return placement.simulate(j, _scenario(spark, [experiments.scenario("power-cap", "power-cap", 10 * _nodes(j), cap_w=4 * cap)]))
+    return _placed(placement.simulate(j, _scenario(spark, [experiments.scenario("power-cap", "power-cap", 10 * _nodes(j), cap_w=4 * cap)])))
 
 
-@query("X6_X11_carbon_aware")
+_HELD_ROWS = [_easy(f"carbon-{h}h", est="scheduling", delay=h * HOUR) for h in experiments.DELAY_HOURS]
+
+
+@query("X6_X11_carbon_aware", with_sql(JOBS, SIGNAL, _targets(_DELAYS), _scen(*_HELD_ROWS), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
-    rows = [experiments.scenario(f"carbon-{h}h", "carbon-aware", _nodes(j), max_delay_us=h * HOUR) for h in (0, 6)]
-    return placement.simulate(j, _scenario(spark, rows), fx.signal(spark))
+    rows = [experiments.scenario(f"carbon-{h}h", "carbon-aware", _nodes(j), max_delay_us=h * HOUR) for h in experiments.DELAY_HOURS]
+    return _placed(placement.simulate(j, _scenario(spark, rows), fx.signal(spark)))
 
 
 @query("X7_replay", with_sql(JOBS, select="SELECT job_id, trace_start_us AS start_us, trace_start_us + 1000000 * run_n AS end_us FROM jobs"))
@@ -791,10 +834,10 @@ def _(spark, sf):
     return placement.oversized(fx.jobs(spark, sf, None), 12).select("job_id", "nodes")
 
 
-@query("X12_carbon_boundaries")
+@query("X12_carbon_boundaries", with_sql(JOBS, _UNHELD, _scen(_easy("watch", grid=BUCKET_US)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
-    return placement.simulate(j, _scenario(spark, [("watch", "watch", _nodes(j), None, None, None, None, None)]), custom={"watch": _boundary_policy()})
+    return _placed(placement.simulate(j, _scenario(spark, [("watch", "watch", _nodes(j), None, None, None, None, None)]), custom={"watch": _boundary_policy()}))
 
 
 def _boundary_policy() -> placement.Policy:
@@ -803,24 +846,72 @@ def _boundary_policy() -> placement.Policy:
     return policy
 
 
-@query("X15_compare_baselines")
+def _flat(runs: str, nodes: str) -> list[str]:
+    """CTEs whose last, flat, is the metric row of every scenario of a table of runs, with plain values."""
+    dist = lambda c, p, *names: ", ".join({"mean": f"avg({c})", "median": f"median({c})", "p95": f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c})", "p99": f"percentile_disc(0.99) WITHIN GROUP (ORDER BY {c})", "max": f"CAST(max({c}) AS DOUBLE)"}[n] + f" AS {p}_{n}_s".replace("slowdown_" + n + "_s", "slowdown_" + n) for n in names)
+    return [
+        f"""em AS (SELECT scenario_id, job_id, sum(w * len_s / 3600000.0) AS kwh, sum(w * len_s / 3600000.0 * ci) AS g, sum(avg_w * len_s / 3600000.0 * ci) AS g_avg
+            FROM (SELECT r.scenario_id, s.job_id, w, len_s, avg_w, r.start_us + 20000000 * i AS at_us FROM {runs} r JOIN segs s USING (job_id)) JOIN sig ON sig.bucket_us = at_us - at_us % 900000000 GROUP BY ALL)""",
+        f"""mm AS (SELECT r.scenario_id, r.job_id, r.start_us, r.end_us, r.last_event_us, j.release_us, j.nodes, j.run_s, em.kwh, em.g, em.g_avg, (r.start_us - j.release_us) / 1e6 AS wait_s, (r.end_us - j.release_us) / 1e6 AS turn_s,
+            greatest(1.0, ((r.start_us - j.release_us) / 1e6 + j.run_s) / greatest(j.run_s, 10.0)) AS bsld, (r.start_us - j.trace_start_us) / 1e6 AS late_s FROM {runs} r JOIN jobs j USING (job_id) JOIN em USING (scenario_id, job_id))""",
+        "me AS (SELECT scenario_id, start_us AS at_us, 1 AS o, kwh * 3600000.0 / run_s AS w, nodes AS n FROM mm UNION ALL SELECT scenario_id, end_us, 0, -kwh * 3600000.0 / run_s, -nodes FROM mm)",
+        "ml AS (SELECT scenario_id, sum(w) OVER p AS w, sum(n) OVER p AS n FROM me WINDOW p AS (PARTITION BY scenario_id ORDER BY at_us, o ROWS UNBOUNDED PRECEDING))",
+        "mp AS (SELECT scenario_id, greatest(0, max(w)) AS peak_w, CAST(greatest(0, max(n)) AS BIGINT) AS peak_n FROM ml GROUP BY scenario_id)",
+        f"""flat AS (SELECT scenario_id AS scheduler, count(*) AS jobs, sum(g) / 1e6 AS total_emissions_tco2e, avg(g) AS mean_emissions_gco2e, sum(kwh) / 1e3 AS total_energy_mwh, any_value(peak_w) / 1e6 AS peak_power_mw, (sum(g_avg) - sum(g)) / sum(g) AS average_model_gap,
+            {dist("wait_s", "waiting", "mean", "median", "p95", "p99", "max")}, {dist("turn_s", "turnaround", "mean", "median")}, {dist("bsld", "bounded_slowdown", "mean", "median", "p95", "max")}, CAST({nodes} AS INTEGER) AS total_nodes, any_value(peak_n) AS peak_busy_nodes,
+            sum(nodes * run_s) / ({nodes} * any_value(span)) AS utilisation, any_value(span) / 86400.0 AS makespan_days, count(*) / (any_value(span) / 3600.0) AS throughput_jobs_per_hour, {dist("late_s", "delay_vs_trace", "mean", "max")}
+            FROM mm JOIN mp USING (scenario_id) JOIN (SELECT scenario_id, (greatest(max(end_us), max(last_event_us)) - min(release_us)) / 1e6 AS span FROM mm GROUP BY scenario_id) USING (scenario_id) GROUP BY scenario_id)""",
+    ]
+
+
+_FLAT = [
+    "total_emissions_tco2e", "mean_emissions_gco2e", "total_energy_mwh", "peak_power_mw", "average_model_gap", "waiting_mean_s", "waiting_median_s", "waiting_p95_s", "waiting_p99_s", "waiting_max_s", "turnaround_mean_s", "turnaround_median_s",
+    "bounded_slowdown_mean", "bounded_slowdown_median", "bounded_slowdown_p95", "bounded_slowdown_max", "utilisation", "makespan_days", "throughput_jobs_per_hour", "delay_vs_trace_mean_s", "delay_vs_trace_max_s",
+]
+_FLAT_SQL = "jobs, total_nodes, peak_busy_nodes, " + ", ".join(f"round({c}, 6) AS {c}" for c in _FLAT)
+_PLAIN_PEAK = """fk AS (SELECT job_id, sum(w * len_s / 3600000.0) AS kwh FROM segs GROUP BY job_id),
+fe AS (SELECT start_us AS at_us, 1 AS o, kwh * 3600000.0 / run_s AS w FROM runs JOIN fk USING (job_id) JOIN jobs USING (job_id) WHERE scenario_id = 'fcfs' UNION ALL SELECT end_us, 0, -kwh * 3600000.0 / run_s FROM runs JOIN fk USING (job_id) JOIN jobs USING (job_id) WHERE scenario_id = 'fcfs'),
+fp AS (SELECT max(v) AS peak_w FROM (SELECT sum(w) OVER (ORDER BY at_us, o ROWS UNBOUNDED PRECEDING) AS v FROM fe))"""
+
+
+@query("X15_compare_baselines", with_sql(JOBS, SEGS, SIGNAL, _UNHELD, _scen(_easy("fcfs", f"4 * {_CAP}", bf="false"), _easy("easy", f"4 * {_CAP}")), *events_sql.schedules("runs", "scen"), _PLAIN_PEAK,
+    _scen(_easy("power-cap", f"4 * {_CAP}", f"{experiments.CAP_FRACTION} * (SELECT peak_w FROM fp)"), name="scen2"), *events_sql.schedules("capped", "scen2"),
+    "every AS (SELECT scenario_id, job_id, start_us, end_us, last_event_us FROM runs UNION ALL SELECT scenario_id, job_id, start_us, end_us, last_event_us FROM capped UNION ALL SELECT 'replay', job_id, trace_start_us, trace_start_us + 1000000 * run_n, trace_start_us + 1000000 * run_n FROM jobs)",
+    *_flat("every", f"(4 * {_CAP})"), select=f"SELECT scheduler, {_FLAT_SQL} FROM flat", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf)
     return _rounded(metrics.flat_row(experiments.compare_baselines(j, fx.signal(spark), 4 * _nodes(j))))
 
 
-@query("X14_X16_K3_carbon_sweep")
+_SWEEP = _scen(_easy("fcfs", f"2 * {_CAP}", est="scheduling", bf="false"), _easy("easy", f"2 * {_CAP}", est="scheduling"), *[_easy(f"carbon-{h}h-15min", f"2 * {_CAP}", est="scheduling", delay=h * HOUR) for h in experiments.DELAY_HOURS])
+
+
+@query("X14_X16_K3_carbon_sweep", with_sql(JOBS, SEGS, SIGNAL, _targets(_DELAYS), _SWEEP, *events_sql.schedules("runs", "scen"), *_flat("runs", f"(2 * {_CAP})"), select=f"""SELECT delay / 3.6e9 AS max_delay_hours, CASE WHEN delay IS NOT NULL THEN 15.0 END AS granularity_minutes,
+    round(((SELECT total_emissions_tco2e FROM flat WHERE scheduler = 'easy') - total_emissions_tco2e) / (SELECT total_emissions_tco2e FROM flat WHERE scheduler = 'easy'), 6) AS saved_fraction, {_FLAT_SQL} FROM flat JOIN scen ON sid = scheduler""", recursive=True))
 def _(spark, sf):
+    """The sweep over all budgets, through its CSV file."""
     j = fx.jobs(spark, sf)
-    return _rounded(sinks.sweep_rows(experiments.carbon_sweep(j, fx.signal(spark), 2 * _nodes(j), (0, 1, 6, 24))))
+    points = experiments.carbon_sweep(j, fx.signal(spark), 2 * _nodes(j))
+    return _rounded(spark.read.schema(sinks.sweep_rows(points).schema).option("header", True).csv(sinks.write_sweep(points, place(spark, "sweep"))))
+
+
+_SINGLE = (JOBS, SEGS, SIGNAL, _UNHELD, _scen(_easy("easy")), *events_sql.schedules("runs", "scen"), *_flat("runs", _CAP))
 
 
-@query("X17_K6_single_run")
+@query("X17_single_run", with_sql(*_SINGLE, select=f"SELECT scheduler, {_FLAT_SQL} FROM flat", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf)
     return _rounded(metrics.flat_row(experiments.single_run(j, fx.signal(spark), experiments.scenario("easy", "easy", _nodes(j)))[1]))
 
 
+@query("K6_console_table", with_sql(*_ACC, "runs AS (SELECT 'replay' AS scenario_id, job_id, start_us, end_us, end_us AS last_event_us FROM acc)", *_flat("runs", "2000"), f"""named AS (SELECT CAST(jobs AS DOUBLE) AS jobs, CAST(total_nodes AS DOUBLE) AS total_nodes, CAST(peak_busy_nodes AS DOUBLE) AS peak_busy_nodes, {", ".join(_FLAT)} FROM flat)""",
+    select="SELECT metric, round(v, 2) AS replay FROM named UNPIVOT INCLUDE NULLS (v FOR metric IN (*))"))
+def _(spark, sf):
+    """The printed table: one text per metric, read back as a number of two digits."""
+    told = sinks.console_table(metrics.schedule_metrics(_accounted(spark, sf), _one(2000, spark)))
+    return told.select("metric", _r(F.regexp_replace("replay", ",", "").cast("double"), 2).alias("replay"))
+
+
 # ---- streaming -----------------------------------------------------------------------------------------------
 
 @query("stream_windowed_emissions", with_sql(JOBS, SEGS, SIGNAL, select="""SELECT end_us - end_us % 3600000000 AS window_us, round(sum(kwh), 6) AS kwh, round(sum(kwh * ci), 4) AS gco2e, count(*) AS segments
