@@ -747,7 +747,6 @@ def _(spark, sf):
 
 
 _CAP = "(SELECT greatest(24, CAST(round(count(*) / 71.4) AS BIGINT)) FROM jobs)"
-_UNHELD = "targets AS (SELECT job_id, CAST(0 AS BIGINT) AS delay, CAST(NULL AS BIGINT) AS target_us FROM jobs WHERE false)"
 
 
 def _scen(*rows: tuple, name: str = "scen") -> str:
@@ -780,13 +779,13 @@ def _placed(runs: DataFrame) -> DataFrame:
 _FIRST = _scen(_easy("easy"), _easy("easy-w10", win=10), _easy("fcfs", bf="false"))
 
 
-@query("X3_X4_X13_easy", with_sql(JOBS, _UNHELD, _scen(_easy("easy"), _easy("easy-w10", win=10)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
+@query("X3_X4_X13_easy", with_sql(JOBS, _scen(_easy("easy"), _easy("easy-w10", win=10)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
     return _placed(placement.simulate(j, _scenario(spark, [experiments.scenario("easy", "easy", _nodes(j)), experiments.scenario("easy-w10", "easy", _nodes(j), window=10)])))
 
 
-@query("X18_J6_O4_O5_O6_run_invariants", with_sql(JOBS, _UNHELD, _FIRST, *events_sql.schedules("runs", "scen"), """rj AS (SELECT r.*, release_us, run_n, nodes FROM runs r JOIN jobs USING (job_id))""",
+@query("X18_J6_O4_O5_O6_run_invariants", with_sql(JOBS, _FIRST, *events_sql.schedules("runs", "scen"), """rj AS (SELECT r.*, release_us, run_n, nodes FROM runs r JOIN jobs USING (job_id))""",
     "e AS (SELECT scenario_id, start_us AS t, 1 AS o, nodes AS d FROM rj UNION ALL SELECT scenario_id, end_us, 0, -nodes FROM rj), g AS (SELECT scenario_id, t, o, sum(d) AS d FROM e GROUP BY ALL), l AS (SELECT scenario_id, sum(d) OVER (PARTITION BY scenario_id ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS v FROM g)",
     select=f"""SELECT scenario_id, count(DISTINCT job_id) AS placed, count(*) FILTER (start_us < release_us) AS early, count(*) FILTER (end_us <> start_us + 1000000 * run_n) AS wrong_end, any_value(over_capacity) AS over_capacity, any_value(peak_nodes) AS peak_nodes
     FROM rj JOIN (SELECT scenario_id, count(*) FILTER (v > {_CAP}) AS over_capacity, CAST(max(v) AS BIGINT) AS peak_nodes FROM l GROUP BY scenario_id) USING (scenario_id) GROUP BY scenario_id""", recursive=True))
@@ -806,7 +805,7 @@ def _(spark, sf):
 _WATTS = "4 * (0.5 * (SELECT sum(avg_w * run_s) FROM jobs) / (30 * 86400) + 2 * (SELECT max(avg_w) FROM jobs))"
 
 
-@query("X5_power_capped", with_sql(JOBS, _UNHELD, _scen(_easy("power-cap", f"10 * {_CAP}", _WATTS)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
+@query("X5_power_capped", with_sql(JOBS, _scen(_easy("power-cap", f"10 * {_CAP}", _WATTS)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
     cap = 0.5 * j.agg(F.sum(F.col("avg_w") * F.col("run_s"))).first()[0] / (30 * 86400) + 2 * j.agg(F.max("avg_w")).first()[0]
@@ -816,7 +815,7 @@ def _(spark, sf):
 _HELD_ROWS = [_easy(f"carbon-{h}h", est="scheduling", delay=h * HOUR) for h in experiments.DELAY_HOURS]
 
 
-@query("X6_X11_carbon_aware", with_sql(JOBS, SIGNAL, _targets(_DELAYS), _scen(*_HELD_ROWS), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
+@query("X6_X11_carbon_aware", with_sql(JOBS, SIGNAL, _targets(_DELAYS), _scen(*_HELD_ROWS), *events_sql.schedules("runs", "scen", _DELAYS), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
     rows = [experiments.scenario(f"carbon-{h}h", "carbon-aware", _nodes(j), max_delay_us=h * HOUR) for h in experiments.DELAY_HOURS]
@@ -834,7 +833,7 @@ def _(spark, sf):
     return placement.oversized(fx.jobs(spark, sf, None), 12).select("job_id", "nodes")
 
 
-@query("X12_carbon_boundaries", with_sql(JOBS, _UNHELD, _scen(_easy("watch", grid=BUCKET_US)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
+@query("X12_carbon_boundaries", with_sql(JOBS, _scen(_easy("watch", grid=BUCKET_US)), *events_sql.schedules("runs", "scen"), select=f"SELECT {_OUT} FROM runs", recursive=True))
 def _(spark, sf):
     j = fx.jobs(spark, sf, None)
     return _placed(placement.simulate(j, _scenario(spark, [("watch", "watch", _nodes(j), None, None, None, None, None)]), custom={"watch": _boundary_policy()}))
@@ -874,7 +873,7 @@ fe AS (SELECT start_us AS at_us, 1 AS o, kwh * 3600000.0 / run_s AS w FROM runs
 fp AS (SELECT max(v) AS peak_w FROM (SELECT sum(w) OVER (ORDER BY at_us, o ROWS UNBOUNDED PRECEDING) AS v FROM fe))"""
 
 
-@query("X15_compare_baselines", with_sql(JOBS, SEGS, SIGNAL, _UNHELD, _scen(_easy("fcfs", f"4 * {_CAP}", bf="false"), _easy("easy", f"4 * {_CAP}")), *events_sql.schedules("runs", "scen"), _PLAIN_PEAK,
+@query("X15_compare_baselines", with_sql(JOBS, SEGS, SIGNAL, _scen(_easy("fcfs", f"4 * {_CAP}", bf="false"), _easy("easy", f"4 * {_CAP}")), *events_sql.schedules("runs", "scen"), _PLAIN_PEAK,
     _scen(_easy("power-cap", f"4 * {_CAP}", f"{experiments.CAP_FRACTION} * (SELECT peak_w FROM fp)"), name="scen2"), *events_sql.schedules("capped", "scen2"),
     "every AS (SELECT scenario_id, job_id, start_us, end_us, last_event_us FROM runs UNION ALL SELECT scenario_id, job_id, start_us, end_us, last_event_us FROM capped UNION ALL SELECT 'replay', job_id, trace_start_us, trace_start_us + 1000000 * run_n, trace_start_us + 1000000 * run_n FROM jobs)",
     *_flat("every", f"(4 * {_CAP})"), select=f"SELECT scheduler, {_FLAT_SQL} FROM flat", recursive=True))
@@ -886,7 +885,7 @@ def _(spark, sf):
 _SWEEP = _scen(_easy("fcfs", f"2 * {_CAP}", est="scheduling", bf="false"), _easy("easy", f"2 * {_CAP}", est="scheduling"), *[_easy(f"carbon-{h}h-15min", f"2 * {_CAP}", est="scheduling", delay=h * HOUR) for h in experiments.DELAY_HOURS])
 
 
-@query("X14_X16_K3_carbon_sweep", with_sql(JOBS, SEGS, SIGNAL, _targets(_DELAYS), _SWEEP, *events_sql.schedules("runs", "scen"), *_flat("runs", f"(2 * {_CAP})"), select=f"""SELECT delay / 3.6e9 AS max_delay_hours, CASE WHEN delay IS NOT NULL THEN 15.0 END AS granularity_minutes,
+@query("X14_X16_K3_carbon_sweep", with_sql(JOBS, SEGS, SIGNAL, _targets(_DELAYS), _SWEEP, *events_sql.schedules("runs", "scen", _DELAYS), *_flat("runs", f"(2 * {_CAP})"), select=f"""SELECT delay / 3.6e9 AS max_delay_hours, CASE WHEN delay IS NOT NULL THEN 15.0 END AS granularity_minutes,
     round(((SELECT total_emissions_tco2e FROM flat WHERE scheduler = 'easy') - total_emissions_tco2e) / (SELECT total_emissions_tco2e FROM flat WHERE scheduler = 'easy'), 6) AS saved_fraction, {_FLAT_SQL} FROM flat JOIN scen ON sid = scheduler""", recursive=True))
 def _(spark, sf):
     """The sweep over all budgets, through its CSV file."""
@@ -895,7 +894,7 @@ def _(spark, sf):
     return _rounded(spark.read.schema(sinks.sweep_rows(points).schema).option("header", True).csv(sinks.write_sweep(points, place(spark, "sweep"))))
 
 
-_SINGLE = (JOBS, SEGS, SIGNAL, _UNHELD, _scen(_easy("easy")), *events_sql.schedules("runs", "scen"), *_flat("runs", _CAP))
+_SINGLE = (JOBS, SEGS, SIGNAL, _scen(_easy("easy")), *events_sql.schedules("runs", "scen"), *_flat("runs", _CAP))
 
 
 @query("X17_single_run", with_sql(*_SINGLE, select=f"SELECT scheduler, {_FLAT_SQL} FROM flat", recursive=True))
@@ -905,11 +904,11 @@ def _(spark, sf):
 
 
 @query("K6_console_table", with_sql(*_ACC, "runs AS (SELECT 'replay' AS scenario_id, job_id, start_us, end_us, end_us AS last_event_us FROM acc)", *_flat("runs", "2000"), f"""named AS (SELECT CAST(jobs AS DOUBLE) AS jobs, CAST(total_nodes AS DOUBLE) AS total_nodes, CAST(peak_busy_nodes AS DOUBLE) AS peak_busy_nodes, {", ".join(_FLAT)} FROM flat)""",
-    select="SELECT metric, round(v, 2) AS replay FROM named UNPIVOT INCLUDE NULLS (v FOR metric IN (*))"))
+    select="SELECT metric, CAST(CAST(v AS DECIMAL(28, 3)) AS DOUBLE) AS replay FROM named UNPIVOT INCLUDE NULLS (v FOR metric IN (*))"))
 def _(spark, sf):
-    """The printed table: one text per metric, read back as a number of two digits."""
+    """The printed table: one text of three digits per metric, read back as a number."""
     told = sinks.console_table(metrics.schedule_metrics(_accounted(spark, sf), _one(2000, spark)))
-    return told.select("metric", _r(F.regexp_replace("replay", ",", "").cast("double"), 2).alias("replay"))
+    return told.select("metric", F.regexp_replace("replay", ",", "").cast("double").alias("replay"))
 
 
 # ---- streaming -----------------------------------------------------------------------------------------------
