@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, DID, written
 
 #: Bytes of a repeated string and of an anchor; window starts hashed at a time; regions sorted in memory.
-DEPTH, GRAM, PIECE, GROUP = 200, 48, (1 << 20) - 512, 2048
+DEPTH, GRAM, PIECE, GROUP = 200, 48, (1 << 18) - 512, 2048
 SPAN = DEPTH - GRAM + 1  # anchor positions in a window
 #: Bytes of a digit of pass 3.
 DIGIT = 40
