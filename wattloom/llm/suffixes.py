@@ -10,7 +10,7 @@ Pass 1, digit = the anchor's hash: counted with map-side combination, anchors me
 Pass 2, digit = the hash of the run's whole region (two independent 64-bit hashes): equal regions are repeated as a whole.
 Pass 3, only regions that stand alone beside others with their anchor: their windows are sorted digit by digit to full
 depth, a window that is alone drops out after each digit, and the groups that are left are compared byte by byte. In
-memory up to GROUP regions of an anchor, else as rows of a further distributed pass under two hashes of the whole window.
+memory where an anchor has at most GROUP regions, else as rows of a further distributed pass under two hashes of the whole window.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from .common import bounded_batches, DID, written
 DEPTH, GRAM, PIECE, GROUP = 200, 48, (1 << 18) - 512, 2048
 SPAN = DEPTH - GRAM + 1  # anchor positions in a window
 #: Bytes of a digit of pass 3.
-DIGIT = 40
+DIGIT = 100
 _LOW = np.uint64((1 << 20) - 1)
 #: Key of a document row beside its id.
 ROW = "__row"
@@ -201,9 +201,10 @@ def _repeated(off: np.ndarray, windows: np.ndarray, regions: list[bytes]) -> tup
             return who, col
     first = np.r_[True, group[1:] != group[:-1]]
     model = np.flatnonzero(first)[np.cumsum(first) - 1]
-    equal = np.ones(len(who), bool)
-    for at in range(DEPTH):
-        equal &= grid[who, col + at] == grid[who[model], col[model] + at]
+    views, equal = np.lib.stride_tricks.sliding_window_view(grid, DEPTH, axis=1), np.empty(len(who), bool)
+    for at in range(0, len(who), 4096):
+        part, like = slice(at, at + 4096), model[at : at + 4096]
+        equal[part] = (views[who[part], col[part]] == views[who[like], col[like]]).all(axis=1)
     if not equal.all():  # equal hashes of different bytes: those groups by their bytes
         for g in np.unique(group[~equal]):
             own = np.flatnonzero(group == g)
@@ -214,39 +215,28 @@ def _repeated(off: np.ndarray, windows: np.ndarray, regions: list[bytes]) -> tup
     return who[equal][order], col[equal][order]
 
 
-_COVER = f"did long, {ROW} int, from long, to long, hot boolean, anchor long, off int, windows int, region_bytes binary"
+_COVER = f"did long, {ROW} int, from long, to long"
 
 
-def _sorted_groups(batches, most: int = GROUP):
-    """Pass 3 over members sorted by anchor: covered byte ranges, and members of anchors with more than `most`."""
+def _sorted_groups(batches):
+    """Pass 3 over members sorted by anchor, of which each has a bounded number: covered byte ranges."""
     held: list = []
-    key, passed = None, False
-
-    def cover(out):
-        off, windows = np.array([m[4] for m in held]), np.array([m[5] for m in held])
-        who, col = _repeated(off, windows, [m[7] for m in held])
-        if not len(who):
-            return
-        cut = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (col[1:] != col[:-1] + 1), True])
-        for a, b in zip(cut[:-1], cut[1:]):
-            m = held[who[a]]
-            if m[6]:
-                start = m[3] + col[a] - (SPAN - 1 - m[4])
-                out.append((m[1], m[2], int(start), int(start + b - a - 1 + DEPTH), False, None, None, None, None))
+    key = None
 
     def close(out):
-        if passed:
-            spill(out)
-        elif len(held) > 1:
-            cover(out)
-        held.clear()
-
-    def spill(out):
-        out += [(m[1], m[2], m[3], 0, True, m[0], m[4], m[5], m[7]) for m in held]
+        off, windows = np.array([m[4] for m in held]), np.array([m[5] for m in held])
+        who, col = _repeated(off, windows, [m[7] for m in held]) if len(held) > 1 else ((), ())
+        if len(who):
+            cut = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (col[1:] != col[:-1] + 1), True])
+            for a, b in zip(cut[:-1], cut[1:]):
+                m = held[who[a]]
+                if m[6]:
+                    start = m[3] + col[a] - (SPAN - 1 - m[4])
+                    out.append((m[1], m[2], int(start), int(start + b - a - 1 + DEPTH)))
         held.clear()
 
     def emit(out):
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _COVER.split(", ")])
 
     for batch in batches:
@@ -254,11 +244,8 @@ def _sorted_groups(batches, most: int = GROUP):
         for m in zip(*(c.to_pylist() for c in batch.columns)):
             if m[0] != key:
                 close(out)
-                key, passed = m[0], False
+                key = m[0]
             held.append(m)
-            if len(held) > most:
-                passed = True
-                spill(out)
         if out:
             yield emit(out)
     out = []
@@ -273,11 +260,11 @@ def _window_rows(batches):
         if not batch.num_rows:
             continue
         off, windows = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-        who, col, one, two = _windows(off, windows, batch.column(6).to_pylist())
+        who, col, one, two = _windows(off, windows, batch.column(7).to_pylist())
         pick = lambda i: batch.column(i).to_numpy()[who]
-        start = pick(2) + col - (SPAN - 1 - off[who])
+        start = pick(3) + col - (SPAN - 1 - off[who])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(pick(0)), pa.array(pick(1)), pa.array(start), pa.array(pick(3)), pa.array(col.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+            [pa.array(pick(1)), pa.array(pick(2)), pa.array(start), pa.array(pick(0)), pa.array(col.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
             names=["did", ROW, "from", "anchor", "col", "one", "two"],
         )
 
@@ -298,19 +285,12 @@ def covered(rows: DataFrame, group: int = GROUP) -> DataFrame:
         "did", ROW, F.col("start").alias("from"), (F.col("start") + F.col("windows") - 1 + DEPTH).alias("to")
     )
 
-    several = regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    members = regions.join(several, "anchor").select("anchor", "m.*", (F.col("same") == 1).alias("alone"))
-    listed = members.groupBy("did", ROW).agg(F.collect_list(F.struct("anchor", "start", "off", "windows", "alone")).alias("members"))
-    # Rows that share a key have no region that stands alone, so meeting a row of them twice adds nothing.
-    body = rows.select(F.col(DID).alias("did"), ROW, "text").join(listed, ["did", ROW]).select("did", ROW, "text", "members")
-    dealt = body.mapInArrow(_regions, _MEMBER).repartition("anchor").sortWithinPartitions("anchor")
-    found = written(dealt.mapInArrow(lambda batches: _sorted_groups(batches, group), _COVER), "covered")
-    part = found.where("not hot").select("did", ROW, "from", "to")
-    hot = found.where("hot")
-    if not hot.isEmpty():
-        each = hot.select("did", ROW, "from", "anchor", "off", "windows", "region_bytes").mapInArrow(
-            _window_rows, f"did long, {ROW} int, from long, anchor long, col int, one long, two long"
-        )
+    several = written(regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    members = regions.join(several, "anchor").select("anchor", "m.*", (F.col("same") == 1).alias("alone"), "n")
+    part = _with_bytes(rows, members.where(F.col("n") <= group)).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, _COVER)
+    # Anchors with many regions never meet in a task: each of their windows is a row.
+    if not several.where(F.col("n") > group).isEmpty():
+        each = _with_bytes(rows, members.where(F.col("n") > group)).mapInArrow(_window_rows, f"did long, {ROW} int, from long, anchor long, col int, one long, two long")
         each = written(each, "windows")
         equal = ["anchor", "col", "one", "two"]
         twice = each.groupBy(*equal).agg(F.count("*").alias("n")).where("n > 1").select(*equal)
@@ -318,6 +298,14 @@ def covered(rows: DataFrame, group: int = GROUP) -> DataFrame:
     return whole.union(part)
 
 
+def _with_bytes(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """members (anchor, did, row, start, off, windows, alone) with their regions' bytes, read from their documents."""
+    listed = members.groupBy("did", ROW).agg(F.collect_list(F.struct("anchor", "start", "off", "windows", "alone")).alias("members"))
+    # Rows that share a key have no region that stands alone, so meeting a row of them twice adds nothing.
+    body = rows.select(F.col(DID).alias("did"), ROW, "text").join(listed, ["did", ROW]).select("did", ROW, "text", "members")
+    return body.mapInArrow(_regions, _MEMBER)
+
+
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
