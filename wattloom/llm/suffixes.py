@@ -143,21 +143,21 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(ident.alias("doc_id"), F.coalesce(ident, F.xxhash64(body)).alias(DID), F.hash(ident, body).alias(ROW), body.alias("text"))
 
 
-_MEMBER = f"anchor long, did long, {ROW} int, start long, off int, windows int, alone boolean, region_bytes binary"
+_MEMBER = f"anchor long, did long, {ROW} int, start long, off int, windows int, alone boolean, region_bytes binary, hot boolean"
 
 
 def _regions(batches):
     """Bytes of the regions that a document's row lists."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(9)]
         for did, row, body, members in zip(*(batch.column(i).to_pylist() for i in range(4))):
             data = body.encode("utf-8", "surrogatepass")
             for m in members:
                 end = m["start"] + m["windows"] - 1 + DEPTH
-                for c, v in zip(out, (m["anchor"], did, row, m["start"], m["off"], m["windows"], m["alone"], data[m["start"] : end])):
+                for c, v in zip(out, (m["anchor"], did, row, m["start"], m["off"], m["windows"], m["alone"], data[m["start"] : end], m["hot"])):
                     c.append(v)
-        names = ["anchor", "did", ROW, "start", "off", "windows", "alone", "region_bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        names = ["anchor", "did", ROW, "start", "off", "windows", "alone", "region_bytes", "hot"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
 
@@ -286,21 +286,24 @@ def covered(rows: DataFrame, group: int = GROUP) -> DataFrame:
     )
 
     several = written(regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    members = regions.join(several, "anchor").select("anchor", "m.*", (F.col("same") == 1).alias("alone"), "n")
-    part = _with_bytes(rows, members.where(F.col("n") <= group)).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, _COVER)
+    members = regions.join(several, "anchor").select("anchor", "m.*", (F.col("same") == 1).alias("alone"), (F.col("n") > group).alias("hot"))
+    # The texts are shuffled once, for the regions of all anchors.
+    dealt = written(_with_bytes(rows, members), "dealt", several)
+    part = dealt.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, _COVER)
     # Anchors with many regions never meet in a task: each of their windows is a row.
-    if not several.where(F.col("n") > group).isEmpty():
-        each = _with_bytes(rows, members.where(F.col("n") > group)).mapInArrow(_window_rows, f"did long, {ROW} int, from long, anchor long, col int, one long, two long")
-        each = written(each, "windows")
+    hot = dealt.where("hot")
+    if not hot.isEmpty():
+        each = written(hot.mapInArrow(_window_rows, f"did long, {ROW} int, from long, anchor long, col int, one long, two long"), "windows")
         equal = ["anchor", "col", "one", "two"]
         twice = each.groupBy(*equal).agg(F.count("*").alias("n")).where("n > 1").select(*equal)
         part = part.union(each.join(twice, equal).select("did", ROW, "from", (F.col("from") + DEPTH).alias("to")))
+    part = written(part, "covered", dealt)
     return whole.union(part)
 
 
 def _with_bytes(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """members (anchor, did, row, start, off, windows, alone) with their regions' bytes, read from their documents."""
-    listed = members.groupBy("did", ROW).agg(F.collect_list(F.struct("anchor", "start", "off", "windows", "alone")).alias("members"))
+    """members (anchor, did, row, start, off, windows, alone, hot) with their regions' bytes, read from their documents."""
+    listed = members.groupBy("did", ROW).agg(F.collect_list(F.struct("anchor", "start", "off", "windows", "alone", "hot")).alias("members"))
     # Rows that share a key have no region that stands alone, so meeting a row of them twice adds nothing.
     body = rows.select(F.col(DID).alias("did"), ROW, "text").join(listed, ["did", ROW]).select("did", ROW, "text", "members")
     return body.mapInArrow(_regions, _MEMBER)
