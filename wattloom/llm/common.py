@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str] = {}
+#: Scratch tables and kept results of this process that release() has not yet dropped.
+_WRITTEN: list[str] = []
+_HELD: list[DataFrame] = []
 
 #: Key columns of a document row inside an operator. Whole input rows are held as one struct, so their names can't clash.
 DID, THASH = "__did", "__thash"
@@ -62,6 +65,7 @@ def written(df: DataFrame, name: str, *used: DataFrame, conf: dict[str, str] | N
         for k, v in (conf or {}).items():
             spark.conf.set(k, v)
         df.write.parquet(path)
+        _WRITTEN.append(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -79,7 +83,21 @@ def held(df: DataFrame) -> DataFrame:
     Its lineage stays, so what a lost executor held is computed again. Unlike written() it makes no files in the
     shared folder; release with unpersist().
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    _HELD.append(kept)
+    return kept
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Drop all scratch tables and kept results so far, but for the tables that keep reads. For use when their results are written."""
+    while _HELD:
+        _HELD.pop().unpersist()
+    jvm = spark.sparkContext._jvm
+    path_of = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    kept = {path_of(f).getParent().toUri().getPath() for one in keep for f in one.inputFiles()}
+    for one in [x for x in _WRITTEN if path_of(x).toUri().getPath() not in kept]:
+        path_of(one).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path_of(one), True)
+        _WRITTEN.remove(one)
 
 
 def _delete(spark: SparkSession, table: DataFrame) -> None:

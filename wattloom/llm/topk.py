@@ -142,8 +142,11 @@ def top_k(vectors: DataFrame, queries, vec: str = "embedding", vec_id: str = "ve
     dealt = rows.repartitionByRange(chunks, F.desc("len2"), "vec_id").withColumn("chunk", F.spark_partition_id())
     dealt = written(dealt.select("vec_id", "v", "len2", "chunk"), "chunks")
     asked = rows.where(queries).dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(floors, "vec_id long, v array<double>, floor double, need double")
-    asked = asked.repartitionByRange(blocks, "need", F.xxhash64("vec_id")).withColumn("block", F.spark_partition_id())
     asked = written(asked, "queries")
+    # Block borders are quantiles of the need, of one number per block; where borders fall together, a hash decides.
+    borders = F.lit(sorted(asked.approxQuantile("need", [i / blocks for i in range(1, blocks)], 0.01))).cast("array<double>") if blocks > 1 else F.expr("cast(array() as array<double>)")
+    below, up_to = F.size(F.filter(borders, lambda b: b < F.col("need"))), F.size(F.filter(borders, lambda b: b <= F.col("need")))
+    asked = asked.withColumn("block", (below + F.pmod(F.xxhash64("vec_id"), up_to - below + 1)).cast("int"))
     pairs = written(_reached(dealt, asked), "pairs")
     left = dealt.select("vec_id", "v", "chunk").join(small(pairs), "chunk").groupBy("chunk", "block")
     right = asked.join(small(pairs), "block").groupBy("chunk", "block")
