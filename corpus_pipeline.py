@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs. All but the last keep the columns of documents.
+
+Every stage takes nulls in any column, empty and very long texts (they count whole), repeated rows, extra columns of any
+name and empty tables, as its operator states.
 """
 
 from __future__ import annotations
@@ -10,32 +13,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm import exact_dedup, langid, mixing, packing, simhash
-from wattloom.llm.common import table, written
+from wattloom.llm.common import release, table, written
 from wattloom.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; texts without a letter or near no profile go."""
+    """Documents whose language is known; texts that are null, without a letter or near no profile go."""
     return langid.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id; a null text equals an empty one, of repeated rows one stays."""
     return exact_dedup.survivors(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate classes the row with the smallest doc_id."""
+    """Of near-duplicate classes the row with the smallest doc_id; word-free texts are one class."""
     return simhash.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated, kept or dropped so that sources meet their target weights."""
+    """Rows repeated, kept or dropped so that sources meet their target weights; a row without words is in no mix."""
     return mixing.mixed(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null text is its end id alone, an empty table gives an empty one."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -49,4 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
