@@ -220,11 +220,12 @@ def signs(*of: tuple) -> tuple:
 
 
 def sign(pieces: list[tuple]) -> tuple:
-    """What tells a page from its copies: the beginning of its longest text, in the article region if there is one."""
-    own = [p for p in pieces if p[0] >= 0]
-    own = [p for p in own if p[1] in "mv"] or own
-    longest = max(own, key=lambda p: len(p[2]), default=None)
-    return (xxhash.xxh64_intdigest(" ".join(longest[2].split(None, SIGN_WORDS)[:SIGN_WORDS]).encode("utf-8", "surrogatepass")),) if longest else ()
+    """What tells a page from its copies: the beginnings of the two longest texts of its article region, or of all texts if it has none."""
+    own = sorted((p[2] for p in pieces if p[0] >= 0 and p[1] in "mv"), key=len)[-2:] or [p[2] for p in pieces if p[0] >= 0]
+    if not own:
+        return ()
+    begun = "\n".join(" ".join(x.split(None, SIGN_WORDS)[:SIGN_WORDS]) for x in own)
+    return (xxhash.xxh64_intdigest(begun.encode("utf-8", "surrogatepass")),)
 
 
 # Expressions: lists of nodes. A node is a tag label, ('#', kind, constant or None, signs of pages, texts, words, words in
