@@ -46,6 +46,8 @@ class Policy:
     """Seams of a placement policy; a subclass may change any. Instances travel to executors."""
 
     backfills = True
+    #: Whether a job can't be ready before the instant that on_release() gives, so that it needn't stand in the queue until then.
+    until_wake = False
     #: Ask for an event at every boundary of this grid while work is left; no built-in policy does.
     boundary_us: int | None = None
 
@@ -101,6 +103,8 @@ class Capped(Policy):
 class Held(Policy):
     """Backfilling over jobs whose target instant has come."""
 
+    until_wake = True
+
     def on_release(self, job, now):
         return job.target if job.target > now else None
 
@@ -144,7 +148,7 @@ class Machine:
             pending = True
         while events:
             self.now = self.last_event = events[0][0]
-            released = []
+            released, woken = [], []
             while events and events[0][0] == self.now:
                 _, kind, _, job = heapq.heappop(events)
                 if kind == 0:
@@ -154,13 +158,21 @@ class Machine:
                     del self.ends[bisect_left(self.ends, (job.estimate_end, job.key))]
                 elif kind == 1:
                     released.append(job)
+                elif kind == 2 and job is not None:
+                    woken.append(job)
                 elif kind == 3:
                     pending = False
                     self.policy.on_boundary(self.now)
             for job in released:
                 when = self.policy.on_release(job, self.now)
+                if when is not None and when > self.now and self.policy.until_wake:
+                    serial += 1
+                    heapq.heappush(events, (when, 2, serial, job))
+                    continue
                 if when is not None:
                     self.wake_at(when)
+                woken.append(job)
+            for job in woken:
                 insort(self.queue, job)
             for job in self._choose():
                 if job.nodes > self.free:
