@@ -149,6 +149,14 @@ def test_outputs_of_a_trace_without_clean_rows(spark, tmp_path, sf_dir):
     assert manifest["status"] == "empty" and manifest["outputs"]["clean_rows"] == 0
 
 
+def test_written_tables_of_a_trace_without_clean_rows(spark, tmp_path):
+    """All jobs within a minute, so that every job shares a node with another."""
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") % 60 * 1_000_000).cast("timestamp_ntz")
+    spark.range(2_000).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit('{"k": 5}').alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["output"]: tuple(r)[1:] for r in catalog.QUERIES["K5_written_tables"](spark, str(tmp_path)).collect()}
+    assert got == {"clean": (0, None, None), "debug": (0, None, None), "catalogue": (15, 1, 1), "manifest": (2_000, 0, 0)}
+
+
 def test_streamed_emissions_equal_the_batch(spark, sf_dir, tmp_path):
     from wattloom.streaming.completed_jobs import completion_stream, windowed_emissions
 
