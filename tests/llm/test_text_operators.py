@@ -214,6 +214,13 @@ def test_fingerprints_compose(data, cut):
     assert exact_dedup.text_hash(data)[:2] == tuple(value % p for p in exact_dedup.PRIMES)
 
 
+def test_exact_keeps_no_table_by_shuffle_partition(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string")
+    got = exact_dedup.classes(rows)
+    assert "InMemory" not in got._jdf.queryExecution().withCachedData().toString()
+    assert sorted(tuple(r) for r in got.select("doc_id", "keep_id", "group_size").collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 1)]
+
+
 def test_exact_duplicates(spark, sf_dir):
     docs = texts(spark, sf_dir)
     by = defaultdict(list)

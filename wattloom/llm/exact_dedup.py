@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, DID, THASH, bounded_batches, held, kept_rows, keyed, written
+from .common import BLOOM, DID, THASH, bounded_batches, kept_rows, keyed, written
 
 #: Prime fields and the base of the polynomial.
 PRIMES, BASE = (2147483647, 2147483629), 1000003
@@ -127,7 +127,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", primes=
     fingerprint go to the next, so there are as many rounds as different texts share one, and one as a rule.
     """
     rows = hashed(docs, text, doc_id, primes, huge).groupBy("doc_id", DID, THASH, "fp", "n_bytes", "text_sha256").agg(F.count("*").alias("copies"))
-    rows = held(rows.withColumn("round", F.lit(0)))
+    # A written table has as many files as its bytes ask for; a kept one would have a task per shuffle partition in each of its uses.
+    rows = written(rows.withColumn("round", F.lit(0)), "rows")
     while True:
         groups = rows.groupBy(*_GROUP).agg(F.count("*").alias("members"), F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.max(F.struct(DID, THASH)).alias("model"))
         groups = written(groups, "groups")
